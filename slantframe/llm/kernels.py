@@ -152,6 +152,8 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words; runs may cross texts, callers cut at bounds."""
     if len(hashes) < n:
         return np.zeros(0, dtype=np.uint64)
+    if n == 1:
+        return hashes
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for j in range(n):
         out *= np.uint64(0x9FB21C651E98DF25)

@@ -20,9 +20,32 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text of documents; learns from the rows that are not held out."""
+    from slantframe.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    learn, held = held_out(3, 1)
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), learn)
+    return score_toxicity(docs, model, threshold=0.7).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text of documents; learns from the rows that are not held out."""
+    from slantframe.llm.quality import fit_quality, score_quality
+    from slantframe.llm.toxicity import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    learn, held = held_out(5, 0)
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), learn)
+    return score_quality(docs, model, threshold=0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_toxicity": op5_toxicity,
+        "op8_quality": op8_quality,
     }
 
 
