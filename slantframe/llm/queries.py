@@ -40,6 +40,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(format_conversations(turns.unionByName(more)))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes pages to archives and reads the archives back."""
+    from slantframe.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents; learns from the rows that are not held out."""
     from slantframe.llm.quality import fit_quality, score_quality
@@ -102,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op5_toxicity": op5_toxicity,
         "op6_chat_format": op6_chat_format,
+        "op7_warc": op7_warc,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
     }
