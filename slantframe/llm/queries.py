@@ -104,6 +104,13 @@ from escaped group by conv_id
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every repeated 200-byte string from all documents."""
+    from slantframe.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
@@ -112,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
