@@ -20,6 +20,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 4-word shingles and similarity 0.85."""
+    from slantframe.llm.jaccard import Similarity, jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), Similarity(words=4, num=85, den=100))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents; learns from the rows that are not held out."""
     from slantframe.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -114,6 +121,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_chat_format": op6_chat_format,
         "op7_warc": op7_warc,

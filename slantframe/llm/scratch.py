@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +58,32 @@ class Scratch:
 def partitions(spark: SparkSession) -> int:
     """How many pieces a shuffled intermediate is dealt into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit (key modulo bits, unsigned) for each 64-bit key; bits bounds what reaches the driver."""
+    block = min(bits, 1 << 15)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+            found = np.union1d(found, own.astype(np.int64))
+        if len(found):
+            blocks = np.unique(found // block)
+            out = []
+            for b in blocks:
+                flags = np.zeros(block, dtype=bool)
+                flags[found[found // block == b] - b * block] = True
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(out, pa.binary())], ["block", "data"])
+
+    def either(table: pa.Table) -> pa.Table:
+        flags = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("data").to_pylist()])
+        return pa.table({"block": table.column("block").slice(0, 1), "data": pa.array([flags.tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in keys.where("key is not null").select("key").mapInArrow(marks, "block long, data binary").groupBy("block").applyInArrow(either, "block long, data binary").collect():
+        at = r["block"] * (block // 8)
+        out[at : at + block // 8] = np.frombuffer(r["data"], dtype=np.uint8)
+    return out
