@@ -53,6 +53,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of the base and of its inverse."""
+    up, down = _POWERS.get(n)
+    return up[:n], down[:n]
+
+
 def byte_values(lower: bool) -> np.ndarray:
     """A random 64-bit value for each byte; with lower, A-Z have the values of a-z."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))

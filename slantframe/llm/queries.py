@@ -27,6 +27,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), Similarity(words=4, num=85, den=100))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the documents that hold passages of the benchmark."""
+    from slantframe.llm.decontaminate import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents; learns from the rows that are not held out."""
     from slantframe.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -122,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_decontaminate": op4_decontaminate,
         "op5_toxicity": op5_toxicity,
         "op6_chat_format": op6_chat_format,
         "op7_warc": op7_warc,
