@@ -6,7 +6,8 @@ size of the sets' symmetric difference.  Sets are dealt into bands by size.
 In a band, two linked sets differ in at most d shingles; a sketch is cut into
 more than d parts, so the sketches of two linked sets agree in a part.  The
 sets that agree in a part are compared, first with the least of them; those
-that are still in different components are compared with each other.
+that are still in different components are compared with each other.  Sizes
+and whole sketches rule most pairs out; the sets of the others are intersected.
 
 Documents with equal sets are one class, and only classes are compared, so
 copies cost nothing.  What agrees within a task is tied to one representative
@@ -268,8 +269,42 @@ def _cross_pairs(crowds: DataFrame, roots: DataFrame, tried: DataFrame) -> DataF
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _class_filter(pairs: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each class in a pair; bits bounds what reaches the driver."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit sketch of a power of two of bits, about one a shingle: each shingle flips one bit."""
+    bits = max(256, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (shingles >> np.uint64(7)) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches, the larger one folded to the size of the other."""
+    x, y = (np.frombuffer(s, dtype=np.uint8) for s in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, n), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def near(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs whose sizes and sketches don't rule a link out."""
+    num, den = similarity.num, similarity.den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (na, sa, nb, sb) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                if num * max(na, nb) <= den * min(na, nb) and hamming(sa, sb) * (den + num) <= (den - num) * (na + nb):
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
+
+
+def _class_filter(pairs: DataFrame) -> np.ndarray:
+    """A bit for each class in a pair; at most 2**27 bits reach the driver."""
+    bits = 1 << max(12, min(27, (16 * max(1, pairs.count())).bit_length()))
     return bit_filter(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))), bits)
 
 
@@ -302,13 +337,14 @@ def _meta(docs: DataFrame, similarity: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, sketches = [], [], []
             for s in kernels.shingle_sets(batch.column(1), similarity.words, sep):
                 sizes.append(len(s))
+                sketches.append(sketch(s) if len(s) else None)
                 ids.append(np.uint64(class_of(s)).astype(np.int64).item() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, sketch binary")
 
 
 def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
@@ -325,20 +361,23 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     scratch = Scratch(spark, "jaccard")
     shards = partitions(spark)
     meta = scratch.save(_meta(docs, similarity))
+    sketches = scratch.save(meta.where("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["cls"]))
     found = scratch.save(_candidates(_keys(docs, similarity, shards), shards))
     pairs = scratch.save(_pairs(found.where("kind = 'pair'")))
-    bits = 1 << max(12, min(27, (16 * max(1, pairs.count())).bit_length()))
-    texts = _texts(docs, _class_filter(pairs, bits), similarity)
-    links = scratch.save(verify(pairs, texts, similarity))
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        close = scratch.save(near(candidates, sketches, similarity))
+        out = scratch.save(verify(close, _texts(docs, _class_filter(close), similarity), similarity))
+        scratch.drop(close)
+        return out
+
+    links = linked(pairs)
+    roots = connected_components(links, scratch)
+    links = links.unionAll(linked(_cross_pairs(found.where("kind = 'crowd'"), roots, pairs)))
     roots = connected_components(links, scratch)
-    crossing = scratch.save(_cross_pairs(found.where("kind = 'crowd'"), roots, pairs))
-    if crossing.count():
-        more = texts.join(crossing.select(F.col("a").alias("cls")).union(crossing.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi")
-        extra = scratch.save(verify(crossing, more, similarity))
-        roots = connected_components(links.unionAll(extra), scratch)
     classes = meta.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(names, "root").select("cls", "component_id"))
-    scratch.drop(found, pairs, links, crossing)
+    scratch.drop(found, pairs, sketches)
     return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
