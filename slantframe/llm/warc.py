@@ -30,8 +30,6 @@ FRAME = 0xFD2FB528
 VERSION = b"WARC/1.1\r\n"
 #: A skippable frame of no bytes, which separates the rows of an archive.
 SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
-#: Bytes of payload an archive holds, about.
-ARCHIVE_BYTES = 24 << 20
 #: Payloads of at least so many bytes are compared.
 LEAST_REVISIT = 0
 #: Samples for the dictionary and its size.
@@ -190,11 +188,13 @@ def classify_pages(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, source: DataFrame | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, source: DataFrame | None = None) -> None:
     """Writes a record for each row of classify_pages to archives under path.
 
     The dictionary is trained on the driver on at most SAMPLES records;
-    source, if given, has the same payloads and is cheaper to scan.
+    source, if given, has the same payloads and is cheaper to scan.  Each
+    partition of pages becomes an archive: payloads are shuffled once, by the
+    join that finds revisits, and the adaptive planner sizes its partitions.
     Revisits have an empty payload and name the record they refer to.
     """
     spark = pages.sparkSession
@@ -203,8 +203,6 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     sample = source.select(F.substring(F.col("payload").cast("string"), 1, 20_000).cast("binary").alias("p")).orderBy(F.xxhash64("p")).limit(SAMPLES)
     dictionary = train_dictionary([record(_headers("response", i, None, "", b""), b"HTTP/1.1 200 OK\r\n\r\n" + bytes(r.p)) for i, r in enumerate(sample.collect())])
     shared = spark.sparkContext.broadcast(dictionary)
-    total = source.agg(F.coalesce(F.sum(F.octet_length("payload") + 600), F.lit(1))).first()[0]
-    n = max(1, -(-total // archive_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
@@ -217,8 +215,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                 yield pa.RecordBatch.from_arrays([pa.array(lead + [encoder.compress(_record(*row)) for row in rows], pa.binary())], ["frame"])
                 lead = []
 
-    dealt = pages.select("page_id", "url", "payload", "record_type", "refers_to").repartition(n, F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
-    dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+    rows = pages.select("page_id", "url", "payload", "record_type", "refers_to")
+    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
 def _headers(kind: str, page_id, refers_to, url: str | None, payload: bytes) -> list[tuple[str, str]]:
@@ -272,7 +270,7 @@ def read_archives(spark: SparkSession, path: str, id_kind: str = "bigint") -> Da
     return files.mapInArrow(run, f"page_id {id_kind}, payload_bytes long, payload_digest string, record_type string, refers_to {id_kind}, url string, payload binary")
 
 
-def archive_pages(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes pages (page_id, url, html) to archives in the shared folder and reads them back.
 
     A null html is empty; repeated rows give a record each; other columns are
@@ -281,5 +279,5 @@ def archive_pages(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: i
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     path = scratch.path()
-    write_archives(classify_pages(pages, least), path, archive_bytes, payloads(pages))
+    write_archives(classify_pages(pages, least), path, payloads(pages))
     return read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
