@@ -2,9 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from slantframe.llm.decontaminate import find_contamination
+from slantframe.llm.jaccard import Similarity, keep_one_each
+from slantframe.llm.piece_codec import encode_documents
+from slantframe.llm.scratch import Scratch
+from slantframe.llm.suffix_dedup import strip_repeats
+from slantframe.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+#: The tokenizer's file; a parameter of the last stage.
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that the classifier rejects (score of 0.7 or more)."""
+    learn, _ = held_out(3, 1)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn)
+    return score_toxicity(docs, model, threshold=0.7, keep=True).where("toxic_predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five words, similarity 0.8)."""
+    return keep_one_each(docs, Similarity(words=5, num=80, den=100))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out every string of 200 bytes that also stands elsewhere, and counts characters anew."""
+    return strip_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold half of a benchmark item or more."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(docs, benchmark, keep=True).where("leak = 0").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with their digests."""
+    return encode_documents(docs, MODEL, keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("sentencepiece", encode),
+]
 
 #: None: the stages can't be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -12,8 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each one's result written and read again."""
-    from slantframe.llm.scratch import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:

@@ -104,6 +104,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     a row each.  With keep, all columns of docs are returned and, besides,
     leak_item, leak_coverage and leak.
     """
+    docs = docs.drop("leak_item", "leak_coverage", "leak") if keep else docs.select("doc_id", "text")
     items = benchmark.where("item_id is not null").select("item_id", "text")
     out = _broadcast(docs, items, coverage, broadcast_seeds) or _joined(docs, items, coverage)
     if keep:

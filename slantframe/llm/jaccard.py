@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -381,3 +382,32 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     named = scratch.save(rooted.join(names, "root").select("cls", "component_id"))
     scratch.drop(found, pairs, sketches)
     return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity(words=5, num=80)) -> DataFrame:
+    """The rows of docs that give their component its name, and those with a null id.
+
+    Of rows with one id and one component a single one stays.  Only rows that
+    may go are shuffled: a filter of bounded size over the ids that go tells
+    which.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "distinct")
+    found = scratch.save(jaccard_components(docs, similarity))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
+    key = F.xxhash64("__gone")
+    marked = scratch.save(gone.distinct().withColumn("__again", F.lit(False)).unionAll(again.withColumn("__again", F.lit(True))))
+    bits = 1 << max(12, min(27, (16 * max(1, marked.count())).bit_length()))
+    shared = spark.sparkContext.broadcast(bit_filter(marked.select(key.alias("key")), bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        at = (hashes.to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
+        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    flagged = docs.withColumn("__maybe", maybe(F.xxhash64("doc_id")))
+    some = flagged.where("__maybe").drop("__maybe").join(marked, F.col("doc_id") == F.col("__gone"), "left")
+    sure = some.where("__gone is null").select(*docs.columns)
+    one = some.where("__again").select(*docs.columns).dropDuplicates(["doc_id"])
+    return flagged.where("not __maybe").select(*docs.columns).unionAll(sure).unionAll(one)

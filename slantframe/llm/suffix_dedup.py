@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
-from slantframe.llm.scratch import Scratch, partitions
+from slantframe.llm.scratch import Scratch, bit_filter, partitions
 
 LENGTH, GRAM = 200, 100
 WINDOWS = LENGTH - GRAM + 1
@@ -354,6 +354,14 @@ class _Shard:
             yield starts + base, kernels.span_hashes(sums, starts, starts + LENGTH)
 
 
+def _whole_characters(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """flags without the bytes of characters that they cover in part."""
+    lead = (data & 0xC0) != 0x80
+    lead[0] = True
+    starts = np.flatnonzero(lead)
+    return np.repeat(np.logical_and.reduceat(flags, starts), np.diff(np.r_[starts, len(data)]))
+
+
 def _flags(n: int, blobs: list) -> np.ndarray:
     out = np.zeros(n, dtype=bool)
     out[np.frombuffer(b"".join(blobs), dtype="<i4")] = True
@@ -383,7 +391,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
 
     meta: doc_id, ent, n_bytes, sha, copies.  spans: ent, starts and ends of
     the maximal removed runs, n_removed, n_spans, kept_sha256 and, with
-    keep_text, kept (bytes).
+    keep_text, kept: the text without the characters that lie in a run whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
@@ -513,9 +521,11 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
                     flags = cover[p:q]
                     if flags.any():
                         edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-                        kept = part.data[base + p : base + q][~flags].tobytes()
+                        own_bytes = part.data[base + p : base + q]
+                        kept = own_bytes[~flags].tobytes()
+                        whole = own_bytes[~_whole_characters(own_bytes, flags)].tobytes() if keep_text else b""
                         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                        out.append((int(part.ents[i]), begin, end, int(flags.sum()), len(begin), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+                        out.append((int(part.ents[i]), begin, end, int(flags.sum()), len(begin), hashlib.sha256(kept).hexdigest(), *([whole] if keep_text else [])))
         return _table(list(zip(*out)) if out else [[] for _ in fields], [f for f, _ in fields], [t for _, t in fields])
 
     schema = "ent long, starts array<long>, ends array<long>, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
@@ -544,3 +554,33 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """docs with every repeated LENGTH-byte string cut out of text, by whole characters.
+
+    All rows and columns stay; a text of which nothing is left is empty, a
+    null text stays null.  Only texts that may have changed are shuffled: a
+    filter of bounded size tells which.
+    """
+    meta, spans, scratch = repeated_spans(docs, batches, keep_text=True)
+    copied = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("ent").distinct()
+    changed = spans.join(copied, "ent", "left_anti").select("ent", "kept").unionAll(copied.select("ent", F.lit(b"").alias("kept")))
+    changed = scratch.save(changed.withColumnRenamed("ent", "__ent").withColumnRenamed("kept", "__kept"))
+    bits = 1 << max(12, min(27, (16 * max(1, changed.count())).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(changed.select(F.col("__ent").alias("key")), bits))
+    text, names = docs.columns.index("text"), [*docs.columns, "__ent", "__maybe"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ents = np.array([entity(x.as_buffer() if x.is_valid else b"")[0] for x in batch.column(text)], dtype=np.uint64)
+            at = (ents % np.uint64(bits)).astype(np.int64)
+            maybe = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ents.view(np.int64)), pa.array(maybe.astype(bool))], names)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__ent long, __maybe boolean"])
+    tagged = docs.mapInArrow(run, schema)
+    cut = tagged.where("__maybe").join(changed, "__ent", "left")
+    text_now = F.coalesce(F.col("__kept").cast("string"), F.col("text")).alias("text")
+    cut = cut.select(*(text_now if c == "text" else F.col(c) for c in docs.columns))
+    return tagged.where("not __maybe").select(*docs.columns).unionAll(cut)

@@ -98,8 +98,8 @@ def fit_toxicity(
     groups: Sequence[Sequence[str]] = IDENTITY_GROUPS,
     rows: int = 20_000,
     words: int = 512,
-    least: int = 5,
-    strength: float = 6.0,
+    least: int = 3,
+    strength: float = 4.0,
     pairing: float = 1.0,
     ridge: float = 1e-6,
 ) -> ToxicityModel:
@@ -189,7 +189,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
     give a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs if keep else docs.select("doc_id", "text")
+    docs = docs.drop("toxic_score", "toxic_predicted") if keep else docs.select("doc_id", "text")
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
