@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
@@ -551,3 +551,15 @@ def q_label_latest(spark, sf):
 def q_match_partitions(spark, sf):
     s = v.table(spark, sf, "supplier")
     return annotation.partitions(s.select(F.col("s_suppkey").alias("image"), "s_nationkey", (F.col("s_suppkey") % 3).alias("size")), ["s_nationkey", "size"])
+
+
+# --- streams -------------------------------------------------------------------------
+
+
+@query("q_pulse_windows", "select event_type as channel, time_bucket(interval 1 hour, ts) as start, count(*) as n, round(avg(value), 6) as mean, round(min(value), 6) as low, round(max(value), 6) as high from events group by 1, 2")
+def q_pulse_windows(spark, sf):
+    """The stream's windows over the whole table; times are without a zone, as in the table."""
+    from slantframe.streaming.pulses import pulse_windows
+
+    e = v.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
+    return _rounded(pulse_windows(e), 6, "mean", "low", "high").withColumn("start", F.col("start").cast("timestamp_ntz"))
