@@ -36,6 +36,8 @@ PART_BITS = 1024
 HELD = 4_000_000
 #: Classes of one key that a task sends on as they are; of more it sends three.
 LOCAL = 64
+#: Members of a crowded part that meet in one place.
+BLOCK = 4096
 KEY = np.dtype([("key", "<u8"), ("cls", "<u8")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
@@ -251,8 +253,32 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(crowds: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that share a crowded part, lie in different components and weren't compared yet."""
+def _close_in_group(root: np.ndarray, n: np.ndarray, bits: list[bytes], similarity: Similarity, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the members of different components whose sketches don't rule a link out; one of them is own."""
+    num, den = similarity.num, similarity.den
+    least = min(map(len, bits))
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, least // 8), axis=0) for x in bits])
+    step = max(1, (1 << 19) // rows.size)
+    left, right = [], []
+    for a in range(0, len(rows), step):
+        apart = np.bitwise_count(rows[a : a + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
+        total = n[a : a + step, None] + n[None, :]
+        ok = (apart * (den + num) <= (den - num) * total) & (root[a : a + step, None] != root[None, :])
+        ok &= num * np.maximum(n[a : a + step, None], n[None, :]) <= den * np.minimum(n[a : a + step, None], n[None, :])
+        ok &= own[a : a + step, None] | own[None, :]
+        i, j = np.nonzero(ok)
+        keep = i + a < j
+        left.append(i[keep] + a)
+        right.append(j[keep])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _cross_pairs(crowds: DataFrame, roots: DataFrame, classes: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
+    """Pairs that share a crowded part, lie in different components, and whose sketches are close.
+
+    Only the members of parts that join different components are looked at.
+    They meet in blocks of BLOCK, and only close pairs leave a block.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,14 +286,38 @@ def _cross_pairs(crowds: DataFrame, roots: DataFrame, tried: DataFrame) -> DataF
                 rows = np.frombuffer(data, dtype=KEY)
                 yield pa.RecordBatch.from_arrays([pa.array(rows["key"].copy().view(np.int64)), pa.array(rows["cls"].copy().view(np.int64))], ["key", "cls"])
 
+    def compare(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        cls, root, n, block = (table.column(c).to_numpy() for c in ("cls", "root", "n", "block"))
+        bits = table.column("sketch").to_pylist()
+        order = np.lexsort((cls, j, i, key))
+        place = np.stack([key, i, j])[:, order]
+        cuts = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, dtype=np.int64)
+        a, b = [], []
+        for x, y in zip(cuts, [*cuts[1:], len(order)]):
+            at = order[x:y]
+            at = at[np.r_[True, cls[at][1:] != cls[at][:-1]]]
+            if len(at) > 1 and (root[at] != root[at[0]]).any():
+                # Of two blocks, a pair of one block is left to that block's own meeting.
+                own = block[at] == i[at[0]]
+                p, q = _close_in_group(root[at], n[at], [bits[k] for k in at], similarity, own)
+                if i[at[0]] != j[at[0]]:
+                    p, q = p[own[p] != own[q]], q[own[p] != own[q]]
+                a.append(cls[at][p])
+                b.append(cls[at][q])
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.zeros((2, 0), dtype=np.int64)
+        pairs = np.unique(pairs, axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
     members = crowds.select("data").mapInArrow(explode, "key long, cls long").distinct()
     rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = rooted.join(mixed, "key")
-    one = open_.select("key", F.col("cls").alias("a"), F.col("root").alias("ra"))
-    two = open_.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high")
+    met = rooted.join(mixed.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "key").join(classes, "cls")
+    met = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "cls", "root", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(compare, "a long, b long").distinct()
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -366,15 +416,15 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     found = scratch.save(_candidates(_keys(docs, similarity, shards), shards))
     pairs = scratch.save(_pairs(found.where("kind = 'pair'")))
 
-    def linked(candidates: DataFrame) -> DataFrame:
-        close = scratch.save(near(candidates, sketches, similarity))
+    def linked(close: DataFrame) -> DataFrame:
+        close = scratch.save(close)
         out = scratch.save(verify(close, _texts(docs, _class_filter(close), similarity), similarity))
         scratch.drop(close)
         return out
 
-    links = linked(pairs)
+    links = linked(near(pairs, sketches, similarity))
     roots = connected_components(links, scratch)
-    links = links.unionAll(linked(_cross_pairs(found.where("kind = 'crowd'"), roots, pairs)))
+    links = links.unionAll(linked(_cross_pairs(found.where("kind = 'crowd'"), roots, sketches, similarity, shards)))
     roots = connected_components(links, scratch)
     classes = meta.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -36,13 +36,13 @@ def test_dted_round_trip(spark, tmp_path):
 
 
 def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
-    rows = [(f"c{i % 3}", i, float(i), 3600 * (i // 7)) for i in range(60)]
+    rows = [(f"c{i % 3}", i, float(i), 3600 * (1000 + i // 7)) for i in range(60)]
     events = spark.createDataFrame(rows, "channel string, pulse int, value double, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     events.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     q = pulse_windows(stream, late="10 minutes").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, pulse_windows(events).collect()))
-    q = first_pulses(stream.unionAll(stream), "100 hours").writeStream.format("memory").queryName("firsts").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q = first_pulses(stream.unionAll(stream), "10 hours").writeStream.format("memory").queryName("firsts").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == 60
