@@ -12,7 +12,9 @@ and whole sketches rule most pairs out; the sets of the others are intersected.
 Documents with equal sets are one class, and only classes are compared, so
 copies cost nothing.  What agrees within a task is tied to one representative
 there, and of a part that very many sets share a task sends on three; the others'
-rows stay where they are until it is known which ones are still apart.
+rows stay where they are until it is known which ones are still apart.  Those
+meet twice: first only with the members that are close to the most others, of
+which each member sees one, then with all that are still in another component.
 """
 
 from __future__ import annotations
@@ -36,9 +38,13 @@ PART_BITS = 1024
 HELD = 4_000_000
 #: Classes of one key that a task sends on as they are; of more it sends three.
 LOCAL = 64
+#: Bits a shingle of the sketches that pairs of crowded parts are held against before their texts are.
+FINE = 4
 #: Members of a crowded part that meet in one place.
 BLOCK = 4096
+#: A part's key has 48 bits; two parts with one key by chance are one comparison more.
 KEY = np.dtype([("key", "<u8"), ("cls", "<u8")])
+PACKED = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<u8")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -144,6 +150,19 @@ def _stars(rows: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np
     return rows[(size <= least) | (rank < 3)], _sorted_unique(pairs), rows[(size > least) & (size > 2)]
 
 
+def _pack(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), dtype=PACKED)
+    out["low"], out["high"], out["cls"] = rows["key"] & np.uint64(0xFFFFFFFF), rows["key"] >> np.uint64(32), rows["cls"]
+    return out
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, dtype=PACKED)
+    out = np.empty(len(rows), dtype=KEY)
+    out["key"], out["cls"] = rows["high"].astype(np.uint64) << np.uint64(32) | rows["low"], rows["cls"]
+    return out
+
+
 def _split(rows: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(shard, kind="stable")
     rows, shard = rows[order], shard[order]
@@ -161,7 +180,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
-    """Rows of keys (KEY, to be joined), pairs (PAIR, found within a task) and crowds (KEY of crowded parts)."""
+    """Rows of keys (PACKED, to be joined), pairs (PAIR, found within a task) and crowds (PACKED, of crowded parts)."""
     sep = kernels.white_space()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +212,14 @@ def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
     def _block(sets: list[np.ndarray], ids: list[int]) -> np.ndarray:
         keys, owner = part_keys(sets, similarity)
         out = np.empty(len(keys), dtype=KEY)
-        out["key"], out["cls"] = keys, np.array(ids, dtype=np.uint64)[owner]
+        out["key"], out["cls"] = keys >> np.uint64(16), np.array(ids, dtype=np.uint64)[owner]
         return out
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         sent, pairs, crowd = _stars(np.concatenate(held), LOCAL)
-        out = [("key", s, d) for s, d in _split(sent, sent["key"] % np.uint64(shards))]
+        out = [("key", s, d) for s, d in _split(_pack(sent), sent["key"] % np.uint64(shards))]
         out += [("pair", s, d) for s, d in _split(pairs, pairs["b"] % np.uint64(shards))]
-        out += [("crowd", s, d) for s, d in _split(crowd, crowd["cls"] % np.uint64(shards))]
+        out += [("crowd", s, d) for s, d in _split(_pack(crowd), crowd["cls"] % np.uint64(shards))]
         return _rows(out)
 
     return docs.select("text").mapInArrow(run, BLOB)
@@ -211,10 +230,10 @@ def _candidates(keys: DataFrame, shards: int) -> DataFrame:
 
     def step(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        _, pairs, crowd = _stars(np.frombuffer(b"".join(d for k, d in zip(kinds, blobs) if k == "key"), dtype=KEY))
+        _, pairs, crowd = _stars(_unpack(b"".join(d for k, d in zip(kinds, blobs) if k == "key")))
         out = [(k, table.column("shard")[0].as_py(), d) for k, d in zip(kinds, blobs) if k != "key"]
         out += [("pair", s, d) for s, d in _split(pairs, pairs["a"] % np.uint64(shards))]
-        out += [("crowd", s, d) for s, d in _split(crowd, crowd["key"] % np.uint64(shards))]
+        out += [("crowd", s, d) for s, d in _split(_pack(crowd), crowd["key"] % np.uint64(shards))]
         return pa.Table.from_batches([_rows(out)])
 
     return keys.groupBy("shard").applyInArrow(step, BLOB)
@@ -273,18 +292,38 @@ def _close_in_group(root: np.ndarray, n: np.ndarray, bits: list[bytes], similari
     return np.concatenate(left), np.concatenate(right)
 
 
-def _cross_pairs(crowds: DataFrame, roots: DataFrame, classes: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
-    """Pairs that share a crowded part, lie in different components, and whose sketches are close.
+def _hub_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Indices of fewer pairs than there are members: those of the member with the most pairs, and so on among the members that are in none yet."""
+    taken, left = [np.zeros(0, dtype=np.int64)], np.arange(len(p))
+    while len(left):
+        a, b = p[left], q[left]
+        hub = np.bincount(np.r_[a, b]).argmax()
+        own = (a == hub) | (b == hub)
+        taken.append(left[own])
+        seen = np.r_[a[own], b[own]]
+        left = left[~(np.isin(a, seen) | np.isin(b, seen))]
+    return np.concatenate(taken)
 
-    Only the members of parts that join different components are looked at.
-    They meet in blocks of BLOCK, and only close pairs leave a block.
-    """
+
+def _members(crowds: DataFrame) -> DataFrame:
+    """(key, cls) of the members of crowded parts."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = np.frombuffer(data, dtype=KEY)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["key"].copy().view(np.int64)), pa.array(rows["cls"].copy().view(np.int64))], ["key", "cls"])
+                rows = _unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), pa.array(rows["cls"].view(np.int64))], ["key", "cls"])
+
+    return crowds.select("data").mapInArrow(explode, "key long, cls long").distinct()
+
+
+def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, similarity: Similarity, shards: int, hubs: bool) -> DataFrame:
+    """Pairs that share a crowded part, lie in different components, and whose sketches are close.
+
+    Only the members of parts that join different components are looked at.
+    They meet in blocks of BLOCK, and only close pairs leave a block.  With
+    hubs, blocks don't meet each other, and fewer pairs than members leave.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -296,33 +335,34 @@ def _cross_pairs(crowds: DataFrame, roots: DataFrame, classes: DataFrame, simila
         a, b = [], []
         for x, y in zip(cuts, [*cuts[1:], len(order)]):
             at = order[x:y]
-            at = at[np.r_[True, cls[at][1:] != cls[at][:-1]]]
             if len(at) > 1 and (root[at] != root[at[0]]).any():
                 # Of two blocks, a pair of one block is left to that block's own meeting.
                 own = block[at] == i[at[0]]
                 p, q = _close_in_group(root[at], n[at], [bits[k] for k in at], similarity, own)
                 if i[at[0]] != j[at[0]]:
                     p, q = p[own[p] != own[q]], q[own[p] != own[q]]
+                if hubs:
+                    some = _hub_pairs(p, q)
+                    p, q = p[some], q[some]
                 a.append(cls[at][p])
                 b.append(cls[at][q])
         pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.zeros((2, 0), dtype=np.int64)
         pairs = np.unique(pairs, axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    members = crowds.select("data").mapInArrow(explode, "key long, cls long").distinct()
     rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high")
     met = rooted.join(mixed.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "key").join(classes, "cls")
     met = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.withColumn("other", F.col("block") if hubs else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "cls", "root", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(compare, "a long, b long").distinct()
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """A bit sketch of a power of two of bits, about one a shingle: each shingle flips one bit."""
-    bits = max(256, 1 << max(0, len(shingles) - 1).bit_length())
+def sketch(shingles: np.ndarray, fine: int = 1) -> bytes:
+    """A bit sketch of a power of two of bits, about fine bits a shingle: each shingle flips one bit."""
+    bits = max(256, 1 << max(0, fine * len(shingles) - 1).bit_length())
     at = (shingles >> np.uint64(7)) % np.uint64(bits)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).tobytes()
 
@@ -382,6 +422,19 @@ def _texts(docs: DataFrame, flags: np.ndarray, similarity: Similarity) -> DataFr
     return found.dropDuplicates(["cls"])
 
 
+def _fine_sketches(texts: DataFrame, similarity: Similarity) -> DataFrame:
+    """(cls, n, sketch): sketches of FINE bits a shingle, which tell near misses from links."""
+    sep = kernels.white_space()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), sketch(s, FINE)) for s in kernels.shingle_sets(batch.column(1), similarity.words, sep)]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary())))], ["cls", "n", "sketch"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, sketch binary")
+
+
 def _meta(docs: DataFrame, similarity: Similarity) -> DataFrame:
     sep = kernels.white_space()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -416,21 +469,25 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     found = scratch.save(_candidates(_keys(docs, similarity, shards), shards))
     pairs = scratch.save(_pairs(found.where("kind = 'pair'")))
 
-    def linked(close: DataFrame) -> DataFrame:
+    def linked(close: DataFrame, fine: bool = False) -> DataFrame:
         close = scratch.save(close)
-        out = scratch.save(verify(close, _texts(docs, _class_filter(close), similarity), similarity))
-        scratch.drop(close)
+        texts = scratch.save(_texts(docs, _class_filter(close), similarity))
+        closer = scratch.save(near(close, _fine_sketches(texts, similarity), similarity)) if fine else close
+        out = scratch.save(verify(closer, texts, similarity))
+        scratch.drop(close, texts, *([closer] if fine else []))
         return out
 
     links = linked(near(pairs, sketches, similarity))
     roots = connected_components(links, scratch)
-    links = links.unionAll(linked(_cross_pairs(found.where("kind = 'crowd'"), roots, sketches, similarity, shards)))
-    roots = connected_components(links, scratch)
+    members = scratch.save(_members(found.where("kind = 'crowd'")))
+    for hubs in (True, False):
+        links = links.unionAll(linked(_cross_pairs(members, roots, sketches, similarity, shards, hubs), fine=True))
+        roots = connected_components(links, scratch)
     classes = meta.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(names, "root").select("cls", "component_id"))
-    scratch.drop(found, pairs, sketches)
+    scratch.drop(found, pairs, sketches, members)
     return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
