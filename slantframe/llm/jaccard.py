@@ -40,6 +40,8 @@ HELD = 4_000_000
 LOCAL = 64
 #: Bits a shingle of the sketches that pairs of crowded parts are held against before their texts are.
 FINE = 4
+#: Least keys of a class by which a pair that meets in several parts is told to leave but one of them.
+LEAST_KEYS = 8
 #: Members of a crowded part that meet in one place.
 BLOCK = 4096
 #: A part's key has 48 bits; two parts with one key by chance are one comparison more.
@@ -305,6 +307,17 @@ def _hub_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.concatenate(taken)
 
 
+def _met_before(least: np.ndarray, p: np.ndarray, q: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs have a key smaller than key in common, as far as their least keys tell (-1: none)."""
+    out = np.zeros(len(p), dtype=bool)
+    for x in range(0, len(p), 1 << 16):
+        a, b = least[p[x : x + (1 << 16)]], least[q[x : x + (1 << 16)]]
+        for i in range(LEAST_KEYS):
+            own = a[:, i : i + 1]
+            out[x : x + (1 << 16)] |= ((own == b) & (own >= 0) & (own < key)).any(axis=1)
+    return out
+
+
 def _members(crowds: DataFrame) -> DataFrame:
     """(key, cls) of the members of crowded parts."""
 
@@ -321,14 +334,18 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, simil
     """Pairs that share a crowded part, lie in different components, and whose sketches are close.
 
     Only the members of parts that join different components are looked at.
-    They meet in blocks of BLOCK, and only close pairs leave a block.  With
+    They meet in blocks of BLOCK, and only close pairs leave a block, unless
+    they are known to meet in a part of a smaller key as well.  With
     hubs, blocks don't meet each other, and fewer pairs than members leave.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
         cls, root, n, block = (table.column(c).to_numpy() for c in ("cls", "root", "n", "block"))
-        bits = table.column("sketch").to_pylist()
+        bits, keys = table.column("sketch").to_pylist(), table.column("keys").to_pylist()
+        least = np.full((len(keys), LEAST_KEYS), -1, dtype=np.int64)
+        for row, own in zip(least, keys):
+            row[: len(own)] = own
         order = np.lexsort((cls, j, i, key))
         place = np.stack([key, i, j])[:, order]
         cuts = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, dtype=np.int64)
@@ -341,6 +358,8 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, simil
                 p, q = _close_in_group(root[at], n[at], [bits[k] for k in at], similarity, own)
                 if i[at[0]] != j[at[0]]:
                     p, q = p[own[p] != own[q]], q[own[p] != own[q]]
+                keep = np.flatnonzero(~_met_before(least[at], p, q, key[at[0]]))
+                p, q = p[keep], q[keep]
                 if hubs:
                     some = _hub_pairs(p, q)
                     p, q = p[some], q[some]
@@ -352,10 +371,12 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, simil
 
     rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high")
-    met = rooted.join(mixed.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "key").join(classes, "cls")
+    met = rooted.join(mixed.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "key")
+    least = met.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("keys"))
+    met = met.join(classes.join(least, "cls"), "cls")
     met = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = met.withColumn("other", F.col("block") if hubs else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "cls", "root", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("key", "cls", "root", "n", "sketch", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(compare, "a long, b long").distinct()
 
