@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
 from slantframe.llm.components import connected_components
-from slantframe.llm.scratch import Scratch, bit_filter, partitions
+from slantframe.llm.scratch import Scratch, bit_filter, partitions, small_batches
 
 #: Bits of a sketch's part.
 PART_BITS = 1024
 #: Keys that a task gathers before it hands them on.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Classes of one key that a task sends on as they are; of more it sends three.
 LOCAL = 64
 #: Bits a shingle of the sketches that pairs of crowded parts are held against before their texts are.
@@ -207,7 +207,6 @@ def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
             if n >= HELD:
                 yield flush(held)
                 held, n = [], 0
-                seen.clear()
         if n:
             yield flush(held)
 
@@ -494,7 +493,8 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
         close = scratch.save(close)
         texts = scratch.save(_texts(docs, _class_filter(close), similarity))
         closer = scratch.save(near(close, _fine_sketches(texts, similarity), similarity)) if fine else close
-        out = scratch.save(verify(closer, texts, similarity))
+        with small_batches(spark):
+            out = scratch.save(verify(closer, texts, similarity))
         scratch.drop(close, texts, *([closer] if fine else []))
         return out
 

@@ -41,7 +41,7 @@ LENGTH, GRAM = 200, 100
 WINDOWS = LENGTH - GRAM + 1
 BATCHES = 4
 #: Entries that a task gathers before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 ENTRY = np.dtype([("fp", "<u8"), ("ent", "<u8"), ("pos", "<i8")])
 HIT = np.dtype([("ent", "<u8"), ("pos", "<i8")])
