@@ -59,6 +59,12 @@ def q_block_mosaic(spark, sf):
     return _rounded(raster.mosaic(v.px(spark, sf), (64, 8), ["re"], -1.0), 6, "re")
 
 
+@query("q_block_mosaic_whole", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 256))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
+def q_block_mosaic_whole(spark, sf):
+    """All rows of the images; q_block_mosaic has those below 64, as its SQL."""
+    return _rounded(raster.mosaic(v.px(spark, sf), (256, 8), ["re"], -1.0), 6, "re")
+
+
 @query("q_band_stack", f"with {v.PX} select r, c, round(re, 6) as re, image as band from px where image in (0, 1)")
 def q_band_stack(spark, sf):
     df = v.px(spark, sf)
@@ -442,6 +448,13 @@ def q_dft_power(spark, sf):
     return _rounded(out, 5, "power")
 
 
+@query("q_dft_spectrum", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 64)) as k), d as (select vec_id, k, sum(x * cos(2 * pi() * i * k / 64)) as a, sum(x * sin(2 * pi() * i * k / 64)) as b from s, k group by 1, 2) select vec_id, k::int as k, round(a*a + b*b, 5) as power from d")
+def q_dft_spectrum(spark, sf):
+    """All bins of every vector; q_dft_power has the first five, as its SQL."""
+    df = spectral.spectrum_power(v.table(spark, sf, "embeddings"), "embedding", "vec_id")
+    return _rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
+
+
 @query("q_window_taper", "select n.n, i::int as i, round(0.54::double - 0.46::double * cos(2 * pi() * i / (n.n - 1)), 7) as weight from (values (16), (33), (64)) n(n), lateral (select unnest(range(0, n.n)) as i)")
 def q_window_taper(spark, sf):
     sizes = spark.createDataFrame([(16,), (33,), (64,)], "n int")
