@@ -94,6 +94,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES], listed)
 
 
+#: A domain of the corpus is listed if its first label holds one of these words between hyphens.
+BLOCKED_WORDS = ("spam", "pills", "casino", "bets", "xxx", "viagra", "porn", "poker")
+
+
+def op9_url_filter_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_url_filter, with a list read off the corpus's own hosts that covers subdomains."""
+    from slantframe.llm.url_filter import Rule, judge_urls, worded_hosts
+
+    pages = _table(spark, sf_dir, "pages")
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES], worded_hosts(pages, BLOCKED_WORDS), parents=True)
+
+
 OP9_SQL = """
 with rest as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
 parsed as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -111,6 +123,9 @@ select page_id, host, path, rule, case
 from ruled
 """
 
+#: A host is blocked if one of its labels holds a word: it is then at or below the domain that starts with that label.
+OP9_DOMAINS_SQL = OP9_SQL.replace("host in ({hosts})", "list_has_any(string_split(replace(host, '.', '-'), '-'), [{words}])")
+
 OP6_SQL = """
 with turns as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -146,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op9_url_filter_domains": op9_url_filter_domains,
     }
 
 
@@ -153,4 +169,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_chat_format": OP6_SQL,
         "op9_url_filter": OP9_SQL.format(hosts=", ".join(f"'{h}'" for h in BLOCKED_HOSTS)),
+        "op9_url_filter_domains": OP9_DOMAINS_SQL.format(words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
     }

@@ -152,11 +152,24 @@ def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST
     return Cascade(tuple(levels))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def parent_domains(host: Column) -> Column:
+    """The host and what is left of it as its leading labels go, one by one."""
+    labels = F.split(host, r"\.", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def worded_hosts(pages: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(key): every domain of pages whose first label holds one of the words between hyphens."""
+    key = pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct().select(F.explode(parent_domains(F.col("host"))).alias("key")).distinct()
+    return key.where(F.arrays_overlap(F.split(F.substring_index("key", ".", 1), "-", -1), F.array(*[F.lit(w) for w in words])))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, most_bytes: int = MOST_BYTES, parents: bool = False) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages.
 
     verdict is the longest fitting rule's; where none fits, block if the host
-    is listed (column key of listed) and allow otherwise.  A null url, or one
+    is listed (column key of listed) and allow otherwise.  With parents, a
+    host is also blocked if a domain above it is listed.  A null url, or one
     without ://, has an empty host and path; an empty host is listed only if
     the empty string is.  Repeated rows give a row each; other columns are not
     looked at.
@@ -164,6 +177,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, most_
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     keys = parsed.select(F.col("host").alias("key"))
+    if parents:
+        # The hosts at or below a listed domain are the listed keys, so rows are still judged by their own host alone.
+        under = keys.distinct().select("key", F.explode(parent_domains(F.col("key"))).alias("domain"))
+        listed = under.join(listed.select(F.col("key").alias("domain")).distinct(), "domain", "left_semi").select("key").distinct()
     cascade = build_cascade(keys, listed, most_bytes)
     name, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
     if cascade is None:
