@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-The terms of a text are runs of four character classes (neighbouring bytes of
-one class count once) and, for every word, whether it repeats one of the words
-just before it.  Term counts are damped, weighted by inverse document
+The terms of a text are its words (hashed, A-Z as a-z), runs of four character
+classes (neighbouring bytes of one class count once) and, for every word,
+whether it repeats one of the words just before it.  Term counts are damped, weighted by inverse document
 frequency and projected by a truncated singular value decomposition.  The
 labelled vectors are few and bounded, so they are broadcast; every document is
 multiplied with all of them in blocks, and its nearest ones vote with their
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from slantframe.llm import kernels
 from slantframe.llm.labelled import labelled_sample
 
-#: Terms: hashed runs of classes, then words that repeat the last, the one before it, or neither.
-RUNS = 1021
-TERMS = RUNS + 3
+#: Terms: hashed runs of classes, then words that repeat the last, the one before it, or neither, then hashed words.
+RUNS, WORDS = 1021, 4093
+TERMS = RUNS + 3 + WORDS
+#: Texts whose counts are in memory at a time.
+BLOCK = 256
 SPACES = kernels.white_space()
 
 
@@ -42,7 +44,7 @@ CLASSES = _classes()
 def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first text, counts) of blocks of texts; a row of TERMS counts for each text."""
     data, offsets = kernels.utf8(column)
-    for a, b in kernels.chunks(offsets):
+    for a, b in ((x, min(x + BLOCK, end)) for start, end in kernels.chunks(offsets) for x in range(start, end, BLOCK)):
         own, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         n = b - a
         counts = np.zeros(n * TERMS)
@@ -66,6 +68,8 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 again = (hashes[back:] == hashes[:-back]) & (of[back:] == of[:-back])
                 kind[back:][again] = RUNS + back - 1
             counts += np.bincount(of * TERMS + kind, minlength=n * TERMS)
+            word = (hashes % np.uint64(WORDS)).astype(np.int64) + RUNS + 3
+            counts += np.bincount(of * TERMS + word, minlength=n * TERMS)
         yield a, counts.reshape(n, TERMS)
 
 
@@ -103,6 +107,15 @@ class QualityModel:
         return np.clip(out, 0, 1)
 
 
+def _leading(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from a fixed start."""
+    axes = np.random.default_rng(1).standard_normal((x.shape[1], min(2 * rank, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        axes, _ = np.linalg.qr(x.T @ (x @ axes))
+    _, _, turn = np.linalg.svd(x @ axes, full_matrices=False)
+    return (axes @ turn[:rank].T).astype(np.float32)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", rows: int = 4096, rank: int = 48, neighbours: int = 15) -> QualityModel:
     """Fits the space and keeps the vectors of at most ``rows`` labelled rows (least id hashes).
 
@@ -123,9 +136,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
     if not len(y):
         return QualityModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours, 0.5)
     idf = np.log((1 + len(y)) / (1 + (x > 0).sum(axis=0))) + 1
-    weighted = np.log1p(x) * idf
-    _, axes = np.linalg.eigh(weighted.T @ weighted)
-    model = QualityModel(idf, axes[:, ::-1][:, :rank].astype(np.float32).copy(), np.zeros((0, rank), np.float32), y, neighbours, float(y.mean()))
+    energy = ((np.log1p(x) * idf) ** 2).sum(axis=0, dtype=np.float64)
+    # Words and layout carry the same weight over the labelled rows.
+    idf[RUNS + 3 :] *= np.sqrt(energy[: RUNS + 3].sum() / max(energy[RUNS + 3 :].sum(), 1e-12))
+    model = QualityModel(idf, _leading((np.log1p(x) * idf).astype(np.float32), rank), np.zeros((0, rank), np.float32), y, neighbours, float(y.mean()))
     return QualityModel(idf, model.axes, model.embed(x), y, neighbours, float(y.mean()))
 
 
