@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slantframe.operators.checkpoints import ensure_checkpoint_dir
 
-def label_paths(spark, links: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, depth, path) of every label below a root, by a recursive query over (parent, child)."""
+
+def label_paths(spark, links: DataFrame) -> DataFrame:
+    """(id, depth, path) of every label at or below a root, over (parent, child).
+
+    A level is a join of the one above, checkpointed, until no label is found.
+    A cycle below a root is an error.
+    """
+    ensure_checkpoint_dir(spark)
+    links = links.select("parent", "child")
     links.createOrReplaceTempView("slantframe_label_links")
-    return spark.sql(f"""
-        with recursive walk (id, depth, path) as (
-            select distinct parent, 0, cast(parent as string) from slantframe_label_links
-            where parent not in (select child from slantframe_label_links)
-            union all
-            select l.child, w.depth + 1, concat(w.path, '/', l.child)
-            from walk w join slantframe_label_links l on l.parent = w.id where w.depth < {depth})
-        select id, depth, path from walk""")
+    level = spark.sql("""
+        select distinct parent as id, 0 as depth, cast(parent as string) as path, array(parent) as above from slantframe_label_links
+        where parent not in (select child from slantframe_label_links)""").checkpoint()
+    out = level
+    while True:
+        met = level.join(links, F.col("id") == F.col("parent"))
+        level = met.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "child").alias("path"), F.array_append("above", F.col("child")).alias("above"), F.array_contains("above", F.col("child")).alias("again")).checkpoint()
+        if level.isEmpty():
+            return out.select("id", "depth", "path")
+        if met_again := level.where("again").first():
+            raise ValueError(f"a cycle of labels: {met_again.path}")
+        level = level.drop("again")
+        out = out.unionAll(level)
 
 
 def inverted_forks(links: DataFrame) -> DataFrame:
