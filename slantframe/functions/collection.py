@@ -117,6 +117,13 @@ def band_name(centre: Column) -> Column:
     return out.otherwise("UN")
 
 
+def polarization(transmit: Column, receive: Column) -> Column:
+    """Name of a channel by what it transmits and receives; an unknown part hides an other one."""
+    has = lambda x: F.coalesce(transmit == x, F.lit(False)) | F.coalesce(receive == x, F.lit(False))
+    missing = transmit.isNull() | receive.isNull()
+    return F.when(missing | has("UNKNOWN"), "UNKNOWN").when(has("OTHER"), "OTHER").otherwise(F.concat(transmit, F.lit(":"), receive))
+
+
 def physical(pixel: Column, scp_pixel: Column, first: Column, spacing: Column) -> Column:
     """Metres from the scene centre along one axis of the image."""
     return (pixel + first - scp_pixel) * spacing

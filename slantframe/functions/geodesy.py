@@ -22,31 +22,27 @@ def geodetic_to_ecf(lat: Column, lon: Column, hae: Column) -> Vec:
     return Vec((n + hae) * F.cos(p) * F.cos(q), (n + hae) * F.cos(p) * F.sin(q), (n * (1 - E2) + hae) * F.sin(p))
 
 
-def ecf_to_geodetic(df: DataFrame, place: str) -> DataFrame:
-    """Adds lat, lon and hae of the place (columns <place>_x, _y, _z); null within the evolute, where no unique answer exists.
+def ecf_to_geodetic(df: DataFrame, place: str, lat: str = "lat", lon: str = "lon", hae: str = "hae", rounds: int = 3) -> DataFrame:
+    """Adds latitude, longitude and height of the place (columns <place>_x, _y, _z); null near the earth's centre, where no unique answer exists.
 
-    Heikkinen's closed form, a column a step so that none is computed twice.
+    Bowring's rounds on the parametric latitude: each takes the tangent of the
+    geodetic latitude from the centre of curvature of the last one.
     """
     names = df.columns
     p = Vec.of(place)
     c = F.col
-    steps = [
-        {"r2_": p.x * p.x + p.y * p.y, "z2_": p.z * p.z},
-        {"r_": F.sqrt("r2_"), "f_": 54.0 * B2 * c("z2_"), "g_": F.nullif(c("r2_") + (1 - E2) * c("z2_") - E2 * (A2 - B2), F.lit(0.0))},
-        {"c_": (E2 * E2) * c("f_") * c("r2_") / (c("g_") * c("g_") * c("g_"))},
-        {"s_": F.pow(1.0 + c("c_") + F.sqrt(F.greatest(c("c_") * c("c_") + 2 * c("c_"), F.lit(0.0))), F.lit(1.0 / 3))},
-        {"h_": c("g_") * (c("s_") + 1.0 / c("s_") + 1.0)},
-        {"k_": c("f_") / (3.0 * c("h_") * c("h_"))},
-        {"q_": F.sqrt(1.0 + 2.0 * (E2 * E2) * c("k_"))},
-        {"t_": c("r_") + c("k_") * (E2 * E2) * c("r_") / (1.0 + c("q_")) - E2 * F.sqrt(F.abs(0.5 * A2 * (1.0 + 1.0 / c("q_")) - c("k_") * (1 - E2) * c("z2_") / (c("q_") * (1.0 + c("q_"))) - 0.5 * c("k_") * c("r2_")))},
-        {"u_": F.sqrt(c("t_") * c("t_") + c("z2_")), "v_": A * F.sqrt(c("t_") * c("t_") + (1 - E2) * c("z2_"))},
-    ]
-    for step in steps:
-        df = df.withColumns(step)
-    valid = A2 * c("r2_") + B2 * c("z2_") > (A2 - B2) * (A2 - B2)
-    lat = F.degrees(F.atan2(p.z + EP2 * (B2 * p.z / c("v_")), c("r_")))
-    found = (lat, F.degrees(F.atan2(p.y, p.x)), c("u_") * (1.0 - B2 / c("v_")))
-    return df.select(*names, *(F.when(valid, x).alias(n) for n, x in zip(("lat", "lon", "hae"), found)))
+    df = df.withColumn("axis_", F.hypot(p.x, p.y))
+    tangent = F.atan2(p.z * A, c("axis_") * B)
+    for _ in range(rounds):
+        df = df.withColumn("beta_", tangent)
+        sin, cos = F.sin("beta_"), F.cos("beta_")
+        df = df.withColumn("phi_", F.atan2(p.z + EP2 * B * sin * sin * sin, c("axis_") - E2 * A * cos * cos * cos))
+        tangent = F.atan2(B * F.sin("phi_"), A * F.cos("phi_"))
+    # The evolute of the meridian's ellipse bounds where several normals pass.
+    unique = F.pow(A * c("axis_"), F.lit(2 / 3)) + F.pow(F.abs(B * p.z), F.lit(2 / 3)) > (A2 - B2) ** (2 / 3)
+    up = c("axis_") * F.cos("phi_") + p.z * F.sin("phi_") - A * F.sqrt(1 - E2 * F.sin("phi_") * F.sin("phi_"))
+    found = (F.degrees("phi_"), F.degrees(F.atan2(p.y, p.x)), up)
+    return df.select(*names, *(F.when(unique, x).alias(n) for n, x in zip((lat, lon, hae), found)))
 
 
 def ellipsoid_normal(p: Vec) -> Vec:

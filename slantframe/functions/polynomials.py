@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,17 +25,19 @@ def derivative(coefficients: Column) -> Column:
     return F.when(F.size(coefficients) > 1, out).otherwise(F.array(F.lit(0.0)))
 
 
-def shift(coefficients: Column, at: Column, scale: Column | float = 1.0) -> Column:
-    """Coefficients q with q(x) = p(scale * x - at)."""
-    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    n = F.size(coefficients)
-    binomial = lambda i, j: F.round(F.exp(_log_factorial(i) - _log_factorial(j) - _log_factorial(i - j)))
-    term = lambda j: F.aggregate(F.sequence(j, n - 1), F.lit(0.0), lambda a, i: a + F.element_at(coefficients, i + 1) * binomial(i, j) * F.pow(-at, (i - j).cast("double")))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: term(j) * F.pow(scale, j.cast("double")))
-
+def shift(coefficients: Column | Sequence[float], at: Column | float, scale: Column | float = 1.0) -> Column:
+    """Coefficients q with q(x) = p(scale * x - at), by Horner's scheme over polynomials.
 
-def _log_factorial(n: Column) -> Column:
-    return F.ln(F.factorial(n).cast("double"))
+    Plain numbers are worked out once on the driver; Columns in each row.
+    """
+    if not isinstance(coefficients, Column):
+        out: list[float] = []
+        for c in reversed(coefficients):
+            out = [(c if j == 0 else scale * out[j - 1]) - (at * out[j] if j < len(out) else 0.0) for j in range(len(out) + 1)]
+        return F.array(*[F.lit(float(c)) for c in out])
+    at, scale = (x if isinstance(x, Column) else F.lit(float(x)) for x in (at, scale))
+    step = lambda q, c: F.zip_with(F.concat(F.array(c), F.transform(q, lambda x: x * scale)), F.concat(F.transform(q, lambda x: -at * x), F.array(F.lit(0.0))), lambda a, b: a + b)
+    return F.aggregate(F.reverse(coefficients), F.array().cast("array<double>"), step)
 
 
 def trim(coefficients: Column) -> Column:

@@ -77,23 +77,53 @@ def get(name: str, bits: int = 8) -> Callable[[DataFrame, str], DataFrame]:
     return _REGISTRY[name, bits]
 
 
-def _with_statistics(df: DataFrame, image: str) -> DataFrame:
-    """df with the statistics of its image; a row an image, so the join moves little."""
-    use = F.when(_finite(F.col("amplitude")), F.col("amplitude"))
-    stats = df.groupBy(image).agg(F.avg(use).alias("mean_"), F.min(use).alias("low_"), F.max(use).alias("high_"), F.percentile(use, 0.99).alias("p99_"))
-    return df.join(stats, image)
+def _with_statistics(df: DataFrame, image: str, *wanted: str) -> DataFrame:
+    """df with the wanted statistics of its image; a row an image, so the join moves little.
 
+    The mean is that of the finite values other than zero.
+    """
+    a = F.col("amplitude")
+    use = F.when(_finite(a), a)
+    stats = {"mean_": F.avg(F.when(_finite(a) & (a != 0), a)), "low_": F.min(use), "high_": F.max(use), "p99_": F.percentile(use, 0.99), "median_": F.percentile(use, 0.5)}
+    return df.join(df.groupBy(image).agg(*(stats[n].alias(n) for n in wanted)), image)
 
-def _registered(level: Callable[[float], Column], bits: int) -> Callable[[DataFrame, str], DataFrame]:
+
+def _registered(level: Callable[[float], Column], bits: int, *wanted: str) -> Callable[[DataFrame, str], DataFrame]:
     top = float((1 << bits) - 1)
-    return lambda df, image: _with_statistics(df, image).withColumn("level", clip_cast(level(top), 0, int(top))).drop("mean_", "low_", "high_", "p99_")
+    return lambda df, image: _with_statistics(df, image, *wanted).withColumn("level", clip_cast(level(top), 0, int(top))).drop(*wanted)
+
+
+# Fixed values of the angle-dependent density remap: exponent by weighting, factor of the low cut-off, factors of
+# graze and of the log of median over mean, and the range in decibels that the cut-offs may span.
+GDM_EXPONENT, GDM_LOW, GDM_GRAZE, GDM_MEDIAN, GDM_SPAN = {"uniform": 1.23, "taylor": 1.33}, 0.77, -0.0422, -1.95, (24.0, 40.0)
+
+
+def gdm_cutoffs(mean: Column, median: Column, graze: float, slope: float, weighting: str = "uniform") -> tuple[Column, Column]:
+    """(low, high) amplitudes of the angle-dependent density remap; angles in degrees."""
+    tilt = math.sin(math.radians(graze)) / math.cos(math.radians(slope))
+    low = median * GDM_LOW
+    high = median * F.pow(F.lit(10.0), GDM_EXPONENT[weighting] + GDM_GRAZE * tilt + GDM_MEDIAN * F.log10(median / mean))
+    span = 20 * F.log10(high / low)
+    over = span - F.least(F.greatest(span, F.lit(GDM_SPAN[0])), F.lit(GDM_SPAN[1]))
+    beta = F.pow(F.lit(10.0), over / 40)
+    return low * beta, high / beta
+
+
+def gdm(graze: float, slope: float, weighting: str = "uniform", bits: int = 8) -> Callable[[DataFrame, str], DataFrame]:
+    """A density remap whose cut-offs follow from the image's mean, its median and its angles in degrees."""
+
+    def level(top: float) -> Column:
+        low, high = gdm_cutoffs(F.col("mean_"), F.col("median_"), graze, slope, weighting)
+        rise = 225.0 / F.log10(high / low)
+        return F.coalesce((rise * (F.log10(F.greatest(F.col("amplitude"), F.lit(1e-5))) - F.log10(low)) + 30.0) * (top / 255.0), F.lit(0.0))
+
+    return _registered(level, bits, "mean_", "median_")
 
 
 for _bits in (8, 16):
-    _a = F.col  # columns are resolved when a remap is applied
     for _name, (_dmin, _mmult) in DENSITIES.items():
-        register(_name, _bits, lambda df, image, d=_dmin, m=_mmult, b=_bits: _registered(lambda top: density(F.col("amplitude"), F.col("mean_"), d, m, top), b)(df, image))
-    register("linear", _bits, lambda df, image, b=_bits: _registered(lambda top: linear(F.col("amplitude"), F.col("low_"), F.col("high_"), top), b)(df, image))
-    register("log", _bits, lambda df, image, b=_bits: _registered(lambda top: logarithmic(F.col("amplitude"), F.col("low_"), F.col("high_"), top), b)(df, image))
-    register("pedf", _bits, lambda df, image, b=_bits: _registered(lambda top: pedf(F.col("amplitude"), F.col("mean_"), top), b)(df, image))
-    register("nrl", _bits, lambda df, image, b=_bits: _registered(lambda top: nrl(F.col("amplitude"), F.col("low_"), F.col("high_"), F.col("p99_"), top), b)(df, image))
+        register(_name, _bits, lambda df, image, d=_dmin, m=_mmult, b=_bits: _registered(lambda top: density(F.col("amplitude"), F.col("mean_"), d, m, top), b, "mean_")(df, image))
+    register("linear", _bits, lambda df, image, b=_bits: _registered(lambda top: linear(F.col("amplitude"), F.col("low_"), F.col("high_"), top), b, "low_", "high_")(df, image))
+    register("log", _bits, lambda df, image, b=_bits: _registered(lambda top: logarithmic(F.col("amplitude"), F.col("low_"), F.col("high_"), top), b, "low_", "high_")(df, image))
+    register("pedf", _bits, lambda df, image, b=_bits: _registered(lambda top: pedf(F.col("amplitude"), F.col("mean_"), top), b, "mean_")(df, image))
+    register("nrl", _bits, lambda df, image, b=_bits: _registered(lambda top: nrl(F.col("amplitude"), F.col("low_"), F.col("high_"), F.col("p99_"), top), b, "low_", "high_", "p99_")(df, image))

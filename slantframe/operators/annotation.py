@@ -12,14 +12,12 @@ def label_paths(spark, links: DataFrame) -> DataFrame:
     """(id, depth, path) of every label at or below a root, over (parent, child).
 
     A level is a join of the one above, checkpointed, until no label is found.
-    A cycle below a root is an error.
+    A cycle below a root is an error; links without a parent or a child take no part.
     """
     ensure_checkpoint_dir(spark)
-    links = links.select("parent", "child")
-    links.createOrReplaceTempView("slantframe_label_links")
-    level = spark.sql("""
-        select distinct parent as id, 0 as depth, cast(parent as string) as path, array(parent) as above from slantframe_label_links
-        where parent not in (select child from slantframe_label_links)""").checkpoint()
+    links = links.select("parent", "child").where("parent is not null and child is not null")
+    roots = links.select(F.col("parent").alias("id")).distinct().join(links.select(F.col("child").alias("id")), "id", "left_anti")
+    level = roots.select("id", F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"), F.array("id").alias("above")).checkpoint()
     out = level
     while True:
         met = level.join(links, F.col("id") == F.col("parent"))
@@ -32,6 +30,24 @@ def label_paths(spark, links: DataFrame) -> DataFrame:
         out = out.unionAll(level)
 
 
+def labels_on_cycles(spark, links: DataFrame) -> DataFrame:
+    """(id) of the labels that no order of parents before children can hold: those on a cycle or between two.
+
+    Labels without a parent or without a child are peeled off, round by
+    round, until none is left to peel; a round is two joins, checkpointed.
+    """
+    ensure_checkpoint_dir(spark)
+    left = links.select("parent", "child").where("parent is not null and child is not null").distinct().checkpoint()
+    count = left.count()
+    while count:
+        inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        inner = inner.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child").checkpoint()
+        before, count, left = count, inner.count(), inner
+        if count == before:
+            break
+    return left.select(F.col("parent").alias("id")).union(left.select("child")).distinct()
+
+
 def inverted_forks(links: DataFrame) -> DataFrame:
     """Labels with more than one parent."""
     return links.groupBy("child").agg(F.countDistinct("parent").alias("parents")).where("parents > 1")

@@ -8,7 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir where the cluster names it; a temporary folder where nothing is set (tests)."""
+    """Uses spark.checkpoint.dir where the cluster names it; a temporary folder on a single machine (tests).
+
+    On a cluster without that setting it is an error: a local folder isn't shared.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="slantframe-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="slantframe-"))

@@ -30,6 +30,21 @@ def bilinear(points: DataFrame, posts: DataFrame, keys: list[str] | None = None)
     return met.groupBy(*keys, "pt_id").agg(F.when(F.count("elev") == F.count("*"), F.sum(F.col("w") * F.col("elev"))).alias("elev"))
 
 
+def geoid_heights(points: DataFrame, posts: DataFrame, spacing: float, key: str = "id") -> DataFrame:
+    """(key, height) between the four posts around each point (lat, lon in degrees).
+
+    posts (ix, iy, elev) cover the earth: ix grows eastward from longitude 0
+    and closes after 360 degrees, iy northward from -90.
+    """
+    around, top = round(360 / spacing), round(180 / spacing)
+    gx, gy = F.pmod(F.col("lon"), F.lit(360.0)) / spacing, (F.col("lat") + 90) / spacing
+    at = points.select(key, gx.alias("gx"), gy.alias("gy")).withColumns({"bx": F.floor("gx").cast("int"), "by": F.least(F.floor("gy").cast("int"), F.lit(top - 1))})
+    fx, fy = F.col("gx") - F.col("bx"), F.col("gy") - F.col("by")
+    corner = lambda i, j: F.struct(F.pmod(F.col("bx") + i, F.lit(around)).alias("ix"), (F.col("by") + j).alias("iy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
+    four = at.select(key, F.inline(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])))
+    return four.join(posts, ["ix", "iy"]).groupBy(key).agg(F.sum(F.col("w") * F.col("elev")).alias("height"))
+
+
 def first_tile(points: DataFrame, tiles: DataFrame) -> DataFrame:
     """(pt_id, tile): of the tiles whose box holds a point, the one of the least priority value.
 

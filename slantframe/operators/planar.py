@@ -61,10 +61,11 @@ def points_in_polygon(points: DataFrame, outer: DataFrame, holes: DataFrame, cel
 
 
 def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
-    """Whether two segments cross at inner points; parallel ones don't."""
+    """Whether two segments meet in an inner point of one of them at least; parallel ones don't."""
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
-    apart = lambda u, v: ((u > 0) & (v < 0)) | ((u < 0) & (v > 0))
-    return apart(side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy)) & apart(side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by))
+    u = F.signum(side(ax, ay, bx, by, cx, cy)) * F.signum(side(ax, ay, bx, by, dx, dy))
+    t = F.signum(side(cx, cy, dx, dy, ax, ay)) * F.signum(side(cx, cy, dx, dy, bx, by))
+    return ((u < 0) & (t <= 0)) | ((u <= 0) & (t < 0))
 
 
 def segment_distance(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:

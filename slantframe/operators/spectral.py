@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,14 +70,16 @@ def half_power_width(weights: DataFrame, key: str = "name", oversample: int = 64
 def frames(size: int, count: int, fraction: float = 1.0, fill: float = 1.0) -> list[tuple[int, int]]:
     """(start, stop) of count sub-apertures that step evenly through the filled middle of size samples.
 
-    fraction is the part of the filled samples that one frame takes.
+    fraction is the part of the filled samples that one frame takes; widths
+    are rounded up and steps down.
     """
     if not (0 < fraction <= 1 and fill >= 1 and count > 0):
         raise ValueError("fraction in (0, 1], fill of 1 or more, one frame or more")
-    filled = int(size / fill)
-    first, width = (size - filled) // 2, max(1, int(filled * fraction))
-    step = (filled - width) / (count - 1) if count > 1 else 0.0
-    return [(first + int(k * step), first + int(k * step) + width) for k in range(count)]
+    first = round((size - size / fill) / 2)
+    filled = size - 2 * first
+    width = math.ceil(fraction * filled)
+    step = (filled - width) // (count - 1) if count > 1 else 0
+    return [(first + k * step, first + k * step + width) for k in range(count)]
 
 
 def subaperture(df: DataFrame, vector: str, key: str, count: int, fraction: float = 0.5) -> DataFrame:
@@ -98,3 +101,67 @@ def subaperture(df: DataFrame, vector: str, key: str, count: int, fraction: floa
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(frame), pa.int32()), pa.array(np.concatenate(power))], [key, "frame", "power"])
 
     return df.select(key, vector).mapInArrow(run, f"`{key}` {kind}, frame int, power double")
+
+
+def transform_complex(df: DataFrame, re: str, im: str, key: str, inverse: bool = False, centred: bool = False) -> DataFrame:
+    """(key, re, im): discrete Fourier transforms of complex vectors (two arrays of equal length), or their inverses.
+
+    centred has the zero frequency in the middle of the spectrum, both ways.
+    A vector without one of its parts, or with parts of different length,
+    gives nulls.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            real, imaginary = (dict((int(i), m) for rows, matrix in _matrices(c) for i, m in zip(rows, matrix)) for c in batch.columns[1:])
+            out: list[list] = [[None] * batch.num_rows, [None] * batch.num_rows]
+            for i in real.keys() & imaginary.keys():
+                if len(real[i]) == len(imaginary[i]) and len(real[i]):
+                    x = real[i] + 1j * imaginary[i]
+                    if inverse:
+                        y = np.fft.ifft(np.fft.ifftshift(x) if centred else x)
+                    else:
+                        y = np.fft.fft(x)
+                        y = np.fft.fftshift(y) if centred else y
+                    out[0][i], out[1][i] = y.real, y.imag
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.list_(pa.float64())) for o in out)], [key, "re", "im"])
+
+    return df.select(key, re, im).mapInArrow(run, f"`{key}` {kind}, re array<double>, im array<double>")
+
+
+def taylor(i: Column, n: Column, lobes: int = 4, level: float = -30.0) -> Column:
+    """Weight of sample i of n of the Taylor window with near-in sidelobes of a level in decibels; the middle has weight 1.
+
+    The cosine coefficients depend on lobes and level only, so they are
+    numbers worked out once; the window is a sum of lobes - 1 cosines.
+    """
+    a = math.acosh(10 ** (abs(level) / 20)) / math.pi
+    wide = lobes**2 / (a * a + (lobes - 0.5) ** 2)
+    coefficients = []
+    for m in range(1, lobes):
+        near = math.prod(1 - m * m / (wide * (a * a + (k - 0.5) ** 2)) for k in range(1, lobes))
+        far = math.prod(1 - m * m / (k * k) for k in range(1, lobes) if k != m)
+        coefficients.append(-((-1) ** m) * near / far / 2)
+    # Samples lie in the middles of n cells.
+    angle = 2 * math.pi * (i - n / 2 + 0.5) / n
+    weight = lambda x: sum((F.lit(2 * f) * F.cos(m * x) for m, f in enumerate(coefficients, 1)), F.lit(1.0))
+    top = 1 + 2 * sum(coefficients)
+    return weight(angle) / top
+
+
+def kaiser(i: Column, n: Column, beta: float, terms: int = 40) -> Column:
+    """Weight of sample i of n of the Kaiser window; the Bessel function is its power series by Horner's scheme."""
+    edge = 2 * i / F.nullif(n - 1, F.lit(0)) - 1
+    q = F.coalesce((1 - edge * edge) * (beta * beta / 4), F.lit(beta * beta / 4))
+
+    def series(x):
+        out = F.lit(1.0)
+        for k in range(terms, 0, -1):
+            out = 1 + out * x / (k * k)
+        return out
+
+    top = 1.0
+    for k in range(terms, 0, -1):
+        top = 1 + top * (beta * beta / 4) / (k * k)
+    return series(q) / top

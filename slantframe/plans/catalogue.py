@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
-from slantframe.plans import views as v
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under name, with the SQL that gives its rows."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
+from slantframe.plans import imaging, phase_history, views as v  # noqa: F401  the first two register queries
+from slantframe.plans.registry import QUERIES, SQL, Query, literal, query, rounded
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return dict(SQL)
 
 
 # --- slices, decoding, reorientation -------------------------------------------------
@@ -46,40 +26,40 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 @query("q_chip_window", f"with {v.PX} select image, ((r - 16) // 4)::int as r, ((c - 1) // 2)::int as c, round(re, 6) as re, round(im, 6) as im from px where r between 16 and 127 and (r - 16) % 4 = 0 and c between 1 and 5 and (c - 1) % 2 = 0")
 def q_chip_window(spark, sf):
-    return _rounded(raster.chip(v.px(spark, sf), (16, 128, 4), (1, 6, 2), (256, 8)), 6, "re", "im")
+    return rounded(raster.chip(v.px(spark, sf), (16, 128, 4), (1, 6, 2), (256, 8)), 6, "re", "im")
 
 
 @query("q_reorient", f"with {v.PX} select image, c as r, (255 - r)::int as c, round(re, 6) as re from px")
 def q_reorient(spark, sf):
-    return _rounded(raster.reorient(v.px(spark, sf).drop("im"), (256, 8), reverse=(0,), transpose=True), 6, "re")
+    return rounded(raster.reorient(v.px(spark, sf).drop("im"), (256, 8), reverse=(0,), transpose=True), 6, "re")
 
 
 @query("q_block_mosaic", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 64))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
 def q_block_mosaic(spark, sf):
-    return _rounded(raster.mosaic(v.px(spark, sf), (64, 8), ["re"], -1.0), 6, "re")
+    return rounded(raster.mosaic(v.px(spark, sf), (64, 8), ["re"], -1.0), 6, "re")
 
 
 @query("q_block_mosaic_whole", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 256))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
 def q_block_mosaic_whole(spark, sf):
     """All rows of the images; q_block_mosaic has those below 64, as its SQL."""
-    return _rounded(raster.mosaic(v.px(spark, sf), (256, 8), ["re"], -1.0), 6, "re")
+    return rounded(raster.mosaic(v.px(spark, sf), (256, 8), ["re"], -1.0), 6, "re")
 
 
-@query("q_band_stack", f"with {v.PX} select r, c, round(re, 6) as re, image as band from px where image in (0, 1)")
+@query("q_band_stack", f"with {v.PX} select r, c, round(re, 6) as re, image as band from px")
 def q_band_stack(spark, sf):
     df = v.px(spark, sf)
-    return _rounded(raster.band_stack([df.where(f"image = {k}").select("r", "c", "re") for k in (0, 1)]), 6, "re")
+    return rounded(raster.band_stack([df.where(f"image = {k}").select("r", "c", "re") for k in range(4)]), 6, "re")
 
 
 @query("q_magnitude_phase", f"with {v.AMP} select image, r, c, round(amplitude, 6) as amplitude, round(atan2(im, re), 6) as phase from amp")
 def q_magnitude_phase(spark, sf):
-    return _rounded(v.amplitude(spark, sf).withColumn("phase", pixels.phase(F.col("re"), F.col("im"))).drop("re", "im"), 6, "amplitude", "phase")
+    return rounded(v.amplitude(spark, sf).withColumn("phase", pixels.phase(F.col("re"), F.col("im"))).drop("re", "im"), 6, "amplitude", "phase")
 
 
 @query("q_amp_phase_decode", "with raw as (select l_orderkey as k, l_linenumber as n, (l_partkey % 256)::int as amp, (l_suppkey * 7 % 256)::int as angle from lineitem) select k, n, round(sqrt(amp) * cos(angle * (2 * pi() / 256)), 6) + 0 as re, round(sqrt(amp) * sin(angle * (2 * pi() / 256)), 6) + 0 as im from raw")
 def q_amp_phase_decode(spark, sf):
     raw = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 256).cast("int").alias("amp"), (F.col("l_suppkey") * 7 % 256).cast("int").alias("angle"))
-    table = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: F.sqrt(x.cast("double")))
+    table = literal([math.sqrt(x) for x in range(256)])
     re, im = pixels.decode_amp_phase(F.col("amp"), F.col("angle"), 8, table)
     return raw.select("k", "n", (F.round(re, 6) + 0).alias("re"), (F.round(im, 6) + 0).alias("im"))
 
@@ -96,10 +76,10 @@ def q_physical_coordinates(spark, sf):
 
 @query("q_image_statistics", f"with {v.AMP} select image, count(*) as n, round(avg(amplitude) filter (amplitude <> 0), 5) as mean, round(min(amplitude), 5) as low, round(max(amplitude), 5) as high, round(quantile_cont(amplitude, 0.99), 5) as quantile from amp group by image")
 def q_image_statistics(spark, sf):
-    return _rounded(raster.statistics(v.amplitude(spark, sf)), 5, "mean", "low", "high", "quantile")
+    return rounded(raster.statistics(v.amplitude(spark, sf)), 5, "mean", "low", "high", "quantile")
 
 
-_STATS = v.AMP + ", st as (select image, avg(amplitude) as mean, min(amplitude) as low, max(amplitude) as high, quantile_cont(amplitude, 0.99) as p99 from amp group by image), a as (select * from amp join st using (image))"
+_STATS = v.AMP + ", st as (select image, avg(amplitude) filter (amplitude <> 0) as mean, min(amplitude) as low, max(amplitude) as high, quantile_cont(amplitude, 0.99) as p99 from amp group by image), a as (select * from amp join st using (image))"
 
 
 def _density_sql(dmin: float, mmult: float) -> str:
@@ -126,7 +106,7 @@ _remap_query("nrl", "case when amplitude <= p99 then 204 * least(greatest((ampli
 
 @query("q_remap_lut", f"with {_STATS}, l as (select image, trunc(255 * least(greatest((amplitude - low) / (high - low), 0), 1))::int as level from a) select image, (level * level // 255) % 256 as colour, count(*) as n from l group by 1, 2")
 def q_remap_lut(spark, sf):
-    table = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: F.floor(x * x / 255) % 256)
+    table = literal([x * x // 255 % 256 for x in range(256)])
     df = remap.get("linear")(v.amplitude(spark, sf), "image")
     return df.withColumn("colour", remap.lookup(F.col("level"), table).cast("int")).groupBy("image", "colour").agg(F.count("*").alias("n"))
 
@@ -134,7 +114,7 @@ def q_remap_lut(spark, sf):
 @query("q_rcs_statistics", f"with {v.AMP}, p as (select image, c, amplitude * amplitude as power from amp) select image, c, count(*) as n, round(avg(power), 4) as mean, round(stddev_pop(power), 4) as std, round(min(power), 4) as low, round(max(power), 4) as high, round(10 * log10(sum(power)), 5) as total_db from p group by 1, 2")
 def q_rcs_statistics(spark, sf):
     df = v.amplitude(spark, sf).withColumn("power", F.col("amplitude") * F.col("amplitude"))
-    return _rounded(annotation.rcs_statistics(df, ["image", "c"]), 4, "mean", "std", "low", "high").withColumn("total_db", F.round("total_db", 5))
+    return rounded(annotation.rcs_statistics(df, ["image", "c"]), 4, "mean", "std", "low", "high").withColumn("total_db", F.round("total_db", 5))
 
 
 # --- geodesy -------------------------------------------------------------------------
@@ -216,10 +196,6 @@ def q_dms_parse(spark, sf):
 _C = [1.5, -0.25, 0.125, 0.5]
 
 
-def _literal(values) -> object:
-    return F.array(*[_literal(x) if isinstance(x, list) else F.lit(float(x)) for x in values])
-
-
 def _u(spark, sf) -> DataFrame:
     return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97 / F.lit(16.0)).alias("u"), (F.col("o_custkey") % 31 / F.lit(8.0)).alias("w"))
 
@@ -229,28 +205,28 @@ _U = "u as (select o_orderkey as id, (o_orderkey % 97) / 16.0::double as u, (o_c
 
 @query("q_poly1d", f"with {_U} select id, round(1.5 + u * (-0.25 + u * (0.125 + u * 0.5)), 6) as y from u")
 def q_poly1d(spark, sf):
-    return _u(spark, sf).select("id", F.round(polynomials.poly1d(_literal(_C), F.col("u")), 6).alias("y"))
+    return _u(spark, sf).select("id", F.round(polynomials.poly1d(literal(_C), F.col("u")), 6).alias("y"))
 
 
 @query("q_poly2d", f"with {_U} select id, round((1 + 2 * w) + u * (0.5 - 0.25 * w) + u * u * (0.125 * w), 6) as y from u")
 def q_poly2d(spark, sf):
-    return _u(spark, sf).select("id", F.round(polynomials.poly2d(_literal([[1, 2], [0.5, -0.25], [0, 0.125]]), F.col("u"), F.col("w")), 6).alias("y"))
+    return _u(spark, sf).select("id", F.round(polynomials.poly2d(literal([[1, 2], [0.5, -0.25], [0, 0.125]]), F.col("u"), F.col("w")), 6).alias("y"))
 
 
 @query("q_poly_derivative", f"with {_U} select id, round(-0.25 + u * (0.25 + u * 1.5), 6) as y from u")
 def q_poly_derivative(spark, sf):
-    return _u(spark, sf).select("id", F.round(polynomials.poly1d(polynomials.derivative(_literal(_C)), F.col("u")), 6).alias("y"))
+    return _u(spark, sf).select("id", F.round(polynomials.poly1d(polynomials.derivative(literal(_C)), F.col("u")), 6).alias("y"))
 
 
 @query("q_poly_shift", f"with {_U}, s as (select id, 2 * u - 1.25::double as t from u) select id, round(1.5 + t * (-0.25 + t * (0.125 + t * 0.5)), 5) as y from s")
 def q_poly_shift(spark, sf):
-    moved = polynomials.shift(_literal(_C), F.lit(1.25), 2.0)
+    moved = polynomials.shift(_C, 1.25, 2.0)
     return _u(spark, sf).select("id", F.round(polynomials.poly1d(moved, F.col("u")), 5).alias("y"))
 
 
 @query("q_ratpoly_eval", f"with {_U}, s as (select id, (u - 3) / 2.0::double as t from u) select id, round((1.5 + t * (-0.25 + t * (0.125 + t * 0.5))) / (4 + t * t) * 10 + 7, 6) as y from s")
 def q_ratpoly_eval(spark, sf):
-    return _u(spark, sf).select("id", F.round(polynomials.rational(_literal(_C), _literal([4, 0, 1]), F.col("u"), 3.0, 2.0, 7.0, 10.0), 6).alias("y"))
+    return _u(spark, sf).select("id", F.round(polynomials.rational(literal(_C), literal([4, 0, 1]), F.col("u"), 3.0, 2.0, 7.0, 10.0), 6).alias("y"))
 
 
 # --- collection geometry -------------------------------------------------------------
@@ -258,7 +234,7 @@ def q_ratpoly_eval(spark, sf):
 
 def _collected(spark, sf) -> DataFrame:
     """Scene centres with an antenna 500 km above a neighbouring place, flying east with a northern part."""
-    df = geodesy.geodetic_to_ecf(F.col("lat"), F.col("lon"), F.col("h")).attach(v.pt(spark, sf).where("lat between -80 and 80"), "scp")
+    df = geodesy.geodetic_to_ecf(F.col("lat"), F.col("lon"), F.col("h")).attach(v.pt(spark, sf), "scp")
     df = geodesy.geodetic_to_ecf(F.col("lat") + 3, F.col("lon") + 2, F.lit(500000.0)).attach(df, "arp")
     east, north, _ = geodesy.local_axes(F.col("lat") + 3, F.col("lon") + 2)
     return (east * 7000.0 + north * 2500.0).attach(df, "vel")
@@ -266,7 +242,7 @@ def _collected(spark, sf) -> DataFrame:
 
 _GEO = (
     v.PT
-    + """, c as (select id, lat, lon, h from pt where lat between -80 and 80),
+    + """, c as (select id, lat, lon, h from pt),
  n as (select *, 6378137.0::double / sqrt(1 - 0.0066943799901413165::double * sin(radians(lat)) ** 2) as n1, 6378137.0::double / sqrt(1 - 0.0066943799901413165::double * sin(radians(lat + 3)) ** 2) as n2, radians(lat) as p, radians(lon) as q, radians(lat + 3) as p2, radians(lon + 2) as q2 from c),
  g as (select id, (n1 + h) * cos(p) * cos(q) as sx, (n1 + h) * cos(p) * sin(q) as sy, (n1 * (1 - 0.0066943799901413165::double) + h) * sin(p) as sz,
    (n2 + 500000) * cos(p2) * cos(q2) as ax, (n2 + 500000) * cos(p2) * sin(q2) as ay, (n2 * (1 - 0.0066943799901413165::double) + 500000) * sin(p2) as az,
@@ -288,14 +264,14 @@ _GEO = (
 )
 def q_scpcoa(spark, sf):
     df = collection.scene_geometry(_collected(spark, sf))
-    df = _rounded(df, 5, "rov", "doppler_cone", "graze", "incidence", "slope")
+    df = rounded(df, 5, "rov", "doppler_cone", "graze", "incidence", "slope")
     return df.select("id", "side_of_track", F.round("slant_range", 2).alias("slant_range"), "rov", "doppler_cone", "graze", "incidence", "slope", F.round("layover_size", 6).alias("layover_size"))
 
 
 @query("q_scpcoa_bearings")
 def q_scpcoa_bearings(spark, sf):
     names = ("azimuth", "twist", "squint", "layover", "shadow", "shadow_size", "ground_range")
-    return _rounded(collection.scene_geometry(_collected(spark, sf)), 6, *names).select("id", *names)
+    return rounded(collection.scene_geometry(_collected(spark, sf)), 6, *names).select("id", *names)
 
 
 @query("q_image_to_ground_plane", f"with {_GEO} select id, round(sx, 1) + 0 as x, round(sy, 1) + 0 as y, round(sz, 1) + 0 as z from m")
@@ -327,19 +303,19 @@ def q_band_name(spark, sf):
 
 @query("q_ring_measures", f"with {v.RINGS}, s as (select ring, 0.5::double * sum(x0*y1 - x1*y0) as area, sum(sqrt((x1-x0)**2 + (y1-y0)**2)) as perimeter, sum((x0+x1)*(x0*y1-x1*y0)) as mx, sum((y0+y1)*(x0*y1-x1*y0)) as my, min(x0) as x_low, max(x0) as x_high, min(y0) as y_low, max(y0) as y_high from edges group by ring) select ring, round(area, 5) as area, round(perimeter, 5) as perimeter, round(mx / nullif(6 * area, 0), 4) as cx, round(my / nullif(6 * area, 0), 4) as cy, x_low, x_high, y_low, y_high from s")
 def q_ring_measures(spark, sf):
-    return _rounded(_rounded(planar.ring_measures(v.rings(spark, sf)), 5, "area", "perimeter"), 4, "cx", "cy")
+    return rounded(rounded(planar.ring_measures(v.rings(spark, sf)), 5, "area", "perimeter"), 4, "cx", "cy")
 
 
 @query("q_line_length", f"with {v.RINGS}, s as (select ring, lead(x) over w - x as dx, lead(y) over w - y as dy from rings window w as (partition by ring order by vtx)) select ring, round(sum(sqrt(dx*dx + dy*dy)), 5) as length from s where dx is not null group by ring")
 def q_line_length(spark, sf):
-    return _rounded(planar.line_lengths(v.rings(spark, sf)), 5, "length")
+    return rounded(planar.line_lengths(v.rings(spark, sf)), 5, "length")
 
 
-_POINTS = "points as (select c_custkey as pt_id, (c_custkey * 13 % 400) / 4.0::double - 10 as x, (c_custkey * 7 % 104) / 4.0::double as y from customer)"
+_POINTS = "points as (select c_custkey as pt_id, (c_custkey * 13 % 400) / 4.0::double - 10 as x, (c_custkey * 7 % 104) / 4.0::double as y, c_nationkey as nation from customer)"
 
 
 def _points(spark, sf) -> DataFrame:
-    return v.table(spark, sf, "customer").select(F.col("c_custkey").alias("pt_id"), (F.col("c_custkey") * 13 % 400 / F.lit(4.0) - 10).alias("x"), (F.col("c_custkey") * 7 % 104 / F.lit(4.0)).alias("y"))
+    return v.table(spark, sf, "customer").select(F.col("c_custkey").alias("pt_id"), (F.col("c_custkey") * 13 % 400 / F.lit(4.0) - 10).alias("x"), (F.col("c_custkey") * 7 % 104 / F.lit(4.0)).alias("y"), F.col("c_nationkey").alias("nation"))
 
 
 _INSIDE = "hits as (select pt_id, ring, sum(((y0 <= y) <> (y1 <= y) and case when y1 > y0 then (x1-x0)*(y-y0) - (x-x0)*(y1-y0) > 0 else (x1-x0)*(y-y0) - (x-x0)*(y1-y0) < 0 end)::int) as n, bool_or((x1-x0)*(y-y0) - (x-x0)*(y1-y0) = 0 and x between least(x0,x1) and greatest(x0,x1) and y between least(y0,y1) and greatest(y0,y1)) as edge from points, edges group by 1, 2), inside as (select pt_id, ring from hits where n % 2 = 1 or edge)"
@@ -360,15 +336,16 @@ def q_point_in_polygon_with_holes(spark, sf):
     return planar.points_in_polygon(_points(spark, sf), outer, holes, 2.0)
 
 
-@query("q_segment_distance", f"with {v.RINGS}, {_POINTS}, d as (select pt_id, vtx, x, y, x0, y0, x1, y1, least(greatest(((x-x0)*(x1-x0) + (y-y0)*(y1-y0)) / ((x1-x0)**2 + (y1-y0)**2), 0), 1) as t from points, edges where ring = pt_id % 25) select pt_id, round(min(sqrt((x-x0-t*(x1-x0))**2 + (y-y0-t*(y1-y0))**2)), 5) as distance from d group by pt_id")
+@query("q_segment_distance", f"with {v.RINGS}, {_POINTS}, d as (select pt_id, nation as ring, vtx, x, y, x0, y0, x1, y1, least(greatest(((x-x0)*(x1-x0) + (y-y0)*(y1-y0)) / ((x1-x0)**2 + (y1-y0)**2), 0), 1) as t from points left join edges on ring = nation) select pt_id, ring, round(min(sqrt((x-x0-t*(x1-x0))**2 + (y-y0-t*(y1-y0))**2)), 5) as distance from d group by pt_id, ring")
 def q_segment_distance(spark, sf):
+    """Every point's distance from its own nation's ring; null where the nation has none."""
     sides = planar.edges(v.rings(spark, sf))
-    met = _points(spark, sf).withColumn("ring", F.col("pt_id") % 25).join(sides, "ring")
+    met = _points(spark, sf).withColumnRenamed("nation", "ring").join(sides, "ring", "left")
     d = planar.segment_distance(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "x", "y")))
-    return met.groupBy("pt_id").agg(F.round(F.min(d), 5).alias("distance"))
+    return met.groupBy("pt_id", "ring").agg(F.round(F.min(d), 5).alias("distance"))
 
 
-@query("q_segment_intersect", f"with {v.RINGS}, p as (select a.ring, a.x0 as ax, a.y0 as ay, a.x1 as bx, a.y1 as b_y, b.x0 as cx, b.y0 as cy, b.x1 as dx, b.y1 as dy from edges a join edges b on a.ring = b.ring and a.vtx < b.vtx) select ring, count(*) as crossings from p where ((bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax)) * ((bx-ax)*(dy-ay)-(b_y-ay)*(dx-ax)) < 0 and ((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) * ((dx-cx)*(b_y-cy)-(dy-cy)*(bx-cx)) < 0 group by ring")
+@query("q_segment_intersect", f"with {v.RINGS}, p as (select a.ring, a.x0 as ax, a.y0 as ay, a.x1 as bx, a.y1 as b_y, b.x0 as cx, b.y0 as cy, b.x1 as dx, b.y1 as dy from edges a join edges b on a.ring = b.ring and a.vtx < b.vtx), s as (select ring, sign((bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax)) * sign((bx-ax)*(dy-ay)-(b_y-ay)*(dx-ax)) as u, sign((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) * sign((dx-cx)*(b_y-cy)-(dy-cy)*(bx-cx)) as t from p) select ring, count(*) as crossings from s where u < 0 and t <= 0 or u <= 0 and t < 0 group by ring")
 def q_segment_intersect(spark, sf):
     e = planar.edges(v.rings(spark, sf))
     a = e.select("ring", F.col("vtx").alias("i"), *(F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("ax", "ay", "bx", "by"))))
@@ -383,7 +360,7 @@ def q_segment_intersect(spark, sf):
 @query("q_dem_bilinear", f"with {v.DEM}, e as (select max(ix) as lx, max(iy) as ly from dem), p as (select c_custkey as pt_id, (c_custkey * 17 % 390) / 10.0::double as gx, (c_custkey * 29 % 490) / 10.0::double as gy from customer), b as (select p.*, least(floor(gx), lx - 1)::int as b_x, least(floor(gy), ly - 1)::int as b_y from p, e where gx between 0 and lx and gy between 0 and ly), w as (select pt_id, b_x + i as ix, b_y + j as iy, (case when i = 1 then gx - b_x else 1 - (gx - b_x) end) * (case when j = 1 then gy - b_y else 1 - (gy - b_y) end) as w from b, (values (0, 0), (0, 1), (1, 0), (1, 1)) c(i, j)) select pt_id, case when count(elev) = count(*) then round(sum(w * elev), 4) end as elev from w left join dem using (ix, iy) where w > 0 group by pt_id")
 def q_dem_bilinear(spark, sf):
     p = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("pt_id"), (F.col("c_custkey") * 17 % 390 / F.lit(10.0)).alias("gx"), (F.col("c_custkey") * 29 % 490 / F.lit(10.0)).alias("gy"))
-    return _rounded(elevation.bilinear(p, v.dem(spark, sf)), 4, "elev")
+    return rounded(elevation.bilinear(p, v.dem(spark, sf)), 4, "elev")
 
 
 @query("q_dem_first_tile", f"with {v.PT}, t as (select s_suppkey as tile, s_suppkey % 5 as priority, (s_suppkey * 53 % 170) - 88 as lat_low, (s_suppkey * 53 % 170) - 84 as lat_high, (s_suppkey * 97 % 340) - 175 as lon_low, (s_suppkey * 97 % 340) - 155 as lon_high from supplier) select id as pt_id, arg_min(tile, priority * 1000000 + tile) as tile from pt join t on lat between lat_low and lat_high and lon between lon_low and lon_high group by id")
@@ -402,40 +379,40 @@ def q_dem_extremes(spark, sf):
 # --- neighbourhoods, registration, resampling ----------------------------------------
 
 
-@query("q_coherence", f"with {v.PX}, p as (select a.r, a.c, a.re * b.re + a.im * b.im as xr, a.re * b.im - a.im * b.re as xi, a.re**2 + a.im**2 as pa, b.re**2 + b.im**2 as pb from px a join px b using (r, c) where a.image = 0 and b.image = 1), s as (select p.r, p.c, sum(q.xr) as xr, sum(q.xi) as xi, sum(q.pa) as pa, sum(q.pb) as pb from p join p q on q.r between p.r - 1 and p.r + 1 and q.c between p.c - 1 and p.c + 1 group by p.r, p.c) select 0 as image, r, c, round(sqrt(xr*xr + xi*xi) / sqrt(pa * pb), 5) as coherence, round(atan2(xi, xr), 5) as coherence_phase from s")
+@query("q_coherence", f"with {v.PX}, p as (select a.image, a.r, a.c, a.re * b.re + a.im * b.im as xr, a.re * b.im - a.im * b.re as xi, a.re**2 + a.im**2 as pa, b.re**2 + b.im**2 as pb from px a join px b on a.r = b.r and a.c = b.c and b.image = a.image + 1), s as (select p.image, p.r, p.c, sum(q.xr) as xr, sum(q.xi) as xi, sum(q.pa) as pa, sum(q.pb) as pb from p join p q on q.image = p.image and q.r between p.r - 1 and p.r + 1 and q.c between p.c - 1 and p.c + 1 group by p.image, p.r, p.c) select image, r, c, round(sqrt(xr*xr + xi*xi) / sqrt(pa * pb), 5) as coherence, round(atan2(xi, xr), 5) as coherence_phase from s")
 def q_coherence(spark, sf):
+    """Every image against the next one."""
     df = v.px(spark, sf)
-    a = df.where("image = 0").select("r", "c", F.col("re").alias("re_a"), F.col("im").alias("im_a"))
-    b = df.where("image = 1").select("r", "c", F.col("re").alias("re_b"), F.col("im").alias("im_b"))
-    pairs = a.join(b, ["r", "c"]).withColumn("image", F.lit(0))
+    a = df.select("image", "r", "c", F.col("re").alias("re_a"), F.col("im").alias("im_a"))
+    b = df.select((F.col("image") - 1).alias("image"), "r", "c", F.col("re").alias("re_b"), F.col("im").alias("im_b"))
+    pairs = a.join(b, ["image", "r", "c"])
     # A box sum in two passes needs each line's cells to be there; absent cells are zeros.
     grid = raster.mosaic(pairs, (256, 8), ["re_a", "im_a", "re_b", "im_b"], 0.0)
     out = raster.coherence(grid, 1).join(pairs.select("image", "r", "c"), ["image", "r", "c"])
-    return _rounded(out, 5, "coherence", "coherence_phase")
+    return rounded(out, 5, "coherence", "coherence_phase")
 
 
-@query("q_registration_shift", f"with {v.AMP}, a as (select r, c, amplitude as va from amp where image = 0), b as (select r, c, amplitude as vb from amp where image = 1), s as (select dr, dc, sum(va * vb) / sqrt(sum(va*va) * sum(vb*vb)) as score, count(*) as n from a join (select r + dr as r, c + dc as c, dr, dc, vb from b, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)) using (r, c) group by 1, 2) select 0 as image, dr::int as dr, dc::int as dc, round(score, 6) as score, n from s order by round(score, 9) desc, dr, dc limit 1")
+@query("q_registration_shift", f"with {v.AMP}, a as (select image, r, c, amplitude as va from amp), b as (select image - 1 as image, r, c, amplitude as vb from amp), s as (select image, dr, dc, sum(va * vb) / sqrt(sum(va*va) * sum(vb*vb)) as score, count(*) as n from a join (select image, r + dr as r, c + dc as c, dr, dc, vb from b, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)) using (image, r, c) group by 1, 2, 3) select image, dr::int as dr, dc::int as dc, round(score, 6) as score, n from s qualify row_number() over (partition by image order by round(score, 9) desc, dr, dc) = 1")
 def q_registration_shift(spark, sf):
     df = v.amplitude(spark, sf)
-    a, b = df.where("image = 0"), df.where("image = 1").withColumn("image", F.lit(0))
-    return _rounded(raster.best_shift(a, b, 2), 6, "score")
+    return rounded(raster.best_shift(df, df.withColumn("image", F.col("image") - 1), 2), 6, "score")
 
 
-_TARGETS = "t as (select o_orderkey as id, 0 as image, (o_orderkey * 11 % 2500) / 10.0::double as pr, 1 + (o_custkey * 3 % 60) / 10.0::double as pc from orders)"
+_TARGETS = "t as (select o_orderkey as id, (o_custkey % 4)::int as image, (o_orderkey * 11 % 2500) / 10.0::double as pr, 1 + (o_custkey * 3 % 60) / 10.0::double as pc from orders)"
 
 
 def _targets(spark, sf) -> DataFrame:
-    return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("image"), (F.col("o_orderkey") * 11 % 2500 / F.lit(10.0)).alias("pr"), (1 + F.col("o_custkey") * 3 % 60 / F.lit(10.0)).alias("pc"))
+    return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).cast("int").alias("image"), (F.col("o_orderkey") * 11 % 2500 / F.lit(10.0)).alias("pr"), (1 + F.col("o_custkey") * 3 % 60 / F.lit(10.0)).alias("pc"))
 
 
 @query("q_nearest_ortho", f"with {v.AMP}, {_TARGETS} select t.image, id, pr, pc, round(amplitude, 5) as amplitude from t left join amp on amp.image = t.image and r = floor(pr + 0.5::double)::int and c = floor(pc + 0.5::double)::int")
 def q_nearest_ortho(spark, sf):
-    return _rounded(raster.resample(v.amplitude(spark, sf), _targets(spark, sf)), 5, "amplitude")
+    return rounded(raster.resample(v.amplitude(spark, sf), _targets(spark, sf)), 5, "amplitude")
 
 
 @query("q_bilinear_ortho", f"with {v.AMP}, {_TARGETS}, w as (select t.*, floor(pr)::int + i as r, floor(pc)::int + j as c, (case when i = 1 then pr - floor(pr) else 1 - (pr - floor(pr)) end) * (case when j = 1 then pc - floor(pc) else 1 - (pc - floor(pc)) end) as w from t, (values (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)) select id, w.image, pr, pc, case when count(amplitude) = count(*) then round(sum(w * amplitude), 5) end as amplitude from w left join amp using (image, r, c) where w > 0 group by 1, 2, 3, 4")
 def q_bilinear_ortho(spark, sf):
-    return _rounded(raster.resample(v.amplitude(spark, sf), _targets(spark, sf), "bilinear"), 5, "amplitude")
+    return rounded(raster.resample(v.amplitude(spark, sf), _targets(spark, sf), "bilinear"), 5, "amplitude")
 
 
 # --- signals -------------------------------------------------------------------------
@@ -445,14 +422,14 @@ def q_bilinear_ortho(spark, sf):
 def q_dft_power(spark, sf):
     df = spectral.spectrum_power(v.table(spark, sf, "embeddings"), "embedding", "vec_id")
     out = df.select("vec_id", F.posexplode(F.slice("power", 1, 5)).alias("k", "power"))
-    return _rounded(out, 5, "power")
+    return rounded(out, 5, "power")
 
 
 @query("q_dft_spectrum", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 64)) as k), d as (select vec_id, k, sum(x * cos(2 * pi() * i * k / 64)) as a, sum(x * sin(2 * pi() * i * k / 64)) as b from s, k group by 1, 2) select vec_id, k::int as k, round(a*a + b*b, 5) as power from d")
 def q_dft_spectrum(spark, sf):
     """All bins of every vector; q_dft_power has the first five, as its SQL."""
     df = spectral.spectrum_power(v.table(spark, sf, "embeddings"), "embedding", "vec_id")
-    return _rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
+    return rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
 
 
 @query("q_window_taper", "select n.n, i::int as i, round(0.54::double - 0.46::double * cos(2 * pi() * i / (n.n - 1)), 7) as weight from (values (16), (33), (64)) n(n), lateral (select unnest(range(0, n.n)) as i)")
@@ -464,7 +441,7 @@ def q_window_taper(spark, sf):
 
 @query("q_subaperture_power")
 def q_subaperture_power(spark, sf):
-    return _rounded(spectral.subaperture(v.table(spark, sf, "embeddings"), "embedding", "vec_id", 3), 6, "power")
+    return rounded(spectral.subaperture(v.table(spark, sf, "embeddings"), "embedding", "vec_id", 3), 6, "power")
 
 
 # --- rules ---------------------------------------------------------------------------
@@ -480,22 +457,22 @@ def q_rcv_after_tx(spark, sf):
     return rules.receive_after_transmit(v.pvp(spark, sf))
 
 
-@query("q_pvp_finite", f"with {v.PVP} select channel as object, 'finite' as rule, 'error' as severity, count(*) filter (FX1 is null or isnan(FX1) or isinf(FX1)) = 0 as passed, (count(*) filter (FX1 is null or isnan(FX1) or isinf(FX1)))::double as detail from pvp group by channel")
+@query("q_pvp_finite", f"with {v.PVP} select channel as object, 'finite' as rule, 'error' as severity, count(*) filter (RcvTime is null or FX1 is null or isnan(FX1) or isinf(FX1) or FX2 is null or isnan(FX2) or isinf(FX2)) = 0 as passed, (count(*) filter (RcvTime is null or FX1 is null or isnan(FX1) or isinf(FX1) or FX2 is null or isnan(FX2) or isinf(FX2)))::double as detail from pvp group by channel")
 def q_pvp_finite(spark, sf):
-    return rules.finite(v.pvp(spark, sf), ["FX1", "FX2"])
+    return rules.finite(v.pvp(spark, sf), ["RcvTime", "FX1", "FX2"])
 
 
 @query("q_fx_band", f"with {v.PVP}, s as (select channel, min(FX1) as lo, max(FX2) as hi from pvp group by channel) select channel as object, 'fxc' as rule, 'error' as severity, abs((lo + hi) / 2 - 50) <= 1e-6 * 50 as passed, round((lo + hi) / 2, 6) as detail from s union all select channel, 'fxbw', 'error', abs(hi - lo - 100) <= 1e-6 * 100, round(hi - lo, 6) from s")
 def q_fx_band(spark, sf):
     p = v.pvp(spark, sf)
     declared = p.select("channel").distinct().withColumn("FxC", F.lit(50.0)).withColumn("FxBW", F.lit(100.0))
-    return _rounded(rules.band(p, declared), 6, "detail")
+    return rounded(rules.band(p, declared), 6, "detail")
 
 
 @query("q_fx_fixed", f"with {v.PVP} select channel as object, 'fixed_FXFixed' as rule, 'error' as severity, greatest(max(FX1) - min(FX1), max(FX2) - min(FX2), 0) = 0 as passed, round(greatest(max(FX1) - min(FX1), max(FX2) - min(FX2), 0), 6) as detail from pvp group by channel")
 def q_fx_fixed(spark, sf):
     p = v.pvp(spark, sf)
-    return _rounded(rules.fixed(p, p.select("channel").distinct().withColumn("FXFixed", F.lit(True)), ["FX1", "FX2"], "FXFixed"), 6, "detail")
+    return rounded(rules.fixed(p, p.select("channel").distinct().withColumn("FXFixed", F.lit(True)), ["FX1", "FX2"], "FXFixed"), 6, "detail")
 
 
 @query("q_within_limits", f"with {v.PVP}, g as (select quantile_cont(FX1, 0.1) as lo, quantile_cont(FX1, 0.9) as hi from pvp) select channel as object, 'within_FX1' as rule, 'error' as severity, count(*) filter (FX1 not between lo and hi) = 0 as passed, (count(*) filter (FX1 not between lo and hi))::double as detail from pvp, g group by channel")
@@ -507,7 +484,7 @@ def q_within_limits(spark, sf):
 
 @query("q_normal_signal", f"with {v.PVP} select channel as object, 'normal_signal' as rule, 'error' as severity, avg(SIGNAL) >= 0.5 as passed, round(avg(SIGNAL), 9) as detail from pvp group by channel")
 def q_normal_signal(spark, sf):
-    return _rounded(rules.normal_signal(v.pvp(spark, sf)), 9, "detail")
+    return rounded(rules.normal_signal(v.pvp(spark, sf)), 9, "detail")
 
 
 @query("q_unique_ids", "select n_name as path, c_mktsegment as id, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1, 2 having count(*) > 1")
@@ -575,4 +552,4 @@ def q_pulse_windows(spark, sf):
     from slantframe.streaming.pulses import pulse_windows
 
     e = v.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
-    return _rounded(pulse_windows(e), 6, "mean", "low", "high").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(pulse_windows(e), 6, "mean", "low", "high").withColumn("start", F.col("start").cast("timestamp_ntz"))
