@@ -33,7 +33,9 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges, last, state = done, state, _state(done)
         if state == last:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._scratch_path = edges._scratch_path
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

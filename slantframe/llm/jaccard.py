@@ -30,16 +30,22 @@ from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
 from slantframe.llm.components import connected_components
-from slantframe.llm.scratch import Scratch, bit_filter, partitions, small_batches
+from slantframe.llm.scratch import TEXTS, Scratch, bit_filter, partitions, small_batches
 
 #: Bits of a sketch's part.
 PART_BITS = 1024
-#: Keys that a task gathers before it hands them on.
-HELD = 1_500_000
+#: For so many shingles in which linked sets may differ there is one part more than they need.
+SPARE = 5
+#: Keys that a task gathers before it hands them on, and shingles whose parts it forms at a time.
+HELD = 1_000_000
+FORMED = 100_000
+#: Shingles of all sets for each shard of the keys, which one task holds at a time.
+SHARD = 6_000_000
 #: Classes of one key that a task sends on as they are; of more it sends three.
 LOCAL = 64
-#: Bits a shingle of the sketches that pairs of crowded parts are held against before their texts are.
+#: Bits a shingle of the sketches that tell near misses from links; larger sets have sketches of one bit a shingle at first.
 FINE = 4
+SMALL = 1024
 #: Least keys of a class by which a pair that meets in several parts is told to leave but one of them.
 LEAST_KEYS = 8
 #: Members of a crowded part that meet in one place.
@@ -87,9 +93,11 @@ def class_of(shingles: np.ndarray) -> int:
 def part_keys(sets: list[np.ndarray], similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """(keys, index of the set) of the parts of the sketches of some sets.
 
-    A key stands for a band, a part of its sketches and that part's bits.  A
-    part without set bits says little; a set leaves such parts out if the
-    parts that it must share with any linked set are more than they are.
+    A key stands for a band, a part of its sketches, that part's bits and its
+    number of shingles.  Sets that differ in at most d shingles agree in t of
+    d + t parts, so they agree in one of the d + 1 parts that come first in any
+    order that depends on keys alone: each set sends those with the most
+    shingles, since a part of few is shared by sets that have little in common.
     """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not len(sizes) or not sizes.max():
@@ -105,25 +113,25 @@ def part_keys(sets: list[np.ndarray], similarity: Similarity) -> tuple[np.ndarra
         if not len(use):
             continue
         differ = most[group[use]]
-        parts = differ + 1 + (differ + 8) // 8
+        parts = differ + 1 + differ // SPARE
         take = np.isin(np.arange(len(sizes)), use)
         h = flat[np.repeat(take, sizes)]
         owner = np.repeat(np.arange(len(use)), sizes[use])
         part = ((h >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
-        cell = owner.astype(np.uint64) << np.uint64(32) | part
+        # Every part has a cell, those without shingles too.
+        begin = np.cumsum(parts) - parts
+        cell = begin[owner] + part.astype(np.int64)
+        of = np.repeat(np.arange(len(use)), parts)
+        salt = group[use][of].astype(np.uint64) << np.uint64(44) | (np.arange(len(of)) - begin[of]).astype(np.uint64) << np.uint64(12)
+        count = np.bincount(cell, minlength=len(of))
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        salt = group[use][owner].astype(np.uint64) << np.uint64(44) | part << np.uint64(12)
-        bits = np.bitwise_xor.reduceat(kernels.mix(salt | (h & np.uint64(PART_BITS - 1))), first)
-        keep = bits != 0
-        of = owner[first][keep]
-        keys.append(kernels.mix(bits[keep] ^ kernels.mix(salt[first][keep])))
-        owners.append(use[of])
-        blank = parts - np.bincount(of, minlength=len(use))
-        for i in np.flatnonzero(blank > parts - differ - 1):
-            own = part[first][keep][of == i].astype(np.int64)
-            rest = np.setdiff1d(np.arange(parts[i]), own).astype(np.uint64)
-            keys.append(kernels.mix(kernels.mix(np.uint64(group[use[i]]) << np.uint64(44) | rest << np.uint64(12) | np.uint64(1 << 11))))
-            owners.append(np.full(len(rest), use[i]))
+        bits = np.zeros(len(of), dtype=np.uint64)
+        bits[cell[first]] = np.bitwise_xor.reduceat(kernels.mix(salt[cell] | (h & np.uint64(PART_BITS - 1))), first)
+        key = kernels.mix(bits ^ kernels.mix(~(salt | np.minimum(count, PART_BITS - 1).astype(np.uint64))))
+        order = np.lexsort((key, -count, of))
+        sent = order[np.arange(len(of)) - begin[of] <= differ[of]]
+        keys.append(key[sent])
+        owners.append(use[of[sent]])
     if not keys:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(keys), np.concatenate(owners)
@@ -192,21 +200,23 @@ def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
         for batch in batches:
             block: list[np.ndarray] = []
             ids: list[int] = []
+            formed = 0
             for s in kernels.shingle_sets(batch.column(0), similarity.words, sep):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     block.append(s)
                     ids.append(c)
-                if len(block) >= 256 or sum(map(len, block[-1:])) > 100_000:
+                    formed += len(s)
+                if formed >= FORMED:
                     held.append(_block(block, ids))
                     n += len(held[-1])
-                    block, ids = [], []
+                    block, ids, formed = [], [], 0
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
             if block:
                 held.append(_block(block, ids))
                 n += len(held[-1])
-            if n >= HELD:
-                yield flush(held)
-                held, n = [], 0
         if n:
             yield flush(held)
 
@@ -276,21 +286,27 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFr
 def _close_in_group(root: np.ndarray, n: np.ndarray, bits: list[bytes], similarity: Similarity, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the members of different components whose sketches don't rule a link out; one of them is own."""
     num, den = similarity.num, similarity.den
-    least = min(map(len, bits))
-    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, least // 8), axis=0) for x in bits])
-    step = max(1, (1 << 19) // rows.size)
-    left, right = [], []
-    for a in range(0, len(rows), step):
-        apart = np.bitwise_count(rows[a : a + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
-        total = n[a : a + step, None] + n[None, :]
-        ok = (apart * (den + num) <= (den - num) * total) & (root[a : a + step, None] != root[None, :])
-        ok &= num * np.maximum(n[a : a + step, None], n[None, :]) <= den * np.minimum(n[a : a + step, None], n[None, :])
-        ok &= own[a : a + step, None] | own[None, :]
-        i, j = np.nonzero(ok)
-        keep = i + a < j
-        left.append(i[keep] + a)
-        right.append(j[keep])
-    return np.concatenate(left), np.concatenate(right)
+    lengths = np.array([len(x) for x in bits])
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for small in np.unique(lengths):
+        # Those of this length meet each other and, folded to it, the longer ones.
+        us, them = np.flatnonzero(lengths == small), np.flatnonzero(lengths >= small)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], dtype=np.uint64).reshape(-1, small // 8), axis=0) for k in them])
+        mine = rows[np.searchsorted(them, us)]
+        step = max(1, (1 << 19) // rows.size)
+        for x in range(0, len(us), step):
+            a, at = us[x : x + step, None], them[None, :]
+            ok = (num * np.maximum(n[a], n[at]) <= den * np.minimum(n[a], n[at])) & (root[a] != root[at]) & (own[a] | own[at])
+            ok &= (a < at) | (lengths[at] > small)
+            i, j = np.nonzero(ok)
+            for y in range(0, len(i), 1 << 14):
+                p, q = i[y : y + (1 << 14)], j[y : y + (1 << 14)]
+                apart = np.bitwise_count(mine[x + p] ^ rows[q]).sum(axis=1, dtype=np.int64)
+                keep = apart * (den + num) <= (den - num) * (n[us[x + p]] + n[them[q]])
+                left.append(us[x + p[keep]])
+                right.append(them[q[keep]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return np.minimum(left, right), np.maximum(left, right)
 
 
 def _hub_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -329,13 +345,20 @@ def _members(crowds: DataFrame) -> DataFrame:
     return crowds.select("data").mapInArrow(explode, "key long, cls long").distinct()
 
 
-def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, similarity: Similarity, shards: int, hubs: bool) -> DataFrame:
-    """Pairs that share a crowded part, lie in different components, and whose sketches are close.
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, cls, root, g) of the members of crowded parts that join different components; g: how many the part has."""
+    rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high")
+    return rooted.join(mixed.select("key", "g"), "key")
+
+
+def _cross_pairs(apart: DataFrame, classes: DataFrame, similarity: Similarity, shards: int, hubs: bool) -> DataFrame:
+    """Pairs (a, b) that share a crowded part, lie in different components, and whose sketches are close.
 
-    Only the members of parts that join different components are looked at.
     They meet in blocks of BLOCK, and only close pairs leave a block, unless
     they are known to meet in a part of a smaller key as well.  With
-    hubs, blocks don't meet each other, and fewer pairs than members leave.
+    hubs, blocks don't meet each other, fewer pairs than members leave, and
+    rows with a key instead of a pair name the parts that have more of them.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -348,7 +371,7 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, simil
         order = np.lexsort((cls, j, i, key))
         place = np.stack([key, i, j])[:, order]
         cuts = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, dtype=np.int64)
-        a, b = [], []
+        a, b, more = [], [], []
         for x, y in zip(cuts, [*cuts[1:], len(order)]):
             at = order[x:y]
             if len(at) > 1 and (root[at] != root[at[0]]).any():
@@ -361,27 +384,34 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, simil
                 p, q = p[keep], q[keep]
                 if hubs:
                     some = _hub_pairs(p, q)
+                    if len(some) < len(p):
+                        more.append(key[at[0]])
                     p, q = p[some], q[some]
                 a.append(cls[at][p])
                 b.append(cls[at][q])
         pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.zeros((2, 0), dtype=np.int64)
         pairs = np.unique(pairs, axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        out = pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64()), "key": pa.nulls(pairs.shape[1], pa.int64())})
+        return pa.concat_tables([out, pa.table({"a": pa.nulls(len(more), pa.int64()), "b": pa.nulls(len(more), pa.int64()), "key": pa.array(more, pa.int64())})])
 
-    rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high")
-    met = rooted.join(mixed.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "key")
+    met = apart.withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
     least = met.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("keys"))
     met = met.join(classes.join(least, "cls"), "cls")
     met = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = met.withColumn("other", F.col("block") if hubs else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "cls", "root", "n", "sketch", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(compare, "a long, b long").distinct()
+    found = dealt.groupBy("shard").applyInArrow(compare, "a long, b long, key long")
+    if not hubs:
+        return found.distinct()
+    wide = apart.where(F.col("g") > BLOCK).select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "key")
+    return found.unionAll(wide).distinct()
 
 
-def sketch(shingles: np.ndarray, fine: int = 1) -> bytes:
+def sketch(shingles: np.ndarray, fine: int | None = None) -> bytes:
     """A bit sketch of a power of two of bits, about fine bits a shingle: each shingle flips one bit."""
+    if fine is None:
+        fine = FINE if len(shingles) <= SMALL else 1
     bits = max(256, 1 << max(0, fine * len(shingles) - 1).bit_length())
     at = (shingles >> np.uint64(7)) % np.uint64(bits)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1 == 1).tobytes()
@@ -413,10 +443,11 @@ def near(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFr
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _class_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit for each class in a pair; at most 2**27 bits reach the driver."""
-    bits = 1 << max(12, min(27, (16 * max(1, pairs.count())).bit_length()))
-    return bit_filter(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))), bits)
+def _class_filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each class (cls); at most 2**27 bits reach the driver."""
+    classes = classes.select(F.col("cls").alias("key")).distinct()
+    bits = 1 << max(12, min(27, (16 * max(1, classes.count())).bit_length()))
+    return bit_filter(classes, bits)
 
 
 def _texts(docs: DataFrame, flags: np.ndarray, similarity: Similarity) -> DataFrame:
@@ -483,32 +514,50 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    shards = partitions(spark)
-    meta = scratch.save(_meta(docs, similarity))
+    with small_batches(spark, TEXTS):
+        meta = scratch.save(_meta(docs, similarity))
+    shards = max(partitions(spark), (meta.agg(F.sum("n_shingles")).first()[0] or 0) // SHARD)
     sketches = scratch.save(meta.where("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["cls"]))
-    found = scratch.save(_candidates(_keys(docs, similarity, shards), shards))
+    with small_batches(spark, TEXTS):
+        found = scratch.save(_candidates(_keys(docs, similarity, shards), shards))
     pairs = scratch.save(_pairs(found.where("kind = 'pair'")))
 
-    def linked(close: DataFrame, fine: bool = False) -> DataFrame:
-        close = scratch.save(close)
-        texts = scratch.save(_texts(docs, _class_filter(close), similarity))
-        closer = scratch.save(near(close, _fine_sketches(texts, similarity), similarity)) if fine else close
+    def texts_of(classes: DataFrame) -> DataFrame:
+        with small_batches(spark, TEXTS):
+            return scratch.save(_texts(docs, _class_filter(classes), similarity))
+
+    def checked(close: DataFrame, texts: DataFrame) -> DataFrame:
         with small_batches(spark):
-            out = scratch.save(verify(closer, texts, similarity))
-        scratch.drop(close, texts, *([closer] if fine else []))
+            out = scratch.save(verify(close, texts, similarity))
+        scratch.drop(close, texts)
         return out
 
-    links = linked(near(pairs, sketches, similarity))
+    def ends(close: DataFrame) -> DataFrame:
+        return close.select(F.explode(F.array("a", "b")).alias("cls"))
+
+    close = scratch.save(near(pairs, sketches, similarity))
+    links = checked(close, texts_of(ends(close)))
     roots = connected_components(links, scratch)
     members = scratch.save(_members(found.where("kind = 'crowd'")))
-    for hubs in (True, False):
-        links = links.unionAll(linked(_cross_pairs(members, roots, sketches, similarity, shards, hubs), fine=True))
-        roots = connected_components(links, scratch)
+    scratch.drop(found, pairs)
+    met = scratch.save(_cross_pairs(_apart(members, roots), sketches, similarity, shards, hubs=True))
+    close = met.where("key is null").select("a", "b")
+    texts = texts_of(ends(close))
+    links = links.unionAll(checked(scratch.save(near(close, _fine_sketches(texts, similarity), similarity)), texts))
+    scratch.drop(roots, sketches)
+    roots = connected_components(links, scratch)
+    rest = scratch.save(_apart(members.join(met.where("key is not null").select("key").distinct(), "key", "left_semi"), roots))
+    texts = texts_of(rest)
+    fine = scratch.save(_fine_sketches(texts, similarity))
+    close = scratch.save(_cross_pairs(rest, fine, similarity, shards, hubs=False).select("a", "b"))
+    scratch.drop(roots, members, met, rest, fine)
+    links = links.unionAll(checked(close, texts))
+    roots = connected_components(links, scratch)
     classes = meta.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(names, "root").select("cls", "component_id"))
-    scratch.drop(found, pairs, sketches, members)
+    scratch.drop(roots)
     return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -61,10 +61,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch of whole texts.
+TEXTS = 1024
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
-    """Batches of few rows for what runs inside: pairs carry two whole texts a row."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Batches of few rows for what is run inside: texts are long, and pairs carry two a row."""
+    name = BATCH
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
     try:

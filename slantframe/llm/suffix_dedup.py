@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
-from slantframe.llm.scratch import Scratch, bit_filter, partitions
+from slantframe.llm.scratch import TEXTS, Scratch, bit_filter, partitions, small_batches
 
 LENGTH, GRAM = 200, 100
 WINDOWS = LENGTH - GRAM + 1
 BATCHES = 4
 #: Entries that a task gathers before it hands them on.
-HELD = 1_000_000
+HELD = 600_000
 
 ENTRY = np.dtype([("fp", "<u8"), ("ent", "<u8"), ("pos", "<i8")])
 HIT = np.dtype([("ent", "<u8"), ("pos", "<i8")])
@@ -396,7 +396,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     shards = partitions(spark)
-    raw = scratch.save(_scan(docs, shards, batches))
+    with small_batches(spark, TEXTS):
+        raw = scratch.save(_scan(docs, shards, batches))
     meta = raw.where("kind = 'meta'").select("doc_id", "ent", "n_bytes", "sha")
     family = SuffixIndexFamily(scratch, shards)
     hits = raw.where("kind = 'hit'").select("shard", "data")
@@ -407,7 +408,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
     texts = _texts(docs, _hit_filter(hits, bits), bits, shards)
     together = texts.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_with_hits, "shard int, ent long, text binary, hits binary")
     name = f"suffix_{uuid.uuid4().hex}"
-    together.write.option("compression", "zstd").bucketBy(shards, "shard").saveAsTable(name)
+    with small_batches(spark, TEXTS):
+        together.write.option("compression", "zstd").bucketBy(shards, "shard").saveAsTable(name)
     for level in family.levels.values():
         family.drop(level)
     own = spark.table(name)
