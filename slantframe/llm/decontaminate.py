@@ -133,6 +133,7 @@ def _broadcast(docs: DataFrame, items: DataFrame, coverage: float, most: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in got], tokens, seeds[order], owner[order], quick))
     text, names = docs.columns.index("text"), [*docs.columns, "leak_item", "leak_coverage", "leak"]
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tokens, seeds, owner, quick = shared.value
         low = np.uint64(len(quick) - 1)
@@ -162,6 +163,7 @@ def _arrow(kind: str) -> pa.DataType:
 def _seeds(rows: DataFrame, id_name: str, kind: str, flags=None) -> DataFrame:
     """(id, seed) of the distinct seeds of each text (columns id, text)."""
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
@@ -187,6 +189,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     texts = keyed.select(F.col("__key").alias("key"), F.col("text").alias("doc_text")).dropDuplicates(["key"])
     pairs = _seeds(texts, "key", "bigint", flags).join(theirs, "seed").select("key", "item_id").distinct()
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shares = [share(item, text) for text, item in zip(words_of(batch.column(2)), words_of(batch.column(3)))]

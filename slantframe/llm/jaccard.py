@@ -193,6 +193,7 @@ def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
     """Rows of keys (PACKED, to be joined), pairs (PAIR, found within a task) and crowds (PACKED, of crowded parts)."""
     sep = kernels.white_space()
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -239,6 +240,7 @@ def _keys(docs: DataFrame, similarity: Similarity, shards: int) -> DataFrame:
 def _candidates(keys: DataFrame, shards: int) -> DataFrame:
     """Joins the keys of all tasks: pairs with the least class of a part, and the rows of crowded parts."""
 
+    @kernels.tidied
     def step(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
         _, pairs, crowd = _stars(_unpack(b"".join(d for k, d in zip(kinds, blobs) if k == "key")))
@@ -253,6 +255,7 @@ def _candidates(keys: DataFrame, shards: int) -> DataFrame:
 def _pairs(blobs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of PAIR blobs."""
 
+    @kernels.tidied
     def step(table: pa.Table) -> pa.Table:
         pairs = _sorted_unique(np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=PAIR))
         return pa.table({"a": pairs["a"].copy().view(np.int64), "b": pairs["b"].copy().view(np.int64)})
@@ -264,6 +267,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFr
     """The pairs (a, b) of classes whose sets link; texts has a text for each class in question."""
     sep = kernels.white_space()
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
@@ -336,6 +340,7 @@ def _met_before(least: np.ndarray, p: np.ndarray, q: np.ndarray, key: int) -> np
 def _members(crowds: DataFrame) -> DataFrame:
     """(key, cls) of the members of crowded parts."""
 
+    @kernels.tidied
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
@@ -361,6 +366,7 @@ def _cross_pairs(apart: DataFrame, classes: DataFrame, similarity: Similarity, s
     rows with a key instead of a pair name the parts that have more of them.
     """
 
+    @kernels.tidied
     def compare(table: pa.Table) -> pa.Table:
         key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
         cls, root, n, block = (table.column(c).to_numpy() for c in ("cls", "root", "n", "block"))
@@ -429,6 +435,7 @@ def near(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFr
     """The pairs whose sizes and sketches don't rule a link out."""
     num, den = similarity.num, similarity.den
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -455,6 +462,7 @@ def _texts(docs: DataFrame, flags: np.ndarray, similarity: Similarity) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(flags)
     sep, bits = kernels.white_space(), len(flags) * 8
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -477,6 +485,7 @@ def _fine_sketches(texts: DataFrame, similarity: Similarity) -> DataFrame:
     """(cls, n, sketch): sketches of FINE bits a shingle, which tell near misses from links."""
     sep = kernels.white_space()
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), sketch(s, FINE)) for s in kernels.shingle_sets(batch.column(1), similarity.words, sep)]
@@ -490,6 +499,7 @@ def _meta(docs: DataFrame, similarity: Similarity) -> DataFrame:
     sep = kernels.white_space()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, sketches = [], [], []

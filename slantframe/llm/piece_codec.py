@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+
+from slantframe.llm import kernels
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -267,6 +269,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
     key = shared.id if hasattr(shared, "id") else id(shared)
     extra = ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
         for batch in batches:

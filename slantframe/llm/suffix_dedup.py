@@ -156,6 +156,7 @@ class SuffixIndexFamily:
             for frame in frames:
                 rows = rows.unionAll(frame.where("kind = 'level'").select(F.lit(name), "shard", "data"))
 
+        @kernels.tidied
         def step(table: pa.Table) -> pa.Table:
             blobs: dict[str, list] = {"new": [], "merge": [], "scan": []}
             for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
@@ -198,6 +199,7 @@ def _scan(docs: DataFrame, shards: int, batches: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["kind", "doc_id", "ent", "n_bytes", "sha", "batch", "shard", "data"]
 
+    @kernels.tidied
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
@@ -269,6 +271,7 @@ def _texts(docs: DataFrame, flags: np.ndarray, bits: int, shards: int) -> DataFr
     """(shard, ent, text) of the texts that the filter lets through, once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
+    @kernels.tidied
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
@@ -414,6 +417,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
         family.drop(level)
     own = spark.table(name)
 
+    @kernels.tidied
     def surroundings(table: pa.Table) -> pa.Table:
         home, part = table.column("shard")[0].as_py(), _Shard(table)
         keys, fps = part.contexts()
@@ -426,6 +430,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
         out += [(s, home, d) for s, d in _split(sent, sent["key"] % np.uint64(shards))]
         return _rows(out, _PIECE)
 
+    @kernels.tidied
     def settle(table: pa.Table) -> pa.Table:
         """Tells the homes which hits repeat as a whole; sends heads on to be matched."""
         homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
@@ -447,6 +452,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
             out += [(f"heads:{s}", int(h), d) for s, d in _split(heads, heads["fp"] % np.uint64(shards))]
         return _rows(out, _BLOB)
 
+    @kernels.tidied
     def tell(table: pa.Table) -> pa.Table:
         """Tells hits that stand for equal ones to compare their strings if their head has a lone hit."""
         lone, out = [], []
@@ -478,6 +484,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
             by[kind].append(data)
         return _flags(len(part.at), by["settled"]), _flags(len(part.at), by["told"]), by["again"]
 
+    @kernels.tidied
     def strings(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([], _PIECE)
@@ -490,6 +497,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
         out += [(s, home, d) for s, d in _split(rows, rows["key"] % np.uint64(shards))]
         return _rows(out, _PIECE)
 
+    @kernels.tidied
     def again(table: pa.Table) -> pa.Table:
         homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
         rows = _joined(blobs, WINDOW)
@@ -504,6 +512,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
     answers = answers.unionAll(local).unionAll(repeats)
     kept_type = [("kept", pa.binary())] if keep_text else []
 
+    @kernels.tidied
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         fields = [("ent", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *kept_type]
         out: list[tuple] = []
@@ -573,6 +582,7 @@ def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(changed.select(F.col("__ent").alias("key")), bits))
     text, names = docs.columns.index("text"), [*docs.columns, "__ent", "__maybe"]
 
+    @kernels.tidied
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             ents = np.array([entity(x.as_buffer() if x.is_valid else b"")[0] for x in batch.column(text)], dtype=np.uint64)

@@ -114,6 +114,7 @@ def fit_toxicity(
     learn = F.lit(True) if learn is None else learn
     scratch = Scratch(spark, "toxicity")
 
+    @kernels.tidied
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x.tobytes() for x in kernels.shingle_sets(batch.column(2), 1, SEPARATORS)]
@@ -127,6 +128,7 @@ def fit_toxicity(
         share = n_one / n_all if n_all else 0.0
         return ToxicityModel(none.astype(np.uint64), none, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
 
+    @kernels.tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ones = batch.column(0).to_numpy().astype(bool)
@@ -154,6 +156,7 @@ def fit_toxicity(
     hashes = np.unique(np.array([np.int64(r[0]).astype(np.uint64) for r in chosen] + [h for g in terms for h in g], dtype=np.uint64))
     shared = spark.sparkContext.broadcast(hashes)
 
+    @kernels.tidied
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_of = [np.flatnonzero(np.isin(shared.value, np.frombuffer(x, dtype=np.uint64))).astype(np.int32) for x in batch.column(1).to_pylist()]
@@ -192,6 +195,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
     docs = docs.drop("toxic_score", "toxic_predicted") if keep else docs.select("doc_id", "text")
     text = docs.columns.index("text")
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.scores(batch.column(text))
