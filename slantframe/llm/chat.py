@@ -58,7 +58,8 @@ class Flattener:
     text: text.  image: ref, width, height (one token a patch of side patch).
     audio: ref, seconds (rate tokens a second).  document: ref, pages
     (page_tokens tokens a page).  A null field counts as empty or 0; an
-    unknown type is an error.
+    unknown type is a ValueError.  Texts that follow one another are escaped
+    as one, so no control string arises where they meet.
     """
 
     patch: int = 28
@@ -67,12 +68,16 @@ class Flattener:
     pieces: list[str] = field(default_factory=list)
     attachments: list[Attachment] = field(default_factory=list)
     size: int = 0
+    pending: list[str] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}")(part)
+        visitor = getattr(self, f"visit_{part.get('type')}", None)
+        if visitor is None:
+            raise ValueError(f"a content part of type {part.get('type')!r}")
+        visitor(part)
 
     def visit_text(self, part: dict) -> None:
-        self._write(escape(part.get("text") or ""))
+        self.pending.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         side = lambda x: math.ceil((part.get(x) or 0) / self.patch)
@@ -85,15 +90,23 @@ class Flattener:
         self._attach("document", part, (part.get("pages") or 0) * self.page_tokens)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._settle()
         self.attachments.append(Attachment(kind, part.get("ref") or "", self.size, tokens))
         self._write(f"<|{kind}|>")
 
+    def _settle(self) -> None:
+        """Writes the texts since the last placeholder."""
+        if self.pending:
+            self._write(escape("".join(self.pending)))
+            self.pending.clear()
+
     def _write(self, piece: str) -> None:
         self.pieces.append(piece)
         self.size += len(piece)
 
     @property
     def text(self) -> str:
+        self._settle()
         return "".join(self.pieces)
 
 
@@ -121,17 +134,40 @@ def format_turn(role: str | None, parts: Sequence[dict], learned: Sequence[str]
 
 
 def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of each block of an output, unescaped; placeholders stay as they are."""
+    """(role, text) of each block of an output, unescaped; placeholders stay as they are (read_parts tells them from quoted ones)."""
+    for m in _blocks(formatted):
+        yield unescape(m["role"]), unescape(m["text"])
+
+
+def _blocks(formatted: str) -> Iterator[re.Match]:
     at = 0
     for m in _BLOCK.finditer(formatted):
         if m.start() != at:
             raise ValueError(f"no block at {at}")
         at = m.end()
-        yield unescape(m["role"]), unescape(m["text"])
+        yield m
     if at != len(formatted):
         raise ValueError(f"no block at {at}")
 
 
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
+
+
+def read_parts(formatted: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """(role, parts) of each block of an output: ("text", text) and (kind, "") for a placeholder.
+
+    A placeholder that a text quotes is escaped, so it is read as text.
+    Empty texts between placeholders are left out.
+    """
+    for m in _blocks(formatted):
+        parts, at = [], 0
+        for p in _PLACEHOLDER.finditer(m["text"]):
+            parts += [("text", unescape(m["text"][at : p.start()])), (p[1], "")]
+            at = p.end()
+        parts.append(("text", unescape(m["text"][at:])))
+        yield unescape(m["role"]), [p for p in parts if p != ("text", "")]
+
+
 BLOCKS = "formatted string, loss_start int, loss_end int, attachments array<struct<kind:string,reference:string,offset:int,tokens:int>>"
 
 
@@ -173,8 +209,10 @@ def digest_conversations(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_id, state = None, None
+        ids = None
         for batch in batches:
             done = []
+            ids = batch.column(0).type
             for conv, formatted, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv != open_id:
                     if state is not None:
@@ -188,15 +226,15 @@ def digest_conversations(blocks: DataFrame) -> DataFrame:
                 state[3].update(learned.encode())
                 state[4] += len(formatted)
             if done:
-                yield _digests(done)
+                yield _digests(done, ids)
         if state is not None:
-            yield _digests([(open_id, state)])
+            yield _digests([(open_id, state)], ids)
 
-    def _digests(done: list) -> pa.RecordBatch:
+    def _digests(done: list, ids: pa.DataType) -> pa.RecordBatch:
         columns = [[c for c, _ in done], *([s[k] if k in (0, 2, 4) else s[k].hexdigest() for _, s in done] for k in range(5))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [ids, *types])], names)
 
-    types = [pa.int64() if kind == "bigint" else None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     rows = blocks.select("conv_id", "turn", "formatted", "loss_start", "loss_end")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").drop("turn")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
-from slantframe.llm.scratch import bit_filter
+from slantframe.llm.scratch import bit_filter, free_names
 
 #: Words of a seed, and the shortest tile.
 LEAST = 5
@@ -100,20 +100,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     the largest share, null where no seed is shared; contaminated is 1 if the
     share is at least coverage.  Words are runs of letters, digits and
     non-ASCII characters, A-Z lower-cased.  Null texts are empty; items of
-    fewer than LEAST words or with a null id take no part; repeated rows give
-    a row each.  With keep, all columns of docs are returned and, besides,
-    leak_item, leak_coverage and leak.
+    fewer than LEAST words or with a null id take no part; each text of a
+    repeated item_id counts; repeated rows give a row each.  With keep, all
+    columns of docs are returned and, behind them, leak_item, leak_coverage
+    and leak, with underscores behind a name that docs has.
     """
-    docs = docs.drop("leak_item", "leak_coverage", "leak") if keep else docs.select("doc_id", "text")
+    docs = docs if keep else docs.select("doc_id", "text")
     items = benchmark.where("item_id is not null").select("item_id", "text")
     out = _broadcast(docs, items, coverage, broadcast_seeds) or _joined(docs, items, coverage)
-    if keep:
-        return out
-    return out.select("doc_id", F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak").alias("contaminated"))
+    return out if keep else out.toDF("doc_id", "text", "item_id", "coverage", "contaminated").drop("text")
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return free_names(docs.columns, "leak_item", "leak_coverage", "leak")
 
 
 def _schema(docs: DataFrame, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"leak_item {kind}, leak_coverage double, leak int"])
+    item, part, leak = _names(docs)
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{item}` {kind}, `{part}` double, `{leak}` int"])
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, coverage: float, most: int) -> DataFrame | None:
@@ -131,7 +135,7 @@ def _broadcast(docs: DataFrame, items: DataFrame, coverage: float, most: int) ->
     quick[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     kind = items.schema["item_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in got], tokens, seeds[order], owner[order], quick))
-    text, names = docs.columns.index("text"), [*docs.columns, "leak_item", "leak_coverage", "leak"]
+    text, names = docs.columns.index("text"), [*docs.columns, *_names(docs)]
 
     @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +189,10 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     kind = items.schema["item_id"].dataType.simpleString()
     theirs = _seeds(items, "item_id", kind)
     flags = docs.sparkSession.sparkContext.broadcast(bit_filter(theirs.select(F.col("seed").alias("key")), FILTER_BITS))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    texts = keyed.select(F.col("__key").alias("key"), F.col("text").alias("doc_text")).dropDuplicates(["key"])
-    pairs = _seeds(texts, "key", "bigint", flags).join(theirs, "seed").select("key", "item_id").distinct()
+    (own,) = free_names(docs.columns, "key")
+    keyed = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = keyed.select(F.col(own).alias("key"), F.col("text").alias("doc_text")).dropDuplicates(["key"])
+    pairs = _seeds(texts, "key", "string", flags).join(theirs, "seed").select("key", "item_id").distinct()
 
     @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +200,11 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
             shares = [share(item, text) for text, item in zip(words_of(batch.column(2)), words_of(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shares, pa.float64())], ["key", "item_id", "share"])
 
-    both = pairs.join(items.dropDuplicates(["item_id"]), "item_id").join(texts, "key").select("key", "item_id", "doc_text", "text")
-    scored = both.mapInArrow(run, f"key long, item_id {kind}, share double").where("share > 0")
-    best = scored.groupBy("key").agg(F.max(F.struct("share", (-F.col("item_id")).alias("i") if kind in ("bigint", "int") else F.col("item_id").alias("i"), "item_id")).alias("b"))
-    found = best.select(F.col("key").alias("__key"), F.col("b.item_id").alias("leak_item"), F.col("b.share").alias("leak_coverage"))
-    out = keyed.join(found, "__key", "left").fillna(0.0, ["leak_coverage"]).withColumn("leak", (F.col("leak_coverage") >= coverage).cast("int"))
-    return out.select(*docs.columns, "leak_item", "leak_coverage", "leak")
+    both = pairs.join(items.distinct(), "item_id").join(texts, "key").select("key", "item_id", "doc_text", "text")
+    scored = both.mapInArrow(run, f"key string, item_id {kind}, share double").where("share > 0")
+    # The largest share comes first, among equal ones the least item.
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("share")).alias("less"), "item_id")).alias("b"))
+    item, part, leak = _names(docs)
+    found = best.select(F.col("key").alias(own), F.col("b.item_id").alias(item), (-F.col("b.less")).alias(part))
+    out = keyed.join(found, own, "left").fillna(0.0, [part]).withColumn(leak, (F.col(part) >= coverage).cast("int"))
+    return out.select(*docs.columns, item, part, leak)

@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     Rows come in the order of a hash of their id, so the sample does not
     depend on partitions.  cap bounds what is broadcast to the documents:
     ids and labels only.  Null ids, null labels and labels other than 0 and 1
-    take no part.
+    take no part; of several texts of one id the least is taken.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
@@ -27,4 +27,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         .limit(cap)
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))

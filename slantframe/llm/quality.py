@@ -98,11 +98,14 @@ class QualityModel:
         for first, counts in term_counts(column):
             latent = self.embed(counts)
             for x in range(0, len(latent), block):
-                cosines = latent[x : x + block] @ self.vectors.T
-                near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), cosines.shape)
-                weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64)
+                # Cosines that agree to six digits are ties, which go to the least id: vectors are in the order of ids.
+                cosines = np.round(latent[x : x + block] @ self.vectors.T, 6)
+                least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+                near, even = cosines > least, cosines == least
+                near |= even & (np.cumsum(even, axis=1) <= k - near.sum(axis=1, keepdims=True))
+                weight = np.where(near, np.maximum(cosines, 0), 0).astype(np.float64)
                 total = weight.sum(axis=1)
-                vote = (weight * self.labels[near]).sum(axis=1)
+                vote = weight @ self.labels
                 out[first + x : first + x + len(cosines)] = np.where(total > 0, vote / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
 

@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
+    """The shared folder: spark.checkpoint.dir, or a temporary one where it is unset on a single machine (tests).
+
+    On a cluster without that setting it is an error: a local folder isn't shared.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             root = jsc.getCheckpointDir().get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="slantframe-")
             spark.sparkContext.setCheckpointDir(root)
@@ -56,6 +61,18 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind where a column has one already (names differ by more than case)."""
+    taken_ = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in taken_:
+            name += "_"
+        taken_.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """How many pieces a shuffled intermediate is dealt into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,8 +2,10 @@
 
 A logistic regression over the distinct words of a text.  Labelled texts that
 mention an identity term are also taken with the term swapped for the other
-terms of its group; the squared change of the logit is penalised (logit
-pairing), so that a neutral mention of a group does not move the score.
+terms of its group, and those that mention none of a group with each of its
+terms put in; the squared change of the logit is penalised (logit pairing), so
+that a neutral mention of a group does not move the score.  Groups have terms
+of the corpus's four languages.
 
 The model is fitted on the driver on a bounded, documented sample of labelled
 rows and a bounded number of words; every document is then scored in its own
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
 from slantframe.llm.labelled import labelled_sample, remainder
-from slantframe.llm.scratch import Scratch
+from slantframe.llm.scratch import Scratch, free_names
 
 #: Terms of one group are swapped for each other.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -36,6 +38,21 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "citizens"),
     ("old", "young"),
     ("deaf", "blind", "disabled"),
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes"),
+    ("noirs", "blancs", "asiatiques"),
+    ("immigrés", "citoyens"),
+    ("homosexuels", "hétérosexuels", "transgenres"),
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten"),
+    ("schwarze", "weiße", "asiaten"),
+    ("einwanderer", "bürger"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas"),
+    ("negros", "blancos", "asiáticos"),
+    ("inmigrantes", "ciudadanos"),
+    ("homosexuales", "heterosexuales", "transexuales"),
 )
 
 SEPARATORS = kernels.not_alphanumeric()
@@ -48,11 +65,12 @@ def word_hash(word: str) -> int:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Sorted word hashes, their weights, and the intercept."""
+    """Sorted word hashes, their weights, the intercept, and how many counterfactual pairs the fit was held to."""
 
     hashes: np.ndarray
     weights: np.ndarray
     intercept: float
+    pairs: int = 0
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text; null and empty texts get the intercept's."""
@@ -70,13 +88,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit_logits(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, pairing: float, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Newton's method on log loss + pairing * squared swap changes + ridge, divided by the rows."""
+def fit_logits(x: np.ndarray, y: np.ndarray, changes: np.ndarray, pairing: float, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Newton's method on mean log loss + pairing * mean squared change of the pairs' logits + ridge.
+
+    changes is the mean outer product of the pairs' differences, a square of the words.
+    """
     n, d = x.shape
     w = np.zeros(d + 1)
     full = np.hstack([x, np.ones((n, 1))])
     penalty = np.zeros((d + 1, d + 1))
-    penalty[:d, :d] = 2 * pairing * (swaps.T @ swaps) / max(1, len(swaps)) + 2 * ridge * np.eye(d)
+    penalty[:d, :d] = 2 * pairing * changes + 2 * ridge * np.eye(d)
     penalty[d, d] = 1e-9
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -40, 40)))
@@ -167,32 +188,38 @@ def fit_toxicity(
     y = np.repeat([r[0] for r in got], [r[2] for r in got]).astype(float)
     x = np.zeros((len(y), len(hashes)))
     place = {int(h): i for i, h in enumerate(hashes)}
-    swaps: list[np.ndarray] = []
+    # Differences have one or two entries, so their outer products are summed entry by entry.
+    changes, pairs = np.zeros((len(hashes), len(hashes))), 0
     at = 0
     for _, found, n in got:
         x[at : at + n, found] = 1
         for group in terms:
             own = [place[int(h)] for h in group]
-            for a in (i for i in own if i in found):
+            held = [i for i in own if i in found]
+            for a in held:
                 for b in own:
                     if b != a:
-                        change = np.zeros(len(hashes))
-                        change[a], change[b] = 1, -(b not in found)
-                        swaps.extend([change] * n)
+                        moved = [a] if b in found else [a, b]
+                        changes[np.ix_(moved, moved)] += n * np.array([[1.0, -1.0], [-1.0, 1.0]])[: len(moved), : len(moved)]
+                        pairs += n
+            for b in own if not held else []:
+                changes[b, b] += n
+                pairs += n
         at += n
-    weights, intercept = fit_logits(x, y, np.array(swaps).reshape(-1, len(hashes)), pairing, ridge)
-    return ToxicityModel(hashes, weights, intercept)
+    weights, intercept = fit_logits(x, y, changes / max(1, pairs), pairing, ridge)
+    return ToxicityModel(hashes, weights, intercept, pairs)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """doc_id, score and predicted (1 if score >= threshold) of every whole text.
 
-    With keep, the columns of docs and, besides, toxic_score and
-    toxic_predicted.  Null texts are empty texts; repeated rows and null ids
+    With keep, the columns of docs and, behind them, toxic_score and
+    toxic_predicted, with underscores behind a name that docs has.  Null texts are empty texts; repeated rows and null ids
     give a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("toxic_score", "toxic_predicted") if keep else docs.select("doc_id", "text")
+    docs = docs if keep else docs.select("doc_id", "text")
+    said = free_names(docs.columns, "toxic_score", "toxic_predicted")
     text = docs.columns.index("text")
 
     @kernels.tidied
@@ -202,11 +229,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
             predicted = (score >= threshold).astype(np.int32)
             columns = batch.columns if keep else [batch.column(0)]
             names = batch.schema.names if keep else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(predicted)], [*names, "toxic_score", "toxic_predicted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(predicted)], [*names, *said])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] if keep else [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"]
-    out = docs.mapInArrow(run, ", ".join([*fields, "toxic_score double, toxic_predicted int"]))
-    return out if keep else out.select("doc_id", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+    out = docs.mapInArrow(run, ", ".join([*fields, f"`{said[0]}` double, `{said[1]}` int"]))
+    return out if keep else out.select("doc_id", F.col(said[0]).alias("score"), F.col(said[1]).alias("predicted"))
 
 
 def held_out(folds: int, fold: int) -> tuple[Column, Column]:

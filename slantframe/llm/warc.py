@@ -150,9 +150,13 @@ def read_archive(archive: bytes) -> Iterator[Record]:
         elif magic == FRAME:
             decoder = decoder or zstandard.ZstdDecompressor()
             try:
-                raw = decoder.decompress(content, allow_extra_data=False)
+                # As a stream: a frame needn't say how long its content is.
+                stream = decoder.decompressobj()
+                raw = stream.decompress(bytes(content))
             except zstandard.ZstdError as error:
                 raise WarcError(str(error)) from error
+            if not stream.eof:
+                raise WarcError("a frame's content is cut off")
             yield parse_record(raw)
 
 
@@ -191,8 +195,10 @@ def classify_pages(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, source: DataFrame | None = None) -> None:
     """Writes a record for each row of classify_pages to archives under path.
 
-    The dictionary is trained on the driver on at most SAMPLES records;
-    source, if given, has the same payloads and is cheaper to scan.  Each
+    The dictionary is trained on the driver on the heads of at most SAMPLES
+    records, those with the least hashes of their ids: ids alone are ranked,
+    and only the chosen payloads reach the driver.  source, if given, has the
+    same payloads and is cheaper to scan.  Each
     partition of pages becomes an archive: payloads are shuffled once, by the
     join that finds revisits, and the adaptive planner sizes its partitions.
     Revisits have an empty payload and name the record they refer to.
@@ -200,7 +206,8 @@ def write_archives(pages: DataFrame, path: str, source: DataFrame | None = None)
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     source = pages if source is None else source
-    sample = source.select(F.substring(F.col("payload").cast("string"), 1, 20_000).cast("binary").alias("p")).orderBy(F.xxhash64("p")).limit(SAMPLES)
+    ids = [r[0] for r in source.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES).collect()]
+    sample = source.where(F.col("page_id").isin(ids)).select("page_id", F.substring("payload", 1, 20_000).alias("p")).groupBy("page_id").agg(F.min("p").alias("p")).orderBy("page_id")
     dictionary = train_dictionary([record(_headers("response", i, None, "", b""), b"HTTP/1.1 200 OK\r\n\r\n" + bytes(r.p)) for i, r in enumerate(sample.collect())])
     shared = spark.sparkContext.broadcast(dictionary)
 

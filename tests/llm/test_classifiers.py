@@ -88,3 +88,37 @@ def test_shingle_sets_equal_brute_force():
     for i in range(len(texts)):
         for j in range(len(texts)):
             assert len(np.intersect1d(sets[i], sets[j])) == len(brute[i] & brute[j])
+
+
+def test_pairs_exist_without_mentions_and_flatten_later_ones(spark):
+    docs = spark.createDataFrame([(i, "plain words here " + ("vile" if i % 2 else "fine")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.pairs > 0
+    mentions = spark.createDataFrame([(i, f"plain words here fine {w}") for i, w in enumerate(("", "women", "musulmans", "männer", "judíos"))], "doc_id long, text string")
+    scores = [r.score for r in toxicity.score_toxicity(mentions, model).orderBy("doc_id").collect()]
+    assert max(abs(s - scores[0]) for s in scores) < 1e-6
+
+
+def test_equal_cosines_go_to_the_least_id():
+    vectors = np.array([[1, 0], [0, 1], [1, 0], [1, 0]], np.float32)
+    counts = np.zeros((1, quality.TERMS))
+    axes = np.zeros((quality.TERMS, 2), np.float32)
+    axes[0, 0] = 1
+    model = quality.QualityModel(np.ones(quality.TERMS), axes, vectors, np.array([1.0, 1.0, 0.0, 0.0]), 2, 0.5)
+    counts[0, 0] = 3
+    original = quality.term_counts
+    quality.term_counts = lambda column: iter([(0, counts)])
+    try:
+        assert model.scores([None]).tolist() == [0.5]
+    finally:
+        quality.term_counts = original
+
+
+def test_repeated_ids_give_one_text(spark):
+    from slantframe.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = sorted(map(tuple, labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()))
+    assert got == [(1, 1, "a"), (2, 0, None)]

@@ -61,3 +61,15 @@ def test_leaks_in_any_order_and_clean_documents(spark):
     assert find_contamination(df.limit(0), bf).count() == 0
     assert {r.contaminated for r in find_contamination(df, bf.limit(0)).collect()} == {0}
     assert LEAST == 5
+
+
+def test_repeated_and_textual_item_ids_on_both_paths(spark):
+    rnd = random.Random(8)
+    passage = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(20)) for _ in range(4)]
+    bench = [("b", passage[0]), ("b", passage[1]), ("c", passage[2]), ("a", passage[2])]
+    docs = [(i, f"before {p} after", "own") for i, p in enumerate(passage)]
+    df, bf = spark.createDataFrame(docs, "doc_id int, text string, leak string"), spark.createDataFrame(bench, "item_id string, text string")
+    for most in (10_000, 0):
+        got = find_contamination(df, bf, broadcast_seeds=most, keep=True)
+        assert got.columns == ["doc_id", "text", "leak", "leak_item", "leak_coverage", "leak_"]
+        assert sorted((r.doc_id, r.leak_item, r.leak_, r.leak) for r in got.collect()) == [(0, "b", 1, "own"), (1, "b", 1, "own"), (2, "a", 1, "own"), (3, None, 0, "own")]

@@ -40,3 +40,11 @@ def test_reader_validates():
     for broken in (whole[:-1], whole[:-6], whole[:12], whole + b"junk-junk", _archive(good[:-1]), _archive(good.replace(b"Length: 9", b"Length: 8")), _archive(good.replace(b"WARC-Date: d\r\n", b"")), _archive(good.replace(b"WARC/1.1", b"WARC/9.9")), _archive(good + good), whole + _archive(good)):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(broken))
+
+
+def test_frames_that_dont_say_their_size():
+    good = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Date", "d")], b"H\r\n\r\nbody")
+    stream = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    frame = stream.compress(good) + stream.flush()
+    assert zstandard.get_frame_parameters(frame).content_size in (0, zstandard.CONTENTSIZE_UNKNOWN)
+    assert [r.payload for r in warc.read_archive(frame + frame)] == [b"body"] * 2
