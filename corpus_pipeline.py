@@ -35,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the classifier rejects (score of 0.7 or more)."""
     learn, _ = held_out(3, 1)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn)
-    return score_toxicity(docs, model, threshold=0.7, keep=True).where("toxic_predicted = 0").select(*docs.columns)
+    scored = score_toxicity(docs, model, threshold=0.7, keep=True)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
 
 
 @few_rows
@@ -54,7 +55,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold half of a benchmark item or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_contamination(docs, benchmark, keep=True).where("leak = 0").select(*docs.columns)
+    found = find_contamination(docs, benchmark, keep=True)
+    return found.where(F.col(found.columns[-1]) == 0).select(*docs.columns)
 
 
 @few_rows
