@@ -11,7 +11,8 @@ Lists come from k-means on a bounded sample; every row is in a list, and every
 probed list is scanned whole.  How many lists are probed follows from the
 recall that the sample shows.  Equal vectors are one candidate that carries
 its least ids, so a vector that a third of all rows share is scanned once.
-Rows and queries meet in a grid of blocks of bounded size.
+Rows lie in groups of whole lists (hot lists are cut into pieces), and a query
+goes only to the groups that hold a list it probes, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from slantframe.llm.scratch import Scratch
 SAMPLE, LISTS, ROUNDS, TRIALS = 20_000, 4096, 10, 200
 #: Dimensions of a column block, and the error bound of the test in standard deviations.
 BLOCK, EPSILON = 16, 2.1
-#: Rows and queries of a block of the grid.
+#: Rows of a group of lists, and queries that meet it at a time.
 ROWS, QUERIES = 16_384, 4096
 #: Share of the true neighbours that the probed lists must hold in the sample.
 RECALL = 0.97
@@ -54,6 +55,12 @@ class Index:
     def queries(self, vectors: np.ndarray) -> np.ndarray:
         return (np.hstack([vectors, np.zeros((len(vectors), 1))]) @ self.rotation).astype(np.float32)
 
+    def probed(self, queries: np.ndarray) -> np.ndarray:
+        """Which lists (columns) each rotated query probes."""
+        near = self.nearest(queries)
+        p = min(self.probes, near.shape[1])
+        return near <= np.partition(near, p - 1, axis=1)[:, p - 1 : p]
+
     def nearest(self, points: np.ndarray) -> np.ndarray:
         """Squared distances to the centroids."""
         return _squares(points, self.centroids)
@@ -98,9 +105,7 @@ def scan(index: Index, vectors: np.ndarray, lists: np.ndarray, asked: np.ndarray
     tested.
     """
     rows, queries = index.rows(vectors), index.queries(asked)
-    near = index.nearest(queries)
-    p = min(index.probes, near.shape[1])
-    probed = near <= np.partition(near, p - 1, axis=1)[:, p - 1 : p]
+    probed = index.probed(queries)
     bound = np.full(len(queries), np.inf, dtype=np.float32)
     if everything:
         probed[:] = True
@@ -195,17 +200,28 @@ def nearest_neighbours(table: DataFrame, query: Column, neighbours: int = 20, ve
     placed = scratch.save(classes.mapInArrow(listed, "cid string, v array<double>, ids array<long>, list int"))
     asked = scratch.save(classes.select("cid", "v").join(asking.select("cid").distinct(), "cid", "left_semi"))
     groups = -(-total // ROWS)
-    # A list is cut into pieces of a quarter of a block at most, and pieces are dealt to groups.
+    # A list is cut into pieces of a quarter of a group at most, and pieces are dealt to groups; there are LISTS lists at most.
     pieces = {r["list"]: int(-(-4 * r["count"] // ROWS)) for r in placed.groupBy("list").count().collect()}
     cut = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(pieces.items()) for x in pair]), F.col("list"))
-    piece = F.pmod(F.xxhash64("cid"), cut.cast("long"))
-    dealt = placed.withColumn("g", F.pmod(F.xxhash64("list", piece), F.lit(groups)).cast("int"))
+    group_of = lambda piece: F.pmod(F.xxhash64("list", piece), F.lit(groups)).cast("int")
+    dealt = placed.withColumn("g", group_of(F.pmod(F.xxhash64("cid"), cut.cast("long"))))
+
+    def probing(batches):
+        for batch in batches:
+            who, lists = np.nonzero(shared.value.probed(shared.value.queries(_matrix(pa.chunked_array([batch.column(1)])))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(lists.astype(np.int32))], ["cid", "list"])
 
     def search(wanted: DataFrame, everything: bool) -> DataFrame:
-        """(cid, vec_id, score): candidates of each wanted class from the grid of row and query blocks."""
-        blocks = max(1, -(-wanted.count() // QUERIES))
-        left = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = wanted.withColumn("b", F.pmod(F.xxhash64(F.lit(2), "cid"), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        """(cid, vec_id, score): candidates of each wanted class from the groups that hold its lists."""
+        if everything:
+            sent = wanted.select("cid", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        else:
+            lists = wanted.select("cid", "v").mapInArrow(probing, "cid string, list int").where(F.col("list").isin(list(pieces)))
+            sent = lists.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), cut.cast("long") - 1))).select("cid", group_of(F.col("piece")).alias("g")).distinct()
+        sent = scratch.save(sent)
+        blocks = scratch.save(sent.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")))
+        left = dealt.join(blocks, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = sent.join(blocks, "g").join(wanted.select("cid", "v"), "cid").withColumn("b", F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("blocks")).cast("int"))
 
         def meet(key, data: pa.Table, asks: pa.Table) -> pa.Table:
             if not data.num_rows or not asks.num_rows:
