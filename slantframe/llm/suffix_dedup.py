@@ -48,6 +48,8 @@ HIT = np.dtype([("ent", "<u8"), ("pos", "<i8")])
 CONTEXT = np.dtype([("key", "<u8"), ("fp", "<u8"), ("at", "<i4")])
 HEAD = np.dtype([("fp", "<u8"), ("at", "<i4")])
 WINDOW = np.dtype([("key", "<u8"), ("at", "<i4")])
+#: Bytes of all texts for each shard, which one task holds at a time, and shards at most (a table's buckets).
+SHARD_BYTES, MOST_SHARDS = 24 << 20, 100_000
 #: Bits of the broadcast filter of texts with hits, at most.
 FILTER_BITS = 1 << 27
 
@@ -398,7 +400,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    shards = partitions(spark)
+    shards = max(partitions(spark), min(MOST_SHARDS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     with small_batches(spark, TEXTS):
         raw = scratch.save(_scan(docs, shards, batches))
     meta = raw.where("kind = 'meta'").select("doc_id", "ent", "n_bytes", "sha")
@@ -411,137 +413,139 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, keep_text: bool = Fa
     texts = _texts(docs, _hit_filter(hits, bits), bits, shards)
     together = texts.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_with_hits, "shard int, ent long, text binary, hits binary")
     name = f"suffix_{uuid.uuid4().hex}"
-    with small_batches(spark, TEXTS):
-        together.write.option("compression", "zstd").bucketBy(shards, "shard").saveAsTable(name)
-    for level in family.levels.values():
-        family.drop(level)
-    own = spark.table(name)
-
-    @kernels.tidied
-    def surroundings(table: pa.Table) -> pa.Table:
-        home, part = table.column("shard")[0].as_py(), _Shard(table)
-        keys, fps = part.contexts()
-        one, many = _first_and_many(keys, part.lo)
-        out = [(-1, home, _blob(np.flatnonzero(many)))]
-        sent = np.empty(len(one), dtype=CONTEXT)
-        sent["key"], sent["fp"], sent["at"] = keys[one], fps[one], one
-        # A key that repeats here is known to: its sign is in the place's sign bit.
-        sent["at"] = np.where(many[one], -1 - one, one)
-        out += [(s, home, d) for s, d in _split(sent, sent["key"] % np.uint64(shards))]
-        return _rows(out, _PIECE)
+    try:
+        with small_batches(spark, TEXTS):
+            together.write.option("compression", "zstd").bucketBy(shards, "shard").saveAsTable(name)
+        for level in family.levels.values():
+            family.drop(level)
+        own = spark.table(name)
 
-    @kernels.tidied
-    def settle(table: pa.Table) -> pa.Table:
-        """Tells the homes which hits repeat as a whole; sends heads on to be matched."""
-        homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
-        rows = _joined(blobs, CONTEXT)
-        home = np.repeat(homes, [len(b) // CONTEXT.itemsize for b in blobs])
-        one, many = _first_and_many(rows["key"])
-        known = rows["at"] < 0
-        at = np.where(known, -1 - rows["at"], rows["at"])
-        out = [("settled", h, d) for h, d in _split(at[many & ~known].astype("<i4"), home[many & ~known])]
-        lone = np.unique(rows["fp"][~many & ~known])
-        out += [(f"lone:{s}", -1, d) for s, d in _split(lone, lone % np.uint64(shards))]
-        stands = np.zeros(len(rows), dtype=bool)
-        stands[one] = True
-        stands &= many | known
-        for h in np.unique(home[stands]):
-            mine = stands & (home == h)
-            heads = np.empty(int(mine.sum()), dtype=HEAD)
-            heads["fp"], heads["at"] = rows["fp"][mine], at[mine]
-            out += [(f"heads:{s}", int(h), d) for s, d in _split(heads, heads["fp"] % np.uint64(shards))]
-        return _rows(out, _BLOB)
+        @kernels.tidied
+        def surroundings(table: pa.Table) -> pa.Table:
+            home, part = table.column("shard")[0].as_py(), _Shard(table)
+            keys, fps = part.contexts()
+            one, many = _first_and_many(keys, part.lo)
+            out = [(-1, home, _blob(np.flatnonzero(many)))]
+            sent = np.empty(len(one), dtype=CONTEXT)
+            sent["key"], sent["fp"], sent["at"] = keys[one], fps[one], one
+            # A key that repeats here is known to: its sign is in the place's sign bit.
+            sent["at"] = np.where(many[one], -1 - one, one)
+            out += [(s, home, d) for s, d in _split(sent, sent["key"] % np.uint64(shards))]
+            return _rows(out, _PIECE)
 
-    @kernels.tidied
-    def tell(table: pa.Table) -> pa.Table:
-        """Tells hits that stand for equal ones to compare their strings if their head has a lone hit."""
-        lone, out = [], []
-        for h, data in zip(table.column("home").to_pylist(), table.column("data").to_pylist()):
-            if h < 0:
-                lone.append(data)
-        lone = np.unique(_joined(lone, np.dtype("<u8")))
-        for h, data in zip(table.column("home").to_pylist(), table.column("data").to_pylist()):
-            if h >= 0:
-                heads = np.frombuffer(data, dtype=HEAD)
-                out.append(("told", h, heads["at"][np.isin(heads["fp"], lone)].astype("<i4").tobytes()))
-        return _rows(out, _BLOB)
+        @kernels.tidied
+        def settle(table: pa.Table) -> pa.Table:
+            """Tells the homes which hits repeat as a whole; sends heads on to be matched."""
+            homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
+            rows = _joined(blobs, CONTEXT)
+            home = np.repeat(homes, [len(b) // CONTEXT.itemsize for b in blobs])
+            one, many = _first_and_many(rows["key"])
+            known = rows["at"] < 0
+            at = np.where(known, -1 - rows["at"], rows["at"])
+            out = [("settled", h, d) for h, d in _split(at[many & ~known].astype("<i4"), home[many & ~known])]
+            lone = np.unique(rows["fp"][~many & ~known])
+            out += [(f"lone:{s}", -1, d) for s, d in _split(lone, lone % np.uint64(shards))]
+            stands = np.zeros(len(rows), dtype=bool)
+            stands[one] = True
+            stands &= many | known
+            for h in np.unique(home[stands]):
+                mine = stands & (home == h)
+                heads = np.empty(int(mine.sum()), dtype=HEAD)
+                heads["fp"], heads["at"] = rows["fp"][mine], at[mine]
+                out += [(f"heads:{s}", int(h), d) for s, d in _split(heads, heads["fp"] % np.uint64(shards))]
+            return _rows(out, _BLOB)
 
-    pieces = scratch.save(own.groupBy("shard").applyInArrow(surroundings, _PIECE[1]))
-    local = pieces.where("shard < 0").select(F.lit("settled").alias("kind"), F.col("home").alias("shard"), "data")
-    sent = scratch.save(pieces.where("shard >= 0").groupBy("shard").applyInArrow(settle, _BLOB[1]))
-    scratch_told = (
-        sent.where("kind != 'settled'")
-        .select(F.element_at(F.split("kind", ":"), 2).cast("int").alias("shard"), F.col("shard").alias("home"), "data")
-        .groupBy("shard")
-        .applyInArrow(tell, _BLOB[1])
-    )
-    answers = answers_table = scratch.save(local.unionAll(sent.where("kind = 'settled'")).unionAll(scratch_told))
-    scratch.drop(pieces, sent)
+        @kernels.tidied
+        def tell(table: pa.Table) -> pa.Table:
+            """Tells hits that stand for equal ones to compare their strings if their head has a lone hit."""
+            lone, out = [], []
+            for h, data in zip(table.column("home").to_pylist(), table.column("data").to_pylist()):
+                if h < 0:
+                    lone.append(data)
+            lone = np.unique(_joined(lone, np.dtype("<u8")))
+            for h, data in zip(table.column("home").to_pylist(), table.column("data").to_pylist()):
+                if h >= 0:
+                    heads = np.frombuffer(data, dtype=HEAD)
+                    out.append(("told", h, heads["at"][np.isin(heads["fp"], lone)].astype("<i4").tobytes()))
+            return _rows(out, _BLOB)
 
-    def said(part: _Shard, table: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
-        by: dict[str, list] = {"settled": [], "told": [], "again": []}
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            by[kind].append(data)
-        return _flags(len(part.at), by["settled"]), _flags(len(part.at), by["told"]), by["again"]
+        pieces = scratch.save(own.groupBy("shard").applyInArrow(surroundings, _PIECE[1]))
+        local = pieces.where("shard < 0").select(F.lit("settled").alias("kind"), F.col("home").alias("shard"), "data")
+        sent = scratch.save(pieces.where("shard >= 0").groupBy("shard").applyInArrow(settle, _BLOB[1]))
+        scratch_told = (
+            sent.where("kind != 'settled'")
+            .select(F.element_at(F.split("kind", ":"), 2).cast("int").alias("shard"), F.col("shard").alias("home"), "data")
+            .groupBy("shard")
+            .applyInArrow(tell, _BLOB[1])
+        )
+        answers = answers_table = scratch.save(local.unionAll(sent.where("kind = 'settled'")).unionAll(scratch_told))
+        scratch.drop(pieces, sent)
+
+        def said(part: _Shard, table: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+            by: dict[str, list] = {"settled": [], "told": [], "again": []}
+            for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
+                by[kind].append(data)
+            return _flags(len(part.at), by["settled"]), _flags(len(part.at), by["told"]), by["again"]
 
-    @kernels.tidied
-    def strings(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _rows([], _PIECE)
-        home, part = table.column("shard")[0].as_py(), _Shard(table)
-        keys = np.concatenate([k for _, k in part.open(*said(part, told)[:2])] or [np.zeros(0, dtype=np.uint64)])
-        one, many = _first_and_many(keys)
-        out = [(-1, home, _blob(np.flatnonzero(many)))]
-        rows = np.empty(len(one), dtype=WINDOW)
-        rows["key"], rows["at"] = keys[one], np.where(many[one], -1 - one, one)
-        out += [(s, home, d) for s, d in _split(rows, rows["key"] % np.uint64(shards))]
-        return _rows(out, _PIECE)
+        @kernels.tidied
+        def strings(table: pa.Table, told: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return _rows([], _PIECE)
+            home, part = table.column("shard")[0].as_py(), _Shard(table)
+            keys = np.concatenate([k for _, k in part.open(*said(part, told)[:2])] or [np.zeros(0, dtype=np.uint64)])
+            one, many = _first_and_many(keys)
+            out = [(-1, home, _blob(np.flatnonzero(many)))]
+            rows = np.empty(len(one), dtype=WINDOW)
+            rows["key"], rows["at"] = keys[one], np.where(many[one], -1 - one, one)
+            out += [(s, home, d) for s, d in _split(rows, rows["key"] % np.uint64(shards))]
+            return _rows(out, _PIECE)
 
-    @kernels.tidied
-    def again(table: pa.Table) -> pa.Table:
-        homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
-        rows = _joined(blobs, WINDOW)
-        home = np.repeat(homes, [len(b) // WINDOW.itemsize for b in blobs])
-        _, many = _first_and_many(rows["key"])
-        many &= rows["at"] >= 0
-        return _rows([("again", h, d) for h, d in _split(rows["at"][many].astype("<i4"), home[many])], _BLOB)
-
-    pieces = scratch.save(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(strings, _PIECE[1]))
-    local = pieces.where("shard < 0").select(F.lit("again").alias("kind"), F.col("home").alias("shard"), "data")
-    repeats = pieces.where("shard >= 0").groupBy("shard").applyInArrow(again, _BLOB[1])
-    answers = answers.unionAll(local).unionAll(repeats)
-    kept_type = [("kept", pa.binary())] if keep_text else []
+        @kernels.tidied
+        def again(table: pa.Table) -> pa.Table:
+            homes, blobs = table.column("home").to_pylist(), table.column("data").to_pylist()
+            rows = _joined(blobs, WINDOW)
+            home = np.repeat(homes, [len(b) // WINDOW.itemsize for b in blobs])
+            _, many = _first_and_many(rows["key"])
+            many &= rows["at"] >= 0
+            return _rows([("again", h, d) for h, d in _split(rows["at"][many].astype("<i4"), home[many])], _BLOB)
+
+        pieces = scratch.save(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(strings, _PIECE[1]))
+        local = pieces.where("shard < 0").select(F.lit("again").alias("kind"), F.col("home").alias("shard"), "data")
+        repeats = pieces.where("shard >= 0").groupBy("shard").applyInArrow(again, _BLOB[1])
+        answers = answers.unionAll(local).unionAll(repeats)
+        kept_type = [("kept", pa.binary())] if keep_text else []
 
-    @kernels.tidied
-    def remove(table: pa.Table, told: pa.Table) -> pa.Table:
-        fields = [("ent", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *kept_type]
-        out: list[tuple] = []
-        if table.num_rows:
-            part = _Shard(table)
-            settled, stand, blobs = said(part, told)
-            found = [s for s, _ in part.open(settled, stand)]
-            starts = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            starts = starts[_flags(len(starts), blobs)]
-            for a, b, x, y in part.chunks():
-                base, n = part.offsets[a], int(part.offsets[b] - part.offsets[a])
-                own = np.flatnonzero(settled[x:y]) + x
-                s = starts[(starts >= base) & (starts < base + n)]
-                cover = part._cover(np.r_[part.lo[own], s], np.r_[part.hi[own], s + LENGTH], base, n)
-                for i in range(a, b):
-                    p, q = part.offsets[i] - base, part.offsets[i + 1] - base
-                    flags = cover[p:q]
-                    if flags.any():
-                        edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-                        own_bytes = part.data[base + p : base + q]
-                        kept = own_bytes[~flags].tobytes()
-                        whole = own_bytes[~_whole_characters(own_bytes, flags)].tobytes() if keep_text else b""
-                        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                        out.append((int(part.ents[i]), begin, end, int(flags.sum()), len(begin), hashlib.sha256(kept).hexdigest(), *([whole] if keep_text else [])))
-        return _table(list(zip(*out)) if out else [[] for _ in fields], [f for f, _ in fields], [t for _, t in fields])
-
-    schema = "ent long, starts array<long>, ends array<long>, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    spans = scratch.save(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, schema))
-    spark.sql(f"DROP TABLE {name}")
+        @kernels.tidied
+        def remove(table: pa.Table, told: pa.Table) -> pa.Table:
+            fields = [("ent", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *kept_type]
+            out: list[tuple] = []
+            if table.num_rows:
+                part = _Shard(table)
+                settled, stand, blobs = said(part, told)
+                found = [s for s, _ in part.open(settled, stand)]
+                starts = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+                starts = starts[_flags(len(starts), blobs)]
+                for a, b, x, y in part.chunks():
+                    base, n = part.offsets[a], int(part.offsets[b] - part.offsets[a])
+                    own = np.flatnonzero(settled[x:y]) + x
+                    s = starts[(starts >= base) & (starts < base + n)]
+                    cover = part._cover(np.r_[part.lo[own], s], np.r_[part.hi[own], s + LENGTH], base, n)
+                    for i in range(a, b):
+                        p, q = part.offsets[i] - base, part.offsets[i + 1] - base
+                        flags = cover[p:q]
+                        if flags.any():
+                            edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
+                            own_bytes = part.data[base + p : base + q]
+                            kept = own_bytes[~flags].tobytes()
+                            whole = own_bytes[~_whole_characters(own_bytes, flags)].tobytes() if keep_text else b""
+                            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                            out.append((int(part.ents[i]), begin, end, int(flags.sum()), len(begin), hashlib.sha256(kept).hexdigest(), *([whole] if keep_text else [])))
+            return _table(list(zip(*out)) if out else [[] for _ in fields], [f for f, _ in fields], [t for _, t in fields])
+
+        schema = "ent long, starts array<long>, ends array<long>, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+        spans = scratch.save(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, schema))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     scratch.drop(pieces, answers_table)
     copies = meta.groupBy("ent").agg(F.count("*").alias("copies")).where("copies > 1")
     return meta.join(copies, "ent", "left").fillna(1, ["copies"]), spans, scratch

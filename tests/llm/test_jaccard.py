@@ -81,3 +81,36 @@ def test_components_of_paths_and_stars(spark):
     assert all(roots[i] == 0 for i in range(1, 200))
     assert all(roots[1000 + i] == 1000 for i in range(1, 300)) and roots[2001] == 2000
     assert connected_components(links.where(F.lit(False)), Scratch(spark, "t")).count() == 0
+
+
+def test_crowded_parts_over_several_blocks(spark):
+    """More sets than a block holds share parts: some link, most are near misses; and one text is longer than a chunk."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(4500):
+        words = list(base)
+        for at in rng.choice(40, int(rng.integers(3, 9)), replace=False):
+            words[at] = f"x{rng.integers(0, 60)}"
+        texts.append(" ".join(words))
+    long = " ".join(f"long{i}" for i in range(90_000))
+    texts += [long, long + " more", " ".join(f"other{i}" for i in range(90_000))]
+    names = {w: k for k, w in enumerate(sorted({w for t in texts[:4500] for w in t.split()}))}
+    sets = np.zeros((4500, len(names)), np.float32)
+    for i, t in enumerate(texts[:4500]):
+        sets[i, [names[w] for w in set(t.split())]] = 1
+    size = sets.sum(axis=1)
+    both = sets @ sets.T
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    root = np.arange(4500)
+    while True:
+        least = np.where(link, root[None, :], 4500).min(axis=1)
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            break
+        root = least
+    assert 20 < len(set(root)) and (np.bincount(root) > 100).any()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, Similarity(words=1, num=80)).collect()}
+    assert {i: c for i, c in got.items() if i < 4500} == dict(enumerate(root.tolist()))
+    assert (got[4500], got[4501], got[4502]) == (4500, 4500, 4502)
