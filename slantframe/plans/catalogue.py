@@ -34,15 +34,15 @@ def q_reorient(spark, sf):
     return rounded(raster.reorient(v.px(spark, sf).drop("im"), (256, 8), reverse=(0,), transpose=True), 6, "re")
 
 
-@query("q_block_mosaic", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 64))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
+@query("q_block_mosaic", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 256))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
 def q_block_mosaic(spark, sf):
-    return rounded(raster.mosaic(v.px(spark, sf), (64, 8), ["re"], -1.0), 6, "re")
+    return rounded(raster.mosaic(v.px(spark, sf), (256, 8), ["re"], -1.0), 6, "re")
 
 
-@query("q_block_mosaic_whole", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 256))::int as r), (select unnest(range(0, 8))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
+@query("q_block_mosaic_whole", f"with {v.PX}, grid as (select image, r, c from (select distinct image from px) , (select unnest(range(0, 264))::int as r), (select unnest(range(0, 10))::int as c)) select image, r, c, round(coalesce(re, -1), 6) as re from grid left join px using (image, r, c)")
 def q_block_mosaic_whole(spark, sf):
-    """All rows of the images; q_block_mosaic has those below 64, as its SQL."""
-    return rounded(raster.mosaic(v.px(spark, sf), (256, 8), ["re"], -1.0), 6, "re")
+    """A grid with a margin around the images, which stays filled."""
+    return rounded(raster.mosaic(v.px(spark, sf), (264, 10), ["re"], -1.0), 6, "re")
 
 
 @query("q_band_stack", f"with {v.PX} select r, c, round(re, 6) as re, image as band from px")
@@ -268,10 +268,50 @@ def q_scpcoa(spark, sf):
     return df.select("id", "side_of_track", F.round("slant_range", 2).alias("slant_range"), "rov", "doppler_cone", "graze", "incidence", "slope", F.round("layover_size", 6).alias("layover_size"))
 
 
-@query("q_scpcoa_bearings")
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{x} * {b}{x}" for x in "xyz") + ")"
+
+
+def _size(a: str) -> str:
+    return f"sqrt({_dot(a, a)})"
+
+
+def _less(name: str, a: str, b: str, share: str) -> str:
+    """The vector a less a share of b, as columns."""
+    return ", ".join(f"{a}{x} - {b}{x} * {share} as {name}{x}" for x in "xyz")
+
+
+def _cross(name: str, a: str, b: str, scale: str = "1") -> str:
+    return ", ".join(f"{scale} * ({a}{p} * {b}{q} - {a}{q} * {b}{p}) as {name}{x}" for x, p, q in ("xyz", "yzx", "zxy"))
+
+
+def _unit(name: str, a: str) -> str:
+    return ", ".join(f"{a}{x} / {_size(a)} as {name}{x}" for x in "xyz")
+
+
+def _steps(first: str, *columns: str) -> str:
+    """Common table expressions s0, s1, ... of which each adds columns to the one before."""
+    return ", ".join(f"s{k} as (select *, {c} from {f's{k - 1}' if k else first})" for k, c in enumerate(columns))
+
+
+_BEARINGS = _steps(
+    "m",
+    _cross("spq", "v", "l", "look") + ", " + ", ".join(f"e{x} * {_dot('e', 'l')} - l{x} as gq{x}" for x in "xyz") + ", -ex * ez as nqx, -ey * ez as nqy, 1 - ez * ez as nqz, " + _unit("ua", "a") + ", " + _unit("uv", "v") + ", " + _less("sh", "e", "l", f"(1 / {_dot('l', 'e')})"),
+    _unit("sp", "spq") + ", " + _unit("g", "gq") + ", " + _unit("no", "nq") + ", " + _less("alq", "uv", "ua", _dot("uv", "ua")) + ", " + _less("acq", "l", "ua", _dot("l", "ua")),
+    _cross("gy", "e", "g") + ", " + _cross("ea", "no", "e") + ", " + _less("la", "e", "sp", _dot("e", "sp")) + ", " + _less("sw", "sh", "sp", f"({_dot('sh', 'e')} / {_dot('sp', 'e')})") + ", " + _unit("al", "alq") + ", " + _unit("ac", "acq"),
+    f"degrees(atan2({_dot('g', 'ea')}, {_dot('g', 'no')})) as bearing, degrees(atan2({_dot('la', 'ea')}, {_dot('la', 'no')})) as lean",
+)
+
+
+@query(
+    "q_scpcoa_bearings",
+    f"""with {_GEO}, {_BEARINGS} select id, round(case when bearing > 0 then bearing else bearing + 360 end, 6) as azimuth, round(-degrees(asin({_dot("gy", "sp")})), 6) as twist, round(look * degrees(acos({_dot("ac", "al")})), 6) as squint,
+    round(case when lean > 0 then lean else lean + 360 end, 6) as layover, round(abs(degrees(atan2({_dot("sw", "gy")}, {_dot("sw", "g")}))), 6) as shadow, round({_size("sw")}, 6) as shadow_size, round({_size("s")} * acos({_dot("s", "ua")} / {_size("s")}), 3) as ground_range from s3""",
+)
 def q_scpcoa_bearings(spark, sf):
-    names = ("azimuth", "twist", "squint", "layover", "shadow", "shadow_size", "ground_range")
-    return rounded(collection.scene_geometry(_collected(spark, sf)), 6, *names).select("id", *names)
+    names = ("azimuth", "twist", "squint", "layover", "shadow", "shadow_size")
+    df = collection.scene_geometry(_collected(spark, sf)).withColumn("shadow", F.abs("shadow"))
+    return rounded(df, 6, *names).select("id", *names, F.round("ground_range", 3).alias("ground_range"))
 
 
 @query("q_image_to_ground_plane", f"with {_GEO} select id, round(sx, 1) + 0 as x, round(sy, 1) + 0 as y, round(sz, 1) + 0 as z from m")
@@ -418,16 +458,15 @@ def q_bilinear_ortho(spark, sf):
 # --- signals -------------------------------------------------------------------------
 
 
-@query("q_dft_power", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 5)) as k), d as (select vec_id, k, sum(x * cos(2 * pi() * i * k / 64)) as a, sum(x * sin(2 * pi() * i * k / 64)) as b from s, k group by 1, 2) select vec_id, k::int as k, round(a*a + b*b, 5) as power from d")
+@query("q_dft_power", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 64)) as k), d as (select vec_id, k, sum(x * cos(2 * pi() * i * k / 64)) as a, sum(x * sin(2 * pi() * i * k / 64)) as b from s, k group by 1, 2) select vec_id, k::int as k, round(a*a + b*b, 5) as power from d")
 def q_dft_power(spark, sf):
     df = spectral.spectrum_power(v.table(spark, sf, "embeddings"), "embedding", "vec_id")
-    out = df.select("vec_id", F.posexplode(F.slice("power", 1, 5)).alias("k", "power"))
-    return rounded(out, 5, "power")
+    return rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
 
 
 @query("q_dft_spectrum", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 64)) as k), d as (select vec_id, k, sum(x * cos(2 * pi() * i * k / 64)) as a, sum(x * sin(2 * pi() * i * k / 64)) as b from s, k group by 1, 2) select vec_id, k::int as k, round(a*a + b*b, 5) as power from d")
 def q_dft_spectrum(spark, sf):
-    """All bins of every vector; q_dft_power has the first five, as its SQL."""
+    """All bins of every vector."""
     df = spectral.spectrum_power(v.table(spark, sf, "embeddings"), "embedding", "vec_id")
     return rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
 
@@ -439,7 +478,15 @@ def q_window_taper(spark, sf):
     return df.withColumn("weight", F.round(spectral.taper("hamming", F.col("i"), F.col("n")), 7))
 
 
-@query("q_subaperture_power")
+_CUT = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(((0, 32), (16, 48), (32, 64))))
+
+
+@query(
+    "q_subaperture_power",
+    f"""with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), k as (select unnest(range(0, 64)) as k),
+    d as (select vec_id, k, sum(x * cos(2 * pi() * i * (k - 32) / 64)) as a, sum(x * sin(2 * pi() * i * (k - 32) / 64)) as b from s, k group by 1, 2),
+    f(frame, first, last) as (values {_CUT}) select vec_id, frame, round(sum(a * a + b * b) / 1024, 6) as power from d join f on k >= first and k < last group by 1, 2""",
+)
 def q_subaperture_power(spark, sf):
     return rounded(spectral.subaperture(v.table(spark, sf, "embeddings"), "embedding", "vec_id", 3), 6, "power")
 

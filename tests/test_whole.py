@@ -15,7 +15,7 @@ def _run(spark, name):
 def test_mosaic_has_every_pixel(spark):
     pixels = v.px(spark, SF).select("image", "r", "c")
     got = _run(spark, "q_block_mosaic_whole")
-    assert got.count() == pixels.select("image").distinct().count() * 256 * 8
+    assert got.count() == pixels.select("image").distinct().count() * 264 * 10
     assert pixels.join(got, ["image", "r", "c"], "left_anti").count() == 0
 
 
