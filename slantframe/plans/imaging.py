@@ -35,18 +35,20 @@ _NEAR = math.hypot(5e5, 3e5)
 _KINDS = ("PFA", "RGAZCOMP", "INCA", "PLANE")
 
 
+_VALUES = {
+    "scp_x": 6378137.0, "scp_y": 0.0, "scp_z": 0.0, "urow_x": _UX, "urow_y": _UY, "urow_z": 0.0, "ucol_x": 0.0, "ucol_y": 0.0, "ucol_z": 1.0,
+    "normal_x": 1.0, "normal_y": 0.0, "normal_z": 0.0, "scp_row": 500.0, "scp_col": 400.0, "first_row": 0.0, "first_col": 0.0, "row_ss": 0.8, "col_ss": 0.7,
+    "az_sf": 1.715e-6, "r_ca": _NEAR,
+}
+_ARRAYS = {
+    "time_coa": [[2.0, 2e-4], [1e-6, 0.0]], "arp_px": [6878137.0, 0.0, -2.0], "arp_py": [300000.0], "arp_pz": [-14000.0, 7000.0],
+    "polar_angle": [0.02401, -0.012005], "freq_scale": [1.0, 0.001, -0.3], "time_ca": [2.0, 1.43e-4], "drate_sf": [[0.98, 1e-6], [1e-7, 0.0]],
+}
+
+
 def _images(spark) -> DataFrame:
-    values = {
-        "scp_x": 6378137.0, "scp_y": 0.0, "scp_z": 0.0, "urow_x": _UX, "urow_y": _UY, "urow_z": 0.0, "ucol_x": 0.0, "ucol_y": 0.0, "ucol_z": 1.0,
-        "normal_x": 1.0, "normal_y": 0.0, "normal_z": 0.0, "scp_row": 500.0, "scp_col": 400.0, "first_row": 0.0, "first_col": 0.0, "row_ss": 0.8, "col_ss": 0.7,
-        "az_sf": 1.715e-6, "r_ca": _NEAR,
-    }
-    arrays = {
-        "time_coa": [[2.0, 2e-4], [1e-6, 0.0]], "arp_px": [6878137.0, 0.0, -2.0], "arp_py": [300000.0], "arp_pz": [-14000.0, 7000.0],
-        "polar_angle": [0.02401, -0.012005], "freq_scale": [1.0, 0.001, -0.3], "time_ca": [2.0, 1.43e-4], "drate_sf": [[0.98, 1e-6], [1e-7, 0.0]],
-    }
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("id").cast("int") + 1)
-    return spark.range(4).select(F.col("id").cast("int").alias("image"), kind.alias("kind"), *(F.lit(x).alias(k) for k, x in values.items()), *(literal(x).alias(k) for k, x in arrays.items()))
+    return spark.range(4).select(F.col("id").cast("int").alias("image"), kind.alias("kind"), *(F.lit(x).alias(k) for k, x in _VALUES.items()), *(literal(x).alias(k) for k, x in _ARRAYS.items()))
 
 
 def _pixels(spark, sf) -> DataFrame:
@@ -255,3 +257,49 @@ def q_xml_extract(spark, sf):
     )
     out = sicd.projection_columns(o.select("id", sicd.parse(xml).alias("sicd")))
     return out.select("id", F.col("scp_row").cast("int").alias("scp_row"), "arp_px", "kind")
+
+
+# --- rules of image metadata ---------------------------------------------------------
+
+_ALGORITHMS = ("RGAZCOMP", "RMAT", "RMCR", "INCA")
+_RULES = {
+    "": (("scp_time", "error", "k % 5 <> 0", "true"), ("spotlight_scalar", "error", "false", "k % 3 = 0"), ("valid_data", "error", "k % 7 <> 0", "true"), ("polarization", "error", "k % 11 <> 0", "true"), ("projection", "warning", "true", "true")),
+    "RGAZCOMP": (("plane", "error", "k % 2 = 1", "true"), ("type", "error", "true", "true"), ("azsf", "error", "k % 13 <> 0", "true"), ("row", "error", "true", "true"), ("col", "error", "k % 17 <> 0", "true"), ("col_kctr", "error", "k % 19 <> 0", "true")),
+    "RMAT": (("type", "error", "true", "true"), ("row", "error", "true", "true"), ("col", "error", "k % 17 <> 0", "true"), ("cone", "error", "k % 23 <> 0", "true"), ("row_kctr", "warning", "true", "k % 2 = 0")),
+    "RMCR": (("type", "error", "true", "true"), ("row", "error", "true", "true"), ("col", "error", "k % 17 <> 0", "true"), ("cone", "error", "k % 23 <> 0", "true"), ("col_kctr", "error", "k % 19 <> 0", "true"), ("row_kctr", "warning", "true", "k % 2 = 0")),
+    "INCA": (("type", "warning", "true", "true"), ("row", "error", "true", "true"), ("col", "error", "k % 17 <> 0", "true"), ("range", "error", "k % 29 <> 0", "true"), ("drate", "error", "true", "true"), ("col_kctr", "error", "k % 19 <> 0", "true")),
+}
+_RULES_SQL = "with s as (select s_suppkey as image, s_suppkey // 4 as k, ['RGAZCOMP', 'RMAT', 'RMCR', 'INCA'][1 + s_suppkey % 4] as algorithm from supplier) " + " union all ".join(
+    f"select image::varchar as object, '{(a.lower() + '_') * bool(a)}{n}' as rule, '{severity}' as severity, {passed} as passed, null::double as detail from s where {when}" + f" and algorithm = '{a}'" * bool(a)
+    for a, rules in _RULES.items()
+    for n, severity, passed, when in rules
+)
+
+
+@query("q_rules_images", _RULES_SQL)
+def q_rules_images(spark, sf):
+    """Image metadata that agree with their geometry, but for one field in every so many images."""
+    from slantframe.operators.metadata_rules import image_rules
+
+    k = F.floor(F.col("image") / 4)
+    frequency = 1e10
+    wave = 2 * frequency / 299792458.0
+    algorithm = F.element_at(F.array(*map(F.lit, _ALGORITHMS)), (F.col("image") % 4 + 1).cast("int"))
+    base = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image"))
+    df = base.withColumns({"algorithm": algorithm, **{n: F.lit(x) for n, x in _VALUES.items()}, **{n: literal(x) for n, x in _ARRAYS.items()}})
+    every = lambda n: k % n == 0
+    own = {"RGAZCOMP": "RGAZIM", "RMAT": "XCTYAT", "RMCR": "XRGYCR", "INCA": "RGZERO"}
+    types = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    places = {f"{p}_{a}": F.lit(x) for p in ("pos", "ref_pos") for a, x in zip("xyz", (6878137.0, 300000.0, 0.0))}
+    places |= {f"{p}_{a}": F.lit(x) for p in ("vel", "ref_vel") for a, x in zip("xyz", (0.0, 0.0, 7000.0))}
+    df = df.withColumns({
+        **places, "kind": F.lit("PLANE"), "grid_type": types[F.col("algorithm")], "image_plane": F.when(every(2), "GROUND").otherwise("SLANT"),
+        "mode": F.when(every(3), "SPOTLIGHT").otherwise("STRIPMAP"), "scp_time": F.when(every(5), 2.1).otherwise(2.0), "time_coa": literal([[2.0, 2e-4], [1e-6, 0.0]]),
+        "image_vertices": F.lit(4), "geo_vertices": F.when(every(7), F.lit(None).cast("int")).otherwise(F.lit(4)), "polarization": F.when(every(11), "H:V").otherwise("V:V"), "received": F.array(F.lit("V:V"), F.lit("V:H")),
+        "dop_cone": F.lit(90.0), "ref_dop_cone": F.when(every(23), 91.0).otherwise(90.0), "centre_frequency": F.lit(frequency), "reference_index": F.when(k % 2 == 1, 1),
+        "row_kctr": F.lit(wave), "col_kctr": F.when(every(19), 0.5).otherwise(0.0), "arp_px": literal([6878137.0]), "time_ca": literal([2.0, 1 / 7000.0]), "drate_sf": literal([[1.0]]),
+        "r_ca": F.when(every(29), _NEAR + 1).otherwise(_NEAR),
+    })
+    pos, vel = Vec.of("pos"), Vec.of("vel")
+    df = df.withColumn("look_", F.signum(pos.unit().cross(vel.unit()).dot((Vec.of("scp") - pos).unit())))
+    return image_rules(df.withColumns({"az_sf": F.when(every(13), 0.5).otherwise(-F.col("look_") / _NEAR), "ucol_z": F.when(every(17), F.lit(0.9)).otherwise(F.lit(1.0)) * -F.col("look_")}))
