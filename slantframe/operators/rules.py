@@ -12,10 +12,46 @@ def _result(df: DataFrame, key: str, rule: str, passed: Column, detail: Column,
     return df.select(F.col(key).cast("string").alias("object"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("double").alias("detail"))
 
 
+#: Places in a channel's order that are sorted together.
+SPAN = 1 << 16
+
+
+def with_previous(df: DataFrame, values: list[str], key: str, order: str, span: int = SPAN) -> DataFrame:
+    """df with prev_<value>: the values of the row before in the order (a whole number) of its key; null in the first.
+
+    Spans of the order are sorted by themselves, and each takes the row before
+    its first from the last rows of the spans, of which a key has one for
+    ``span`` places: a key that holds most rows isn't one task's.
+    """
+    mark = F.floor(F.col(order) / span)
+    own = Window.partitionBy(key, "span_").orderBy(order)
+    df = df.withColumn("span_", mark)
+    ends = df.groupBy(key, "span_").agg(F.max_by(F.struct(*values), order).alias("last_"))
+    before = ends.select(key, "span_", F.lag("last_").over(Window.partitionBy(key).orderBy("span_")).alias("before_"))
+    inner = df.withColumns({"row_": F.row_number().over(own), **{f"prev_{v}": F.lag(v).over(own) for v in values}})
+    met = inner.join(before, [key, "span_"], "left")
+    out = met.withColumns({f"prev_{v}": F.when(F.col("row_") == 1, F.col("before_")[v]).otherwise(F.col(f"prev_{v}")) for v in values})
+    return out.drop("span_", "row_", "before_")
+
+
+def numbered(df: DataFrame, key: str, span: Column, order: list[str], name: str = "n") -> DataFrame:
+    """df with each row's number from 1 on in the order of its key; span is a Column that grows with the order.
+
+    Rows are numbered within a span, and spans by running sums of their
+    counts.  Rows without a key are numbered within their span only.
+    """
+    df = df.withColumn("span_", span)
+    counts = df.groupBy(key, "span_").agg(F.count("*").alias("c_"))
+    before = Window.partitionBy(key).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "span_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("offset_"))
+    inner = df.withColumn("row_", F.row_number().over(Window.partitionBy(key, "span_").orderBy(*order)))
+    return inner.join(offsets, [key, "span_"], "left").withColumn(name, (F.col("row_") + F.coalesce("offset_", F.lit(0))).cast("int")).drop("span_", "row_", "offset_")
+
+
 def time_monotonic(pvp: DataFrame, time: str = "TxTime", key: str = "channel", order: str = "vector") -> DataFrame:
     """Times grow from vector to vector; detail is the least step.  Missing times are passed over."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(order))
-    steps = pvp.where(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double"))).withColumn("step", step)
+    known = pvp.where(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double")))
+    steps = with_previous(known, [time], key, order).withColumn("step", F.col(time) - F.col(f"prev_{time}"))
     return _result(steps.groupBy(key).agg(F.min("step").alias("least")), key, "time_monotonic", F.coalesce(F.col("least") > 0, F.lit(True)), F.col("least"))
 
 
@@ -76,25 +112,24 @@ def dangling(references: DataFrame, nodes: DataFrame, ident: str = "id") -> Data
     return references.join(nodes.select(ident).distinct(), ident, "left_anti")
 
 
-def unreachable(nodes: DataFrame, links: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def unreachable(nodes: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (id) that no chain of links (parent, child) ties to a root (id).
 
     Breadth first: a round is a join of the newly found nodes, and found nodes
-    are checkpointed so that plans stay small.  rounds bounds runaway input:
-    deeper links are an error.
+    are checkpointed so that plans stay small; it ends when a round finds
+    none, however deep the links go.
     """
     found = roots.select("id").distinct().checkpoint()
     new = found
-    for _ in range(rounds):
+    while True:
         new = links.join(new.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()
         if new.isEmpty():
             return nodes.select("id").distinct().join(found, "id", "left_anti")
         found = found.unionAll(new).checkpoint()
-    raise ValueError(f"links deeper than {rounds}")
 
 
 def gaps(ipp: DataFrame, key: str = "channel") -> DataFrame:
     """Sets of pulses (index, t_start, t_end, p_start, p_end) that don't follow on the one before: the gap in time and pulses."""
-    w = Window.partitionBy(key).orderBy("index")
-    out = ipp.withColumn("gap_time", F.col("t_start") - F.lag("t_end").over(w)).withColumn("gap_pulses", F.col("p_start") - F.lag("p_end").over(w) - 1)
+    met = with_previous(ipp, ["t_end", "p_end"], key, "index")
+    out = met.withColumn("gap_time", F.col("t_start") - F.col("prev_t_end")).withColumn("gap_pulses", F.col("p_start") - F.col("prev_p_end") - 1)
     return out.where("gap_time <> 0 or gap_pulses <> 0").select(key, "index", "gap_time", "gap_pulses")

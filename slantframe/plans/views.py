@@ -49,10 +49,10 @@ ECF = PT + """, ecf as (select *, 6378137.0::double / sqrt(1 - 0.006694379990141
 
 def pvp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-vector parameters (channel, vector, TxTime, RcvTime, FX1, FX2, SIGNAL)."""
-    from pyspark.sql import Window
+    from slantframe.operators.rules import numbered
 
-    t = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    t = numbered(table(spark, sf_dir, "events"), "event_type", F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    n = F.col("n")
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     return t.select(F.col("event_type").alias("channel"), n.alias("vector"), time.alias("TxTime"), (time + F.col("user_id") % 50 + 1).alias("RcvTime"), F.col("value").alias("FX1"), (F.col("value") + F.col("user_id") % 7).alias("FX2"), (F.col("event_id") % 3 != 0).cast("int").alias("SIGNAL"))
 
