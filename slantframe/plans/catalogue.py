@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
-from slantframe.plans import imaging, phase_history, views as v  # noqa: F401  the first two register queries
+from slantframe.plans import imaging, labelling, phase_history  # noqa: F401  they register queries
+from slantframe.plans import views as v
 from slantframe.plans.registry import QUERIES, SQL, Query, literal, query, rounded
 
 def queries() -> dict[str, Query]:
