@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
-from slantframe.llm.components import connected_components
+from slantframe.llm.components import connected_components, merged_components
 from slantframe.llm.scratch import TEXTS, Scratch, bit_filter, partitions, small_batches
 
 #: Bits of a sketch's part.
@@ -553,16 +553,17 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     met = scratch.save(_cross_pairs(_apart(members, roots), sketches, similarity, shards, hubs=True))
     close = met.where("key is null").select("a", "b")
     texts = texts_of(ends(close))
-    links = links.unionAll(checked(scratch.save(near(close, _fine_sketches(texts, similarity), similarity)), texts))
-    scratch.drop(roots, sketches)
-    roots = connected_components(links, scratch)
+    more = checked(scratch.save(near(close, _fine_sketches(texts, similarity), similarity)), texts)
+    first, roots = roots, merged_components(roots, more, scratch)
+    scratch.drop(first, more, links, sketches)
     rest = scratch.save(_apart(members.join(met.where("key is not null").select("key").distinct(), "key", "left_semi"), roots))
     texts = texts_of(rest)
     fine = scratch.save(_fine_sketches(texts, similarity))
     close = scratch.save(_cross_pairs(rest, fine, similarity, shards, hubs=False).select("a", "b"))
-    scratch.drop(roots, members, met, rest, fine)
-    links = links.unionAll(checked(close, texts))
-    roots = connected_components(links, scratch)
+    scratch.drop(members, met, rest, fine)
+    more = checked(close, texts)
+    first, roots = roots, merged_components(roots, more, scratch)
+    scratch.drop(first, more)
     classes = meta.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

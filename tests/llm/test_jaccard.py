@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from slantframe.llm.components import connected_components
+from slantframe.llm.components import connected_components, merged_components
 from slantframe.llm.jaccard import Similarity, jaccard_components, part_keys
 from slantframe.llm.scratch import Scratch
 
@@ -114,3 +114,16 @@ def test_crowded_parts_over_several_blocks(spark):
     got = {r.doc_id: r.component_id for r in jaccard_components(df, Similarity(words=1, num=80)).collect()}
     assert {i: c for i, c in got.items() if i < 4500} == dict(enumerate(root.tolist()))
     assert (got[4500], got[4501], got[4502]) == (4500, 4500, 4502)
+
+
+def test_components_merged_by_further_links(spark):
+    rnd = random.Random(6)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)]
+    scratch = Scratch(spark, "test")
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    whole = {r.node: r.root for r in connected_components(frame(links), scratch).collect()}
+    first = connected_components(frame(links[:100]), scratch)
+    for more in (links[100:], links[100:] + links[:5]):
+        assert {r.node: r.root for r in merged_components(first, frame(more), scratch).collect()} == whole
+    none = {r.node: r.root for r in merged_components(first, frame(links[:1]), scratch).collect()}
+    assert none == {r.node: r.root for r in first.collect()}
