@@ -116,7 +116,7 @@ def q_image_to_dem(spark, sf):
     """Pixels on sloping terrain have the terrain's height, their pixel's range and its rate (to decimetres)."""
     df = _pixels(spark, sf)
     gx, gy = (F.col("lon") + 0.2) * 100, (F.col("lat") + 0.2) * 100
-    met = terrain.image_to_dem(df, _posts(spark), (gx, gy), (0.0, 250.0, 26))
+    met = terrain.image_to_dem(df, _posts(spark), (gx, gy), (0.0, 250.0, 6))
     placed = geodesy.ecf_to_geodetic(_residuals(df.join(met, "id"), "at"), "at")
     off = F.col("hae") - (100 + 2 * (F.col("lon") + 0.2) * 100 - 1.5 * (F.col("lat") + 0.2) * 100)
     return placed.select("id", (F.round("range_off", 1) + 0).alias("range_off"), (F.round("rate_off", 1) + 0).alias("rate_off"), (F.round(off, 1) + 0).alias("height_off"))
