@@ -149,6 +149,57 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def tampered(docs: DataFrame) -> DataFrame:
+    """The manifest of docs where every second id (by crc32) has lost the line ends of its text."""
+    from pyspark.sql import functions as F
+
+    from slantframe.llm.merkle import manifest
+
+    text = docs["text"]
+    hit = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    return manifest(docs, F.when(hit, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, subroots, root and proofs of documents; half of the rows are tampered with before they are checked."""
+    out = tampered(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _op12_sql(levels: int = 21) -> str:
+    """The manifest with ``levels`` levels at most (3 ** 21 rows a source and as many sources), written out."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([field("doc_id"), field("source"), field("lang"), field("n_chars"), text]) + ")"
+    bits = "flatten(list_transform(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)), lambda b: list_transform(range(8), lambda i: (b >> i) & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))), 4294967295)"
+    parts = [
+        f"""docs as (select doc_id, source, {leaf(field("text"))} as leaf,
+            case when {crc} % 2 = 0 then {leaf(field("replace(text, chr(10), '')"))} else {leaf(field("text"))} end as now from documents)""",
+        "placed as (select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx from docs)",
+        "a0 as (select tree, idx, leaf as digest, count(*) over (partition by tree) as n from placed)",
+        "b0 as (select 0 as tree, tree as idx, digest, count(*) over () as n from a{})".format(levels),
+    ]
+    ups = {"a": [], "b": []}
+    for t in ups:
+        for k in range(levels):
+            ups[t].append(f"{t}{k + 1} as (select tree, idx // 3 as idx, case when min(n) = 1 then min(digest) else sha256(string_agg(digest, '' order by idx)) end as digest, (min(n) + 2) // 3 as n from {t}{k} group by tree, idx // 3)")
+    folds = ["f0 as (select p.doc_id, p.leaf, s.digest as subroot, r.digest as root, p.tree, p.idx, '' as proof, p.now as folded from placed p join b0 s on s.idx = p.tree cross join b{} r)".format(levels)]
+    n = 0
+    for t in ups:
+        for k in range(levels):
+            parent = "idx // 3" if k or t == "a" else "tree // 3"
+            own = "idx" if k or t == "a" else "tree"
+            group = "tree" if t == "a" else "0"
+            folds.append(
+                f"""f{n + 1} as (select f.* exclude (idx, proof, folded), f.{own} // 3 as idx, proof || x.l || x.r as proof,
+                case when x.alone then folded else sha256(x.l || folded || x.r) end as folded from f{n} f join (
+                select y.tree, y.idx, y.n = 1 as alone, coalesce(string_agg(z.digest, '' order by z.idx) filter (z.idx < y.idx), '') as l, coalesce(string_agg(z.digest, '' order by z.idx) filter (z.idx > y.idx), '') as r
+                from {t}{k} y join {t}{k} z on y.tree = z.tree and y.idx // 3 = z.idx // 3 group by y.tree, y.idx, y.n) x on x.tree = f.{group} and x.idx = f.{own})""".replace("f.0 ", "0 ")
+            )
+            n += 1
+    return "with " + ", ".join([*parts[:3], *ups["a"], parts[3], *ups["b"], *folds]) + f" select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from f{n}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -162,6 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op9_url_filter_domains": op9_url_filter_domains,
+        "op12_merkle": op12_merkle,
     }
 
 
@@ -170,4 +222,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": OP6_SQL,
         "op9_url_filter": OP9_SQL.format(hosts=", ".join(f"'{h}'" for h in BLOCKED_HOSTS)),
         "op9_url_filter_domains": OP9_DOMAINS_SQL.format(words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
+        "op12_merkle": _op12_sql(),
     }
