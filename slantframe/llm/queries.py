@@ -200,6 +200,15 @@ def _op12_sql(levels: int = 21) -> str:
     return "with " + ", ".join([*parts[:3], *ups["a"], parts[3], *ups["b"], *folds]) + f" select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from f{n}"
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of every text of documents under two tokenizers, and its links' counts in the whole table."""
+    import public_tokenizers
+
+    from slantframe.llm.alignment import align_documents
+
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -214,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op9_url_filter_domains": op9_url_filter_domains,
         "op12_merkle": op12_merkle,
+        "op13_alignment": op13_alignment,
     }
 
 
