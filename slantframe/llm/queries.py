@@ -149,6 +149,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the style trees of the hosts."""
+    from slantframe.llm.html_main import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+#: These pages mark their articles, which hold headings, paragraphs, bold type and line ends only.
+OP11_SQL = r"""
+with parts as (
+    select page_id, url, list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:h1|p)>'),
+        lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as parts
+    from pages)
+select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) as text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10))) as n_chars
+from parts
+""".replace("\\s", "\s")
+
+
 def tampered(docs: DataFrame) -> DataFrame:
     """The manifest of docs where every second id (by crc32) has lost the line ends of its text."""
     from pyspark.sql import functions as F
@@ -222,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op9_url_filter_domains": op9_url_filter_domains,
+        "op11_html": op11_html,
         "op12_merkle": op12_merkle,
         "op13_alignment": op13_alignment,
     }
@@ -232,5 +251,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": OP6_SQL,
         "op9_url_filter": OP9_SQL.format(hosts=", ".join(f"'{h}'" for h in BLOCKED_HOSTS)),
         "op9_url_filter_domains": OP9_DOMAINS_SQL.format(words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
+        "op11_html": OP11_SQL,
         "op12_merkle": _op12_sql(),
     }
