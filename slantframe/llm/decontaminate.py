@@ -35,7 +35,7 @@ def _runs(tokens: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray,
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     taken = np.r_[0, np.cumsum(~free)]
     starts = np.flatnonzero(taken[size:] == taken[:-size])
-    sums = np.r_[np.uint64(0), np.cumsum(tokens * kernels.powers(len(tokens))[0], dtype=np.uint64)]
+    sums = kernels.value_sums(tokens)
     return starts, kernels.span_hashes(sums, starts, starts + size)
 
 

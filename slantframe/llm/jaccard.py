@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
 from slantframe.llm.components import connected_components, merged_components
-from slantframe.llm.scratch import TEXTS, Scratch, bit_filter, partitions, small_batches
+from slantframe.llm.scratch import Scratch, TEXTS, bit_filter, free_names, partitions, small_batches
 
 #: Bits of a sketch's part.
 PART_BITS = 1024
@@ -512,8 +512,8 @@ def _meta(docs: DataFrame, similarity: Similarity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, sketch binary")
 
 
-def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs.
+def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity(), keep_class: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs; with keep_class also cls, a number of its set (null: none).
 
     Words are runs of bytes other than white space, A-Z lower-cased.  A text
     of fewer words than a shingle has its whole sequence as one; a null text
@@ -569,33 +569,52 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity()) -
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(names, "root").select("cls", "component_id"))
     scratch.drop(roots)
-    return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["cls"] * keep_class)
+
+
+def _classed(docs: DataFrame, similarity: Similarity, name: str) -> DataFrame:
+    """docs with the number of each text's set."""
+    sep, text, words, names = kernels.white_space(), docs.columns.index("text"), similarity.words, [*docs.columns, name]
+
+    @kernels.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.uint64(class_of(s)).astype(np.int64).item() if len(s) else None for s in kernels.shingle_sets(batch.column(text), words, sep)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, `{name}` long")
 
 
 def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity(words=5, num=80)) -> DataFrame:
-    """The rows of docs that give their component its name, and those with a null id.
+    """One row of each component, those with a null id, and those without words.
 
-    Of rows with one id and one component a single one stays.  Only rows that
-    may go are shuffled: a filter of bounded size over the ids that go tells
-    which.
+    A component keeps a row with the id that names it, one if there are
+    several; rows are told apart by their id and their text's set, so a row
+    stays though its namesake goes.  Only rows that may go are shuffled: a
+    filter of bounded size over the ids that go tells which.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "distinct")
-    found = scratch.save(jaccard_components(docs, similarity))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    key = F.xxhash64("__gone")
-    marked = scratch.save(gone.distinct().withColumn("__again", F.lit(False)).unionAll(again.withColumn("__again", F.lit(True))))
+    found = scratch.save(jaccard_components(docs, similarity, keep_class=True).where("cls is not null and doc_id is not null"))
+    gone, again, cls, group, maybe_ = free_names(docs.columns, "gone", "again", "cls", "group", "maybe")
+    rows = found.groupBy(F.col("doc_id").alias(gone), F.col("cls").alias(cls), F.col("component_id").alias(group)).agg(F.count("*").alias("n"))
+    least = F.col(gone) == F.col(group)
+    several = rows.where(least).groupBy(gone, group).agg(F.sum("n").alias("n")).where("n > 1").select(gone, group)
+    goes = rows.where(~least).select(gone, cls, group, F.lit(False).alias(again))
+    marked = scratch.save(goes.unionAll(rows.where(least).join(several, [gone, group]).select(gone, cls, group, F.lit(True))))
     bits = 1 << max(12, min(27, (16 * max(1, marked.count())).bit_length()))
-    shared = spark.sparkContext.broadcast(bit_filter(marked.select(key.alias("key")), bits))
+    shared = spark.sparkContext.broadcast(bit_filter(marked.select(F.xxhash64(gone).alias("key")), bits))
 
     @F.pandas_udf("boolean")
     def maybe(hashes: pd.Series) -> pd.Series:
         at = (hashes.to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
         return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
-    flagged = docs.withColumn("__maybe", maybe(F.xxhash64("doc_id")))
-    some = flagged.where("__maybe").drop("__maybe").join(marked, F.col("doc_id") == F.col("__gone"), "left")
-    sure = some.where("__gone is null").select(*docs.columns)
-    one = some.where("__again").select(*docs.columns).dropDuplicates(["doc_id"])
-    return flagged.where("not __maybe").select(*docs.columns).unionAll(sure).unionAll(one)
+    flagged = docs.withColumn(maybe_, maybe(F.xxhash64("doc_id")))
+    (own,) = free_names([*docs.columns, cls], "own")
+    some = _classed(flagged.where(F.col(maybe_)).select(*docs.columns), similarity, own)
+    met = some.join(marked, (F.col("doc_id") == F.col(gone)) & (F.col(own) == F.col(cls)), "left")
+    sure = met.where(F.col(gone).isNull()).select(*docs.columns)
+    one = met.where(F.col(again)).dropDuplicates([gone, group]).select(*docs.columns)
+    return flagged.where(~F.col(maybe_)).select(*docs.columns).unionAll(sure).unionAll(one)

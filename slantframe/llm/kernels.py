@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache, wraps
 from inspect import isgeneratorfunction
 
@@ -66,6 +67,10 @@ def tidied(run: Callable) -> Callable:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A second polynomial, modulo a prime: that modulo 2**64 is equal for some strings by their form alone.
+PRIME = (1 << 31) - 1
+_SMALL = 1_528_413_647
+_SMALL_INVERSE = pow(_SMALL, -1, PRIME)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,32 +83,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo PRIME, and smaller."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _small_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+    return out[:n]
+
+
 class _Powers:
-    """Powers of the base and of its inverse, extended when a longer text needs them."""
+    """Powers of the bases and of their inverses, extended when a longer text needs them."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.up = self.down = self.small_up = self.small_down = np.ones(1, dtype=np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def reach(self, n: int) -> _Powers:
         if len(self.up) < n:
             n = max(n, 2 * CHUNK)
             self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        return self.up, self.down
+            self.small_up, self.small_down = _small_powers(_SMALL, n), _small_powers(_SMALL_INVERSE, n)
+        return self
 
 
 _POWERS = _Powers()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n powers of the base and of its inverse."""
-    up, down = _POWERS.get(n)
-    return up[:n], down[:n]
+@dataclass
+class Sums:
+    """Prefix sums of both polynomials; one longer than what they sum up."""
+
+    wide: np.ndarray
+    small: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.wide)
+
+    def hashes(self, starts, ends, wide_down: np.ndarray, small_down: np.ndarray) -> np.ndarray:
+        small = _fold(_fold(self.small[ends] - self.small[starts])) * small_down
+        return mix((self.wide[ends] - self.wide[starts]) * wide_down + _fold(_fold(small)) % np.uint64(PRIME) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def value_sums(values: np.ndarray) -> Sums:
+    """Of any 64-bit values."""
+    return _sums(values, values % np.uint64(PRIME))
+
+
+def _sums(wide: np.ndarray, small: np.ndarray) -> Sums:
+    p = _POWERS.reach(len(wide) + 1)
+    out = Sums(np.zeros(len(wide) + 1, dtype=np.uint64), np.zeros(len(wide) + 1, dtype=np.uint64))
+    np.cumsum(wide * p.up[: len(wide)], out=out.wide[1:])
+    np.cumsum(_fold(small * p.small_up[: len(wide)]), out=out.small[1:])
+    return out
 
 
 def byte_values(lower: bool) -> np.ndarray:
@@ -117,24 +157,21 @@ def byte_values(lower: bool) -> np.ndarray:
 EXACT, LOWER = byte_values(False), byte_values(True)
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes (modulo 2**64); one longer than data."""
-    up, _ = _POWERS.get(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=out[1:])
-    return out
+def prefix_sums(data: np.ndarray, values: np.ndarray) -> Sums:
+    """Of the values of bytes."""
+    return _sums(values[data], (values % np.uint64(PRIME))[data])
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings data[start:end], wherever they lie."""
-    _, down = _POWERS.get(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    p = _POWERS.reach(len(sums))
+    return mix(sums.hashes(starts, ends, p.down[starts], p.small_down[starts]) + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(sums: Sums, k: int) -> np.ndarray:
     """Hashes of all k-byte windows, by start."""
-    _, down = _POWERS.get(len(sums))
-    return mix((sums[k:] - sums[:-k]) * down[: len(sums) - k])
+    p, n = _POWERS.reach(len(sums)), len(sums) - k
+    return sums.hashes(slice(0, n), slice(k, None), p.down[:n], p.small_down[:n])
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.llm import kernels
-from slantframe.llm.scratch import TEXTS, Scratch, bit_filter, partitions, small_batches
+from slantframe.llm.scratch import Scratch, TEXTS, bit_filter, free_names, partitions, small_batches
 
 LENGTH, GRAM = 200, 100
 WINDOWS = LENGTH - GRAM + 1
@@ -580,23 +580,24 @@ def strip_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     meta, spans, scratch = repeated_spans(docs, batches, keep_text=True)
     copied = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("ent").distinct()
+    ent, kept, maybe = free_names(docs.columns, "ent", "kept", "maybe")
     changed = spans.join(copied, "ent", "left_anti").select("ent", "kept").unionAll(copied.select("ent", F.lit(b"").alias("kept")))
-    changed = scratch.save(changed.withColumnRenamed("ent", "__ent").withColumnRenamed("kept", "__kept"))
+    changed = scratch.save(changed.toDF(ent, kept))
     bits = 1 << max(12, min(27, (16 * max(1, changed.count())).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(changed.select(F.col("__ent").alias("key")), bits))
-    text, names = docs.columns.index("text"), [*docs.columns, "__ent", "__maybe"]
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(changed.select(F.col(ent).alias("key")), bits))
+    text, names = docs.columns.index("text"), [*docs.columns, ent, maybe]
 
     @kernels.tidied
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             ents = np.array([entity(x.as_buffer() if x.is_valid else b"")[0] for x in batch.column(text)], dtype=np.uint64)
             at = (ents % np.uint64(bits)).astype(np.int64)
-            maybe = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ents.view(np.int64)), pa.array(maybe.astype(bool))], names)
+            hit = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ents.view(np.int64)), pa.array(hit.astype(bool))], names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__ent long, __maybe boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{ent}` long, `{maybe}` boolean"])
     tagged = docs.mapInArrow(run, schema)
-    cut = tagged.where("__maybe").join(changed, "__ent", "left")
-    text_now = F.coalesce(F.col("__kept").cast("string"), F.col("text")).alias("text")
+    cut = tagged.where(F.col(maybe)).join(changed, ent, "left")
+    text_now = F.coalesce(F.col(kept).cast("string"), F.col("text")).alias("text")
     cut = cut.select(*(text_now if c == "text" else F.col(c) for c in docs.columns))
-    return tagged.where("not __maybe").select(*docs.columns).unionAll(cut)
+    return tagged.where(~F.col(maybe)).select(*docs.columns).unionAll(cut)

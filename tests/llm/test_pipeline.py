@@ -1,12 +1,11 @@
 from collections import Counter
 
 import numpy as np
-import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from slantframe.llm.suffix_dedup import LENGTH
+from slantframe.llm.suffix_dedup import LENGTH, strip_repeats
 from tests.llm.test_jaccard import brute as brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -65,4 +64,10 @@ def test_run_and_repeated_ids(spark):
     assert all(sp.encode(sp.decode(list(r.ids)), add_bos=True, add_eos=True) == list(r.ids) for r in out[:20])
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "x y"), (3, None)], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in pipeline.keep_one_each(docs).collect()) == ["1", "3", "None"] or pytest.fail("wrong rows")
+    assert sorted(str(r.doc_id) for r in pipeline.keep_one_each(docs).collect()) == ["1", "3", "3", "None"]
+    # A row stays though its namesake goes, and names of columns don't matter.
+    other = " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 0, 0), (5, text, 1, 1), (5, other, 2, 2), (6, other + " x", 3, 3), (7, "", 4, 4), (7, "", 5, 5)], "doc_id long, text string, gone int, cls int").withColumns({"__gone": F.lit(1), "maybe": F.lit(2), "ent": F.lit(3), "__kept": F.lit(4)})
+    left = pipeline.keep_one_each(docs)
+    assert sorted(r.gone for r in left.collect()) == [0, 2, 4, 5] and left.columns == docs.columns
+    assert strip_repeats(docs).count() == 6
