@@ -10,30 +10,74 @@ time_coa        rows of coefficients over row and column metres
 arp_px, arp_py, arp_pz    antenna place as polynomials of time
 polar_angle, freq_scale   PFA;  az_sf: RGAZCOMP;  r_ca, time_ca, drate_sf: INCA
 
-Iterations have a fixed number of rounds, each a set of columns, so a plan is
-a chain of projections without shuffles.
+Iterations end when what is missing is below a tolerance, which rows reach at
+different times, so they run over Arrow batches, an image's rows of a batch at
+once; nothing is shuffled.  A row that doesn't settle, or lacks a value, gives
+nulls.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slantframe.functions.collection import range_plane_points
-from slantframe.functions.geodesy import ecf_to_geodetic, ellipsoid_normal, geodetic_to_ecf
-from slantframe.functions.polynomials import derivative, poly1d, poly2d
-from slantframe.functions.vectors import Vec
+from slantframe.functions.scenes import Scene
 
 #: Columns of the metadata that the functions read.
 VECTORS = ("scp", "urow", "ucol", "normal")
+METADATA = ("kind", *(f"{v}_{a}" for v in VECTORS for a in "xyz"), "scp_row", "scp_col", "first_row", "first_col", "row_ss", "col_ss", "time_coa", "arp_px", "arp_py", "arp_pz", "polar_angle", "freq_scale", "az_sf", "r_ca", "time_ca", "drate_sf")
+
+
+def packed(df: DataFrame) -> Column:
+    """The metadata of a row as text, equal for the rows of an image."""
+    return F.to_json(F.struct(*[F.col(c) for c in METADATA if c in df.columns]))
+
+
+@lru_cache(maxsize=256)
+def scene(text: str) -> Scene:
+    return Scene(json.loads(text))
+
 
+def by_scene(texts: pa.Array, inputs: list[np.ndarray], outputs: int, work: Callable) -> list[np.ndarray]:
+    """work(scene, *inputs) of the rows of each image, put back into the order of rows."""
+    coded = texts.dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    out = [np.full(len(numbers), np.nan) for _ in range(outputs)]
+    for k, text in enumerate(coded.dictionary.to_pylist()):
+        at = np.flatnonzero(numbers == k)
+        for whole, part in zip(out, work(scene(text), *(x[at] for x in inputs))):
+            whole[at] = part
+    return out
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return np.array(column.cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
+
+
+def _mapped(df: DataFrame, inputs: list[str], outputs: list[str], work: Callable) -> DataFrame:
+    """df with outputs: work(scene, *inputs) gives them, a batch's rows of an image at once."""
+    names = df.columns
+    given = df.select(*names, packed(df).alias("scene_"), *(F.col(c).cast("double").alias(f"in{i}_") for i, c in enumerate(inputs)))
 
-def _place(t: Column) -> Vec:
-    return Vec(*(poly1d(F.col(f"arp_p{a}"), t) for a in "xyz"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                n = len(names)
+                found = by_scene(batch.column(n), [numbers(batch.column(n + 1 + i)) for i in range(len(inputs))], len(outputs), work)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(x, mask=~np.isfinite(x)) for x in found]], [*names, *outputs])
 
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    return given.mapInArrow(run, ", ".join([*kinds, *(f"`{o}` double" for o in outputs)]))
 
-def _velocity(t: Column) -> Vec:
-    return Vec(*(poly1d(derivative(F.col(f"arp_p{a}")), t) for a in "xyz"))
+
+def _axes(*names: str) -> list[str]:
+    return [f"{n}_{a}" for n in names for a in "xyz"]
 
 
 def coa_projection(df: DataFrame, row: str = "row", col: str = "col", range_bias: float = 0.0) -> DataFrame:
@@ -41,101 +85,30 @@ def coa_projection(df: DataFrame, row: str = "row", col: str = "col", range_bias
 
     A kind that isn't known gives null range and rate.
     """
-    names = df.columns
-    u = (F.col(row) + F.col("first_row") - F.col("scp_row")) * F.col("row_ss")
-    w = (F.col(col) + F.col("first_col") - F.col("scp_col")) * F.col("col_ss")
-    df = df.withColumns({"u_": u, "w_": w})
-    u, w = F.col("u_"), F.col("w_")
-    df = df.withColumn("time_coa_at", poly2d(F.col("time_coa"), u, w))
-    t = F.col("time_coa_at")
-    df = _velocity(t).attach(_place(t).attach(df, "arp"), "varp")
-    arp, varp, scp = Vec.of("arp"), Vec.of("varp"), Vec.of("scp")
-    df = (arp - scp).attach(df, "back_")
-    back = Vec.of("back_")
-    df = df.withColumn("r0_", back.norm())
-    df = df.withColumns({"rate0_": varp.dot(back) / F.col("r0_"), "angle_": poly1d(F.col("polar_angle"), t), "turn_": poly1d(derivative(F.col("polar_angle")), t)})
-    angle = F.col("angle_")
-    df = df.withColumns({"ka_": u * F.cos(angle) + w * F.sin(angle), "kc_": w * F.cos(angle) - u * F.sin(angle), "ksf_": poly1d(F.col("freq_scale"), angle), "dksf_": poly1d(derivative(F.col("freq_scale")), angle)})
-    # INCA: from the closest approach
-    df = df.withColumn("ca_", poly1d(F.col("time_ca"), w))
-    vca = _velocity(F.col("ca_"))
-    df = df.withColumns({"near_": F.col("r_ca") + u, "drift_": poly2d(F.col("drate_sf"), u, w) * vca.dot(vca), "late_": t - F.col("ca_")})
-    inca = F.sqrt(F.col("near_") * F.col("near_") + F.col("drift_") * F.col("late_") * F.col("late_"))
-    # PLANE: the pixel's place in the image plane
-    df = (arp - scp - Vec.of("urow") * u - Vec.of("ucol") * w).attach(df, "flat_")
-    flat = Vec.of("flat_")
-    kind = F.col("kind")
-    r = F.when(kind == "PFA", F.col("r0_") + F.col("ksf_") * F.col("ka_")).when(kind == "RGAZCOMP", F.col("r0_") + u).when(kind == "INCA", inca).when(kind == "PLANE", flat.norm())
-    rdot = (
-        F.when(kind == "PFA", F.col("rate0_") + (F.col("dksf_") * F.col("ka_") + F.col("ksf_") * F.col("kc_")) * F.col("turn_"))
-        .when(kind == "RGAZCOMP", F.col("rate0_") - varp.norm() * F.col("az_sf") * w)
-        .when(kind == "INCA", F.col("drift_") * F.col("late_") / inca)
-        .when(kind == "PLANE", varp.dot(flat) / flat.norm())
-    )
-    out = df.withColumns({"r": r + range_bias, "rdot": rdot})
-    return out.select(*names, "time_coa_at", "r", "rdot", *(f"{p}_{a}" for p in ("arp", "varp") for a in "xyz"))
-
-
-def _side(df: DataFrame, normal: str) -> DataFrame:
-    """Adds side_: on which side of the track the scene centre lies, over the plane of a normal."""
-    n, v, los = Vec.of(normal), Vec.of("varp"), Vec.of("scp") - Vec.of("arp")
-    return df.withColumn("side_", F.when(n.cross(v).dot(los) < 0, -1.0).otherwise(1.0))
+
+    def work(image: Scene, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        t, r, rdot, arp, varp = image.coa(x, y)
+        return [t, r + range_bias, rdot, *arp, *varp]
+
+    return _mapped(df, [row, col], ["time_coa_at", "r", "rdot", *_axes("arp", "varp")], work)
 
 
 def image_to_plane(df: DataFrame, out: str = "at", row: str = "row", col: str = "col") -> DataFrame:
     """Adds out_x..: where each pixel's range and range rate meet the plane through the scene centre with the image's normal."""
-    names = df.columns
-    df = _side(coa_projection(df, row, col), "normal")
-    df = range_plane_points(df, "r", "rdot", "side_", "arp", "varp", "scp", "normal", out)
-    return df.select(*names, *(f"{out}_{a}" for a in "xyz"))
+    return _mapped(df, [row, col], _axes(out), lambda image, x, y: image.to_plane(x, y))
 
 
-def image_to_hae(df: DataFrame, height: str, out: str = "at", row: str = "row", col: str = "col", rounds: int = 4) -> DataFrame:
+def image_to_hae(df: DataFrame, height: str, out: str = "at", row: str = "row", col: str = "col", tolerance: float = 1e-4) -> DataFrame:
     """Adds out_x..: where each pixel's range and range rate meet the surface of a height (metres, a column) above the ellipsoid.
 
-    Each round meets the tangent plane of the surface below the last point.
+    Rounds end when a place moves by less than the tolerance (metres).
     """
-    names = df.columns
-    df = coa_projection(df, row, col)
-    df = Vec.of("scp").attach(df, "ground_")
-    for _ in range(rounds):
-        lower = ecf_to_geodetic(df, "ground_", "lat_", "lon_", "up_")
-        lower = geodetic_to_ecf(F.col("lat_"), F.col("lon_"), F.col(height)).attach(lower, "foot_")
-        lower = _side(ellipsoid_normal(Vec.of("foot_")).attach(lower, "up_n_"), "up_n_")
-        met = range_plane_points(lower, "r", "rdot", "side_", "arp", "varp", "foot_", "up_n_", "next_")
-        df = met.withColumns({f"ground__{a}": F.col(f"next__{a}") for a in "xyz"}).drop("lat_", "lon_", "up_", "side_", *(f"{p}_{a}" for p in ("foot_", "up_n_", "next_") for a in "xyz"))
-    return df.select(*names, *(F.col(f"ground__{a}").alias(f"{out}_{a}") for a in "xyz"))
-
-
-def ground_to_image(df: DataFrame, place: str = "place", rounds: int = 4) -> DataFrame:
-    """Adds row, col and miss (metres): the pixel whose range and range rate meet the ground in a place.
-
-    A round drops the place onto the image plane along the scene's slant
-    normal, finds where that pixel meets the ground plane through the place,
-    and moves on by what is missing.
+    return _mapped(df, [row, col, height], _axes(out), lambda image, x, y, h: image.to_height(x, y, h, tolerance))
+
+
+def ground_to_image(df: DataFrame, place: str = "place", tolerance: float = 1e-6) -> DataFrame:
+    """Adds row, col and miss (metres): the pixel that has the range and range rate of a place.
+
+    Rounds end when a pixel moves by less than the tolerance (pixels).
     """
-    names = df.columns
-    urow, ucol = Vec.of("urow"), Vec.of("ucol")
-    df = Vec.of(place).attach(df, "goal_")
-    df = urow.cross(ucol).unit().attach(df, "ipn_")
-    at, vel = (Vec(*(poly1d(p(F.col(f"arp_p{a}")), F.element_at(F.element_at(F.col("time_coa"), 1), 1)) for a in "xyz")) for p in (lambda c: c, derivative))
-    df = vel.attach(at.attach(df, "mid_"), "midv_")
-    los = (Vec.of("scp") - Vec.of("mid_")).unit()
-    slant = Vec.of("midv_").cross(los)
-    df = (slant * F.when(slant.dot(ellipsoid_normal(Vec.of("scp"))) < 0, -1.0).otherwise(1.0)).unit().attach(df, "spn_")
-    df = ellipsoid_normal(Vec.of(place)).attach(df, "gpn_")
-    spn, ipn, gpn, goal = Vec.of("spn_"), Vec.of("ipn_"), Vec.of("gpn_"), Vec.of(place)
-    lean = urow.dot(ucol)
-    for _ in range(rounds):
-        aim, scp = Vec.of("goal_"), Vec.of("scp")
-        drop = (scp - aim).dot(ipn) / spn.dot(ipn)
-        df = (aim + spn * drop - scp).attach(df, "plane_")
-        a, b = Vec.of("plane_").dot(urow), Vec.of("plane_").dot(ucol)
-        u, w = (a - lean * b) / (1 - lean * lean), (b - lean * a) / (1 - lean * lean)
-        df = df.withColumns({"row": u / F.col("row_ss") + F.col("scp_row") - F.col("first_row"), "col": w / F.col("col_ss") + F.col("scp_col") - F.col("first_col")})
-        met = _side(coa_projection(df), "gpn_")
-        met = range_plane_points(met, "r", "rdot", "side_", "arp", "varp", place, "gpn_", "hit_")
-        miss = goal - Vec.of("hit_")
-        moved = (aim + miss).attach(met.withColumn("miss", miss.norm()), "goal_")
-        df = moved.select(*names, "row", "col", "miss", *(f"{p}_{x}" for p in ("goal_", "ipn_", "spn_", "gpn_") for x in "xyz"))
-    return df.select(*names, "row", "col", "miss")
+    return _mapped(df, _axes(place), ["row", "col", "miss"], lambda image, x, y, z: image.to_pixel(np.stack([x, y, z]), tolerance))

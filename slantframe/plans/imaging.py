@@ -74,31 +74,37 @@ def q_coa_projection(spark, sf):
 
 
 def _residuals(df: DataFrame, place: str) -> DataFrame:
-    """How far the range and range rate of a place are from those of its pixel."""
+    """How far the range and range rate of a place are from those of its pixel, and on which side of the track it lies."""
     back = Vec.of("arp") - Vec.of(place)
-    return projection.coa_projection(df).select("id", (F.round(back.norm() - F.col("r"), 3) + 0).alias("range_off"), (F.round(Vec.of("varp").dot(back) / back.norm() - F.col("rdot"), 3) + 0).alias("rate_off"), *(c for c in df.columns if c == "height" or c.startswith(place)))
+    side = F.signum(Vec.literal(1, 0, 0).cross(Vec.of("varp")).dot(back * -1.0)).cast("int")
+    return projection.coa_projection(df).select("id", (F.round(back.norm() - F.col("r"), 3) + 0).alias("range_off"), (F.round(Vec.of("varp").dot(back) / back.norm() - F.col("rdot"), 3) + 0).alias("rate_off"), side.alias("side"), *(c for c in df.columns if c == "height" or c.startswith(place)))
 
 
-@query("q_image_to_plane", "select o_orderkey as id, 0e0 as range_off, 0e0 as rate_off, 6378137e0 as x from orders")
+#: The ground plane has x of the scene centre; the track runs along z (and a little along x), so the way across is along y, away from the antenna's y.
+_PLANE = f"""with {_PIXELS}, e as (select *, ax - 6378137 as h from b join d using (id, image, row, col, t)), f as (select *, sqrt(r * r - h * h) as flat from e), g as (select *, (h * vx - r * rdot) / (vz * flat) as cosine from f)
+ select id, 6378137e0 as x, round(ay - flat * sqrt(1 - cosine * cosine), 3) + 0 as y, round(az + flat * cosine, 3) + 0 as z from g"""
+
+
+@query("q_image_to_plane", _PLANE)
 def q_image_to_plane(spark, sf):
-    """Pixels on the ground plane have their pixel's range and range rate, and lie in the plane."""
-    out = _residuals(projection.image_to_plane(_pixels(spark, sf), "at"), "at")
-    return out.select("id", "range_off", "rate_off", F.round("at_x", 4).alias("x"))
+    """Pixels of four kinds of images on the ground plane."""
+    out = projection.image_to_plane(_pixels(spark, sf), "at")
+    return out.select("id", F.round("at_x", 4).alias("x"), (F.round("at_y", 3) + 0).alias("y"), (F.round("at_z", 3) + 0).alias("z"))
 
 
-@query("q_image_to_hae", "select o_orderkey as id, 0e0 as range_off, 0e0 as rate_off, (o_orderkey % 50 * 10)::double as hae from orders")
+@query("q_image_to_hae", "select o_orderkey as id, 0e0 as range_off, 0e0 as rate_off, 1 as side, (o_orderkey % 50 * 10)::double as hae from orders")
 def q_image_to_hae(spark, sf):
-    """Pixels on a surface of constant height have that height, their pixel's range and its rate."""
+    """Pixels on a surface of constant height have that height, their pixel's range and its rate, and lie on the scene's side of the track."""
     df = _pixels(spark, sf).withColumn("height", (F.col("id") % 50 * 10).cast("double"))
     out = geodesy.ecf_to_geodetic(_residuals(projection.image_to_hae(df, "height", "at"), "at"), "at")
-    return out.select("id", "range_off", "rate_off", (F.round("hae", 3) + 0).alias("hae"))
+    return out.select("id", "range_off", "rate_off", "side", (F.round("hae", 3) + 0).alias("hae"))
 
 
 @query("q_ground_to_image", "select o_orderkey as id, (o_orderkey % 1000)::double as row, (o_custkey * 7 % 800)::double as col, 0e0 as miss from orders")
 def q_ground_to_image(spark, sf):
-    """Places where pixels meet the ground plane go back to their pixels."""
+    """Places where pixels meet the ground plane (q_image_to_plane has them in closed form) go back to their pixels."""
     df = projection.image_to_plane(_pixels(spark, sf), "at").drop("row", "col")
-    out = projection.ground_to_image(df, "at", rounds=6)
+    out = projection.ground_to_image(df, "at")
     return rounded(out.select("id", "row", "col", "miss"), 3, "row", "col", "miss")
 
 
@@ -106,20 +112,21 @@ _POSTS = 41
 
 
 def _posts(spark) -> DataFrame:
-    """A slope of posts a hundredth of a degree apart around the scene."""
+    """Uneven terrain of posts a hundredth of a degree apart around the scene."""
     ix, iy = (F.col("id") % _POSTS).cast("int"), (F.col("id") / _POSTS).cast("int")
-    return spark.range(_POSTS * _POSTS).select(ix.alias("ix"), iy.alias("iy"), (100.0 + 2.0 * ix - 1.5 * iy).alias("elev"))
+    return spark.range(_POSTS * _POSTS).select(ix.alias("ix"), iy.alias("iy"), (100.0 + 2.0 * ix - 1.5 * iy + (ix * 7 + iy * 11) % 13 * 9.0).alias("elev"))
 
 
-@query("q_image_to_dem", "select o_orderkey as id, 0e0 as range_off, 0e0 as rate_off, 0e0 as height_off from orders")
+@query("q_image_to_dem", "select o_orderkey as id, 0e0 as range_off, 0e0 as rate_off, 1 as side, 0e0 as height_off from orders")
 def q_image_to_dem(spark, sf):
-    """Pixels on sloping terrain have the terrain's height, their pixel's range and its rate (to decimetres)."""
+    """Pixels on uneven terrain have the terrain's height, their pixel's range and its rate, and lie on the scene's side of the track."""
     df = _pixels(spark, sf)
-    gx, gy = (F.col("lon") + 0.2) * 100, (F.col("lat") + 0.2) * 100
-    met = terrain.image_to_dem(df, _posts(spark), (gx, gy), (0.0, 250.0, 6))
+    met = terrain.image_to_dem(df, _posts(spark), terrain.PostGrid(-0.2, -0.2, 0.01, 0.01), (0.0, 350.0, 26))
     placed = geodesy.ecf_to_geodetic(_residuals(df.join(met, "id"), "at"), "at")
-    off = F.col("hae") - (100 + 2 * (F.col("lon") + 0.2) * 100 - 1.5 * (F.col("lat") + 0.2) * 100)
-    return placed.select("id", (F.round("range_off", 1) + 0).alias("range_off"), (F.round("rate_off", 1) + 0).alias("rate_off"), (F.round(off, 1) + 0).alias("height_off"))
+    gx, gy = (F.col("lon") + 0.2) * 100, (F.col("lat") + 0.2) * 100
+    ground = elevation.bilinear(placed.select(F.col("id").alias("pt_id"), gx.alias("gx"), gy.alias("gy")), _posts(spark))
+    out = placed.join(ground.withColumnRenamed("pt_id", "id"), "id")
+    return out.select("id", "range_off", "rate_off", "side", (F.round(F.col("hae") - F.col("elev"), 2) + 0).alias("height_off"))
 
 
 # --- signals -------------------------------------------------------------------------
