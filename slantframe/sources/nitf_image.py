@@ -105,8 +105,8 @@ class ImageSegment:
         return None if self.mode in "BPRS" else f"mode {self.mode}"
 
 
-def image_segment(file: Ranges, segment: Segment) -> ImageSegment:
-    data = file.read(segment.header, segment.header_size)
+def _subheader(data: bytes) -> tuple[dict[str, str], str, int, dict[str, str], int]:
+    """(fields, compression, number of bands, block fields, place behind them) of an image subheader."""
     head, at = named(data, IMAGE)
     at += 60 if head["ICORDS"] else 0
     at += 1 + 80 * int(data[at : at + 1])
@@ -119,7 +119,17 @@ def image_segment(file: Ranges, segment: Segment) -> ImageSegment:
         tables, at = int(data[at + 12 : at + 13]), at + 13
         if tables:
             at += 5 + tables * int(data[at : at + 5])
-    block, _ = named(data, BLOCKS, at)
+    block, at = named(data, BLOCKS, at)
+    return head, compression, bands, block, at
+
+
+def image_fields_end(data: bytes) -> int:
+    """Where the record areas of an image subheader begin."""
+    return _subheader(data)[4]
+
+
+def image_segment(file: Ranges, segment: Segment) -> ImageSegment:
+    head, compression, bands, block, _ = _subheader(file.read(segment.header, segment.header_size))
     n = lambda name: int(block[name] or 0)
     rows, cols = int(head["NROWS"]), int(head["NCOLS"])
     iloc = block["ILOC"].rjust(10)
@@ -346,6 +356,62 @@ class NitfExtensions(DataSource):
         return _TextReader(self.options)
 
 
+def header_areas(file: Ranges) -> list[tuple[str, int, bytes]]:
+    """(header, index, bytes) of the record areas of the file header and of the image subheaders, user-defined before extended."""
+    out: list[tuple[str, int, bytes]] = []
+
+    def take(kind: str, index: int, data: bytes, at: int) -> None:
+        for _ in range(2):
+            size, at = int(data[at : at + 5] or 0), at + 5
+            if size:
+                # The first three bytes name the segment that the area goes on in.
+                out.append((kind, index, data[at + 3 : at + size]))
+                at += size
+
+    size = sum(n for _, n in FILE)
+    head, at = named(file.read(0, size), FILE)
+    data = file.read(0, int(head["HL"]))
+    for kind, first, second in SEGMENTS:
+        at += 3 + int(data[at : at + 3]) * (first + second)
+    take("file", 0, data, at)
+    for s in segments(file):
+        if s.kind == "image":
+            data = file.read(s.header, s.header_size)
+            take("image", s.index, data, image_fields_end(data))
+    return out
+
+
+class _AreaReader(RangedReader):
+    def pieces(self) -> list[InputPartition]:
+        return [InputPartition(f) for f in self.files()]
+
+    def read(self, piece: InputPartition) -> Iterator[tuple]:
+        if piece.value is not None:
+            with Ranges(piece.value) as file:
+                for kind, index, data in header_areas(file):
+                    yield piece.value, kind, index, data
+
+
+class NitfAreas(DataSource):
+    """Format nitf_area: the areas of tagged records in headers; option path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "nitf_area"
+
+    def schema(self) -> str:
+        return "path string, header string, index int, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _AreaReader(self.options)
+
+
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header, index, content) of every record area; records.read_records takes them apart."""
+    registered(spark, NitfAreas)
+    return spark.read.format("nitf_area").option("path", path).load()
+
+
 def read_extensions(spark: SparkSession, path: str) -> DataFrame:
     """(path, index, name, content) of every data extension segment, read by its own bytes."""
     registered(spark, NitfExtensions)

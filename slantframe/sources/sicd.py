@@ -17,7 +17,7 @@ _AXIS = f"struct<UVectECF:{_XYZ},SS:double,ImpRespWid:double,Sgn:int,ImpRespBW:d
 #: The parts of a document that are read; others are passed over.
 SCHEMA = (
     "struct<CollectionInfo:struct<CollectorName:string,CoreName:string,CollectType:string,RadarMode:struct<ModeType:string,ModeID:string>,Classification:string>,"
-    "ImageData:struct<PixelType:string,NumRows:int,NumCols:int,FirstRow:int,FirstCol:int,FullImage:struct<NumRows:int,NumCols:int>,SCPPixel:struct<Row:int,Col:int>>,"
+    "ImageData:struct<PixelType:string,AmpTable:struct<_size:int,Amplitude:array<struct<_VALUE:double,_index:int>>>,NumRows:int,NumCols:int,FirstRow:int,FirstCol:int,FullImage:struct<NumRows:int,NumCols:int>,SCPPixel:struct<Row:int,Col:int>>,"
     f"GeoData:struct<EarthModel:string,SCP:struct<ECF:{_XYZ},LLH:struct<Lat:double,Lon:double,HAE:double>>>,"
     f"Grid:struct<ImagePlane:string,Type:string,TimeCOAPoly:{_POLY2},Row:{_AXIS},Col:{_AXIS}>,"
     "Timeline:struct<CollectStart:string,CollectDuration:double>,"
