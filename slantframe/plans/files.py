@@ -1,4 +1,4 @@
-"""Queries of files that Spark writes from the tables and reads again, and their SQL."""
+"""Queries of whole images: files that Spark writes from the tables and reads again, grids and spectra; and their SQL."""
 
 from __future__ import annotations
 
@@ -74,3 +74,34 @@ def q_tagged_records(spark, sf):
     known = known.select("id", "number", "tag", "name", F.array_join(F.col("at").cast("array<string>"), ".").alias("place"), "value")
     text = F.lit(None).cast("string")
     return known.unionAll(found.where("fields is null and reason is null").select("id", "number", "tag", text, text, F.col("data").cast("string")))
+
+
+@query(
+    "q_ortho_tiles",
+    f"""with {v.AMP}, g as (select a::int as image, b::int as r, c::int as c, 0.75::double * b + 1.5::double * c + 3.3::double as pr, 1.0007::double + 0.7::double * c + 0.013::double * b as pc from range(0, 4) x(a), range(0, 256) y(b), range(0, 8) z(c)),
+ w as (select g.image, g.r, g.c, floor(pr)::int + i as sr, floor(pc)::int + j as sc, (case when i = 1 then pr - floor(pr) else 1 - (pr - floor(pr)) end) * (case when j = 1 then pc - floor(pc) else 1 - (pc - floor(pc)) end) as w from g, (values (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j))
+ select w.image, w.r, w.c, case when count(amplitude) = count(*) then round(sum(w * amplitude), 5) end as amplitude from w left join amp on amp.image = w.image and amp.r = sr and amp.c = sc group by 1, 2, 3""",
+)
+def q_ortho_tiles(spark, sf):
+    """Four images on a sheared grid, in output tiles that fetch the source tiles they need."""
+    from slantframe.operators.ortho import resample
+
+    out = resample(v.amplitude(spark, sf), spark.range(4).select(F.col("id").cast("int").alias("image")), (256, 8), lambda _, r, c: (0.75 * r + 1.5 * c + 3.3, 1.0007 + 0.7 * c + 0.013 * r), tile=32)
+    return out.withColumn("amplitude", F.round("amplitude", 5))
+
+
+@query(
+    "q_fft2",
+    f"""with {v.PX}, g as (select a::int as image, b::int as r, c::int as c from range(0, 4) x(a), range(0, 256) y(b), range(0, 8) z(c)),
+ z as (select image, r, c, coalesce(re::float::double, 0) as re, coalesce(im::float::double, 0) as im from g left join px using (image, r, c)),
+ a as (select image, r, k, sum(re * cos(2 * pi() * c * k / 8) + im * sin(2 * pi() * c * k / 8)) as re, sum(im * cos(2 * pi() * c * k / 8) - re * sin(2 * pi() * c * k / 8)) as im from z, range(0, 8) q(k) group by 1, 2, 3),
+ b as (select image, n, k, sum(re * cos(2 * pi() * r * n / 256) + im * sin(2 * pi() * r * n / 256)) as re, sum(im * cos(2 * pi() * r * n / 256) - re * sin(2 * pi() * r * n / 256)) as im from a, range(0, 256) q(n) group by 1, 2, 3)
+ select image, ((n + 128) % 256)::int as r, ((k + 4) % 8)::int as c, round(re, 4) + 0 as re, round(im, 4) + 0 as im from b""",
+)
+def q_fft2(spark, sf):
+    """Centred spectra of four images in two dimensions."""
+    from slantframe.operators.spectra import fft2
+
+    lines = _lines(spark, sf).select("image", "r", F.col("bands")[0].alias("re"), F.col("bands")[1].alias("im"))
+    out = fft2(lines, block=3).select("image", "r", F.posexplode(F.arrays_zip("re", "im")).alias("c", "z"))
+    return out.select("image", "r", "c", (F.round("z.re", 4) + 0).alias("re"), (F.round("z.im", 4) + 0).alias("im"))
