@@ -81,17 +81,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, threshold=0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-#: The rules of op9, and the hosts that are blocked where no rule fits.
+#: The rules of op9, and the share of tracked urls from which on a host is listed (and blocked where no rule fits).
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-BLOCKED_HOSTS = ("spam-farm.example.net", "spam-farm.example.com", "spam-farm.example.org", "tionsh.example.net", "therha.example.com", "blog.thther.example.net")
+TRACKED = 0.375
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judges every page's url by the rules and, where none fits, by the blocked hosts."""
-    from slantframe.llm.url_filter import Rule, judge_urls
+    """Judges every page's url by the rules and, where none fits, by a list of hosts read off the corpus."""
+    from slantframe.llm.url_filter import Rule, judge_urls, tracked_hosts
 
-    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
-    return judge_urls(_table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES], listed)
+    pages = _table(spark, sf_dir, "pages")
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES], tracked_hosts(pages, TRACKED))
 
 
 #: A domain of the corpus is listed if its first label holds one of these words between hyphens.
@@ -107,9 +107,10 @@ def op9_url_filter_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-with rest as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
-parsed as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+with rest as (select page_id, url, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
+parsed as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
+listed as (select host from parsed where host <> '' group by host having avg(coalesce(regexp_matches(url, '[?&]utm_'), false)::int) >= {share}),
 ruled as (select *, case
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
@@ -119,12 +120,12 @@ ruled as (select *, case
 select page_id, host, path, rule, case
     when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
     when rule is not null then 'allow'
-    when host in ({hosts}) then 'block' else 'allow' end as verdict
+    when host in (select host from listed) then 'block' else 'allow' end as verdict
 from ruled
 """
 
 #: A host is blocked if one of its labels holds a word: it is then at or below the domain that starts with that label.
-OP9_DOMAINS_SQL = OP9_SQL.replace("host in ({hosts})", "list_has_any(string_split(replace(host, '.', '-'), '-'), [{words}])")
+OP9_DOMAINS_SQL = OP9_SQL.replace("host in (select host from listed)", "list_has_any(string_split(replace(host, '.', '-'), '-'), [{words}])")
 
 OP6_SQL = """
 with turns as (
@@ -164,7 +165,7 @@ with parts as (
     from pages)
 select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) as text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10))) as n_chars
 from parts
-""".replace("\\s", "\s")
+"""
 
 
 def tampered(docs: DataFrame) -> DataFrame:
@@ -249,8 +250,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_chat_format": OP6_SQL,
-        "op9_url_filter": OP9_SQL.format(hosts=", ".join(f"'{h}'" for h in BLOCKED_HOSTS)),
-        "op9_url_filter_domains": OP9_DOMAINS_SQL.format(words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
+        "op9_url_filter": OP9_SQL.format(share=TRACKED),
+        "op9_url_filter_domains": OP9_DOMAINS_SQL.format(share=TRACKED, words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
         "op11_html": OP11_SQL,
         "op12_merkle": _op12_sql(),
     }
