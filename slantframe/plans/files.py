@@ -105,3 +105,17 @@ def q_fft2(spark, sf):
     lines = _lines(spark, sf).select("image", "r", F.col("bands")[0].alias("re"), F.col("bands")[1].alias("im"))
     out = fft2(lines, block=3).select("image", "r", F.posexplode(F.arrays_zip("re", "im")).alias("c", "z"))
     return out.select("image", "r", "c", (F.round("z.re", 4) + 0).alias("re"), (F.round("z.im", 4) + 0).alias("im"))
+
+
+@query("q_register_grid", "select a * 5 + b as point, (a * 16 + 12)::double as r, (b * 16 + 12)::double as c, 5e0 as dr, 2e0 as dc, 1e0 as peak from range(0, 5) x(a), range(0, 5) y(b), (select count(*) from lineitem) n")
+def q_register_grid(spark, sf):
+    """Shifts of a grid of points between prices laid out as an image and the same image moved by 5 rows and 2 columns."""
+    from slantframe.operators.registration import register
+
+    side = 96
+    cell = v.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % side).cast("int").alias("r"), (F.col("l_partkey") % side).cast("int").alias("c")).agg(F.sum("l_extendedprice").cast("double").alias("v"))
+    grid = spark.range(side * side).select((F.col("id") / side).cast("int").alias("r"), (F.col("id") % side).cast("int").alias("c"))
+    fixed = grid.join(cell, ["r", "c"], "left").select("r", "c", F.coalesce("v", F.lit(0.0)).alias("value"))
+    moving = fixed.select(F.pmod(F.col("r") + 5, F.lit(side)).alias("r"), F.pmod(F.col("c") + 2, F.lit(side)).alias("c"), (F.col("value") * 2 + 1).alias("value"))
+    out = register(fixed, moving, (side, side), spacing=16, half=8, reach=8)
+    return out.select("point", "r", "c", (F.round("dr", 2) + 0).alias("dr"), (F.round("dc", 2) + 0).alias("dc"), F.round("peak", 3).alias("peak"))
