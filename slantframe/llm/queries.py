@@ -81,9 +81,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, threshold=0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-#: The rules of op9, and the share of tracked urls from which on a host is listed (and blocked where no rule fits).
+#: The rules of op9. Where none fits, hosts that track more of their urls than all pages together are blocked.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-TRACKED = 0.375
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +90,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slantframe.llm.url_filter import Rule, judge_urls, tracked_hosts
 
     pages = _table(spark, sf_dir, "pages")
-    return judge_urls(pages, [Rule(*r) for r in URL_RULES], tracked_hosts(pages, TRACKED))
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES], tracked_hosts(pages))
 
 
 #: A domain of the corpus is listed if its first label holds one of these words between hyphens.
@@ -110,7 +109,7 @@ OP9_SQL = """
 with rest as (select page_id, url, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
 parsed as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
-listed as (select host from parsed where host <> '' group by host having avg(coalesce(regexp_matches(url, '[?&]utm_'), false)::int) >= {share}),
+listed as (select host from parsed where host <> '' group by host having sum(coalesce(regexp_matches(url, '[?&]utm_'), false)::int) * (select count(*) from parsed) > count(*) * (select sum(coalesce(regexp_matches(url, '[?&]utm_'), false)::int) from parsed)),
 ruled as (select *, case
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
@@ -250,8 +249,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_chat_format": OP6_SQL,
-        "op9_url_filter": OP9_SQL.format(share=TRACKED),
-        "op9_url_filter_domains": OP9_DOMAINS_SQL.format(share=TRACKED, words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
+        "op9_url_filter": OP9_SQL,
+        "op9_url_filter_domains": OP9_DOMAINS_SQL.format(words=", ".join(f"'{w}'" for w in BLOCKED_WORDS)),
         "op11_html": OP11_SQL,
         "op12_merkle": _op12_sql(),
     }

@@ -164,11 +164,13 @@ def worded_hosts(pages: DataFrame, words: Sequence[str]) -> DataFrame:
     return key.where(F.arrays_overlap(F.split(F.substring_index("key", ".", 1), "-", -1), F.array(*[F.lit(w) for w in words])))
 
 
-def tracked_hosts(pages: DataFrame, share: float) -> DataFrame:
-    """(key): the hosts of pages of which at least a share of the urls carry a tracking parameter (utm_...)."""
-    tracked = F.coalesce(F.col("url").rlike("[?&]utm_"), F.lit(False)).cast("int")
-    hosts = pages.select(host_and_path(F.col("url"))[0].alias("key"), tracked.alias("tracked")).groupBy("key").agg(F.avg("tracked").alias("share"))
-    return hosts.where((F.col("key") != "") & (F.col("share") >= share)).select("key")
+def tracked_hosts(pages: DataFrame, times: float = 1.0) -> DataFrame:
+    """(key): the hosts of pages that carry tracking parameters (utm_...) in a larger share of their urls than ``times`` that of all pages."""
+    tracked = F.coalesce(F.col("url").rlike("[?&]utm_"), F.lit(False)).cast("long")
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("key"), tracked.alias("tracked")).groupBy("key").agg(F.sum("tracked").alias("own"), F.count("*").alias("urls"))
+    every = pages.agg(F.sum(tracked), F.count("*")).first()
+    # Whole numbers on both sides, so that equal shares are equal.
+    return hosts.where((F.col("key") != "") & (F.col("own") * F.lit(every[1]) > F.col("urls") * F.lit(every[0] or 0) * F.lit(times))).select("key")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, most_bytes: int = MOST_BYTES, parents: bool = False) -> DataFrame:
