@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slantframe.functions.pixels import clip_cast
+from slantframe.operators.quantiles import quantiles
 
 
 def density(amplitude: Column, mean: Column, dmin: float = 30.0, mmult: float = 40.0, top: float = 255.0) -> Column:
@@ -84,8 +85,10 @@ def _with_statistics(df: DataFrame, image: str, *wanted: str) -> DataFrame:
     """
     a = F.col("amplitude")
     use = F.when(_finite(a), a)
-    stats = {"mean_": F.avg(F.when(_finite(a) & (a != 0), a)), "low_": F.min(use), "high_": F.max(use), "p99_": F.percentile(use, 0.99), "median_": F.percentile(use, 0.5)}
-    return df.join(df.groupBy(image).agg(*(stats[n].alias(n) for n in wanted)), image)
+    stats = {"mean_": F.avg(F.when(_finite(a) & (a != 0), a)), "low_": F.min(use), "high_": F.max(use)}
+    found = df.groupBy(image).agg(*(stats[n].alias(n) for n in wanted if n in stats))
+    shares = {n: x for n, x in {"p99_": 0.99, "median_": 0.5}.items() if n in wanted}
+    return df.join(found.join(quantiles(df, [image], "amplitude", shares), image) if shares else found, image)
 
 
 def _registered(level: Callable[[float], Column], bits: int, *wanted: str) -> Callable[[DataFrame, str], DataFrame]:

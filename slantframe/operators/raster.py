@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slantframe.operators.quantiles import quantiles
+
 
 def check_slice(start: int | None, stop: int | None, step: int | None, size: int) -> tuple[int, int, int]:
     """Bounded (start, stop, step) of an axis of size cells; negative places count from the end.
@@ -72,9 +74,11 @@ def statistics(df: DataFrame, image: str = "image", value: str = "amplitude", qu
     v = F.col(value)
     finite = ~(F.isnan(v) | (F.abs(v) == float("inf"))) & v.isNotNull()
     out = [F.count(F.when(finite, 1)).alias("n"), F.avg(F.when(finite & (v != 0), v)).alias("mean"), F.min(F.when(finite, v)).alias("low"), F.max(F.when(finite, v)).alias("high")]
-    if quantile is not None:
-        out.append(F.percentile(F.when(finite, v), quantile).alias("quantile"))
-    return df.groupBy(image).agg(*out)
+    found = df.groupBy(image).agg(*out)
+    if quantile is None:
+        return found
+    tops = quantiles(df, [image], value, {"quantile": quantile}).withColumnRenamed(image, "image_")
+    return found.join(tops, F.col(image).eqNullSafe(F.col("image_")), "left").drop("image_")
 
 
 def box_sums(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = ("image",), row: str = "r", col: str = "c") -> DataFrame:

@@ -91,9 +91,11 @@ def sampling(pvp: DataFrame, key: str = "channel", least: float = 1.1, warn: flo
 
 
 def within(pvp: DataFrame, limits: DataFrame, column: str, low: str, high: str, key: str = "channel") -> DataFrame:
-    """No value lies outside global limits (one row); detail counts those that do."""
-    met = pvp.crossJoin(F.broadcast(limits.select(low, high).limit(1)))
-    out = met.groupBy(key).agg(F.sum((~F.col(column).between(F.col(low), F.col(high))).cast("int")).alias("n"))
+    """No value lies outside global limits (one row, else an error); detail counts those that do."""
+    found = limits.select(low, high).take(2)
+    if len(found) != 1:
+        raise ValueError(f"{'several' if found else 'no'} rows of limits")
+    out = pvp.groupBy(key).agg(F.sum((~F.col(column).between(F.lit(found[0][0]), F.lit(found[0][1]))).cast("int")).alias("n"))
     return _result(out, key, f"within_{column}", F.col("n") == 0, F.col("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
+from slantframe.operators.quantiles import quantiles
 from slantframe.plans import files, imaging, labelling, metadata, phase_history  # noqa: F401  they register queries
 from slantframe.plans import views as v
 from slantframe.plans.registry import QUERIES, SQL, Query, literal, query, rounded
@@ -526,7 +527,7 @@ def q_fx_fixed(spark, sf):
 @query("q_within_limits", f"with {v.PVP}, g as (select quantile_cont(FX1, 0.1) as lo, quantile_cont(FX1, 0.9) as hi from pvp) select channel as object, 'within_FX1' as rule, 'error' as severity, count(*) filter (FX1 not between lo and hi) = 0 as passed, (count(*) filter (FX1 not between lo and hi))::double as detail from pvp, g group by channel")
 def q_within_limits(spark, sf):
     p = v.pvp(spark, sf)
-    limits = p.agg(F.percentile("FX1", 0.1).alias("lo"), F.percentile("FX1", 0.9).alias("hi"))
+    limits = quantiles(p, [], "FX1", {"lo": 0.1, "hi": 0.9})
     return rules.within(p, limits, "FX1", "lo", "hi")
 
 
