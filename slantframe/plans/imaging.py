@@ -174,6 +174,24 @@ def q_polynomial_fit(spark, sf):
     return out.withColumn("coefficient", F.round("coefficient", 5) + 0)
 
 
+_RATIONAL = {"numerator": {(0, 0): 1.5, (1, 0): 0.25, (0, 1): -0.5, (2, 0): 0.0, (1, 1): 0.125, (0, 2): 0.0}, "denominator": {(0, 0): 1.0, (1, 0): 0.02, (0, 1): 0.03}}
+
+
+@query("q_rational_fit", " union all ".join(f"select k::int as image, '{part}' as part, {a} as i, {b} as j, {x!r}::double{' + k' if (part, a, b) == ('numerator', 0, 0) else ''} as coefficient from (select distinct o_custkey % 4 as k from orders)" for part, terms in _RATIONAL.items() for (a, b), x in terms.items()))
+def q_rational_fit(spark, sf):
+    """Quotients of polynomials in two variables found again from their values."""
+    o = v.table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("int").alias("image"), (F.col("o_orderkey") % 97 / F.lit(16.0)).alias("u"), (F.col("o_custkey") % 31 / F.lit(8.0)).alias("w"))
+    value = lambda terms: sum((F.lit(x) * F.pow("u", F.lit(float(a))) * F.pow("w", F.lit(float(b))) for (a, b), x in terms.items()), F.lit(0.0))
+    df = o.withColumn("z", (value(_RATIONAL["numerator"]) + F.col("image")) / value(_RATIONAL["denominator"]))
+    found = fits.fit_rational(df, "image", "u", "w", "z", 2, 1)
+    parts = []
+    for part in _RATIONAL:
+        terms = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in fits.powers(2 if part == "numerator" else 1)])
+        one = found.select("image", "scale_x", "scale_y", F.inline(F.arrays_zip(terms.alias("p"), F.col(part).alias("x"))))
+        parts.append(one.select("image", F.lit(part).alias("part"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), (F.round(F.col("x") / F.pow("scale_x", F.col("p.i").cast("double")) / F.pow("scale_y", F.col("p.j").cast("double")), 5) + 0).alias("coefficient")))
+    return parts[0].unionAll(parts[1])
+
+
 # --- geoid ---------------------------------------------------------------------------
 
 _GEOID = "g as (select x::int as ix, y::int as iy, 30 * sin(radians(y * 10 - 90)) * cos(radians(x * 10)) + 5 as elev from range(0, 36) a(x), range(0, 19) b(y))"
