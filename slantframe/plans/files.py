@@ -119,3 +119,14 @@ def q_register_grid(spark, sf):
     moving = fixed.select(F.pmod(F.col("r") + 5, F.lit(side)).alias("r"), F.pmod(F.col("c") + 2, F.lit(side)).alias("c"), (F.col("value") * 2 + 1).alias("value"))
     out = register(fixed, moving, (side, side), spacing=16, half=8, reach=8)
     return out.select("point", "r", "c", (F.round("dr", 2) + 0).alias("dr"), (F.round("dc", 2) + 0).alias("dc"), F.round("peak", 3).alias("peak"))
+
+
+@query(
+    "q_pyramid",
+    f"with {v.AMP}, k as (select unnest(range(0, 6))::int as level) select image, level, (r::bigint >> level) // 8 as tile_r, (c::bigint >> level) // 8 as tile_c, r::bigint >> level as r, c::bigint >> level as c, round(avg(amplitude), 6) as amplitude from amp, k group by 1, 2, 3, 4, 5, 6",
+)
+def q_pyramid(spark, sf):
+    """Six levels of four images of 256 rows, in tiles of eight."""
+    from slantframe.operators.pyramid import pyramid
+
+    return pyramid(v.amplitude(spark, sf), 8).withColumn("amplitude", F.round("amplitude", 6))
