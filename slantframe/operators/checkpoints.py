@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -18,3 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set")
         context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="slantframe-"))
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, and nothing is worked out twice (a checkpoint works it out for its count and for its files)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

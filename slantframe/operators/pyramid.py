@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slantframe.operators.checkpoints import ensure_checkpoint_dir
+from slantframe.operators.checkpoints import saved
 
 
 def pyramid(pixels: DataFrame, tile: int = 256, value: str = "amplitude", keys: tuple[str, ...] = ("image",)) -> DataFrame:
@@ -18,17 +18,16 @@ def pyramid(pixels: DataFrame, tile: int = 256, value: str = "amplitude", keys:
     Nulls and values that aren't finite take no part; cells without pixels
     have no row; several pixels of a cell count each.
     """
-    ensure_checkpoint_dir(pixels.sparkSession)
     v = F.col(value).cast("double")
     known = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    level = known.groupBy(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).agg(F.sum(v).alias("sum_"), F.count("*").alias("n_")).checkpoint()
+    level = saved(known.groupBy(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).agg(F.sum(v).alias("sum_"), F.count("*").alias("n_")))
     size = level.agg(F.max(F.greatest("r", "c"))).first()[0]
     if level.where((F.col("r") < 0) | (F.col("c") < 0)).take(1):
         raise ValueError("rows and columns begin at 0")
     levels = [level]
     while size is not None and size >= tile:
         half = lambda x: F.floor(F.col(x) / 2).alias(x)
-        level = level.groupBy(*keys, half("r"), half("c")).agg(F.sum("sum_").alias("sum_"), F.sum("n_").alias("n_")).checkpoint()
+        level = saved(level.groupBy(*keys, half("r"), half("c")).agg(F.sum("sum_").alias("sum_"), F.sum("n_").alias("n_")))
         levels.append(level)
         size //= 2
     at = lambda x: F.floor(F.col(x) / tile)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slantframe.operators.checkpoints import ensure_checkpoint_dir
+from slantframe.operators.checkpoints import saved
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -19,10 +19,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str,
     task holds a group's values.  Nulls and values that aren't finite take no
     part; a group without values has no row, and a null key is a group.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     v = F.col(value).cast("double")
     counts = df.select(*keys, v.alias("v_")).where(F.col("v_").isNotNull() & ~F.isnan("v_") & (F.abs("v_") < float("inf"))).groupBy(*keys, "v_").agg(F.count("*").alias("n_"))
-    dealt = counts.repartitionByRange(*keys, "v_").withColumn("range_", F.spark_partition_id()).checkpoint()
+    dealt = saved(counts.repartitionByRange(*keys, "v_").withColumn("range_", F.spark_partition_id()))
     sums = dealt.groupBy(*keys, "range_").agg(F.sum("n_").alias("held_"))
     ordered = Window.partitionBy(*keys).orderBy("range_")
     before = sums.select(*(F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)), F.col("range_").alias("at_"), F.coalesce(F.sum("held_").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("held_").over(Window.partitionBy(*keys)).alias("all_"))

@@ -7,13 +7,14 @@ what the first one found; a task holds the windows of one point.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slantframe.operators.checkpoints import saved
 from slantframe.operators.ortho import source_tiles
 
 TILE = 128
@@ -117,25 +118,20 @@ def vote(shifts: DataFrame, around: float, tolerance: float, share: float = 0.5,
     return shifts.join(votes, "point", "left").withColumn("good", F.coalesce((F.col("agree") >= share) & (F.col("peak") >= least), F.lit(False))).drop("agree")
 
 
-def register(fixed: DataFrame, moving: DataFrame, shape: tuple[int, int], spacing: int = 64, half: int = 16, reach: int = 24, fine_reach: int = 3, coarse: int = 4, tolerance: float = 1.0, tile: int = TILE, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def register(fixed: DataFrame, moving: DataFrame, shape: tuple[int, int], spacing: int = 64, half: int = 16, reach: int = 24, fine_reach: int = 3, coarse: int = 4, tolerance: float = 1.0, tile: int = TILE) -> DataFrame:
     """(point, r, c, dr, dc, peak, good) on a grid: a cell (r, c) of fixed lies at (r + dr, c + dc) of moving.
 
     fixed and moving are (r, c, value).  The first pass has a point for
     ``coarse`` of the grid's in each axis and looks ``reach`` cells around;
     its good points' median near each point of the grid, or of all of them, is
     where the second pass looks, ``fine_reach`` cells around.  Points whose
-    windows leave an image have no row.  save writes a table and reads it
-    again (by default a checkpoint).
+    windows leave an image have no row.
     """
-    from slantframe.operators.checkpoints import ensure_checkpoint_dir
-
     spark = fixed.sparkSession
-    ensure_checkpoint_dir(spark)
-    save = save or (lambda df: df.checkpoint())
     margin = half + fine_reach + 1
     points = grid_points(spark, shape, spacing, margin)
     wide = grid_points(spark, shape, spacing * coarse, min(half + reach + 1, max(1, min(shape) // 2 - 1)))
-    first = save(vote(_matched(wide.withColumns({"guess_r": F.lit(0), "guess_c": F.lit(0)}), fixed, moving, half, reach, tile), spacing * coarse * 1.5, tolerance))
+    first = saved(vote(_matched(wide.withColumns({"guess_r": F.lit(0), "guess_c": F.lit(0)}), fixed, moving, half, reach, tile), spacing * coarse * 1.5, tolerance))
     good = first.where("good")
     middle = good.agg(F.median("dr"), F.median("dc")).first()
     if middle[0] is None:
@@ -149,4 +145,4 @@ def register(fixed: DataFrame, moving: DataFrame, shape: tuple[int, int], spacin
     local = around.groupBy("cell_r", "cell_c").agg(F.median("dr").alias("near_r"), F.median("dc").alias("near_c"))
     guessed = points.withColumns({"cell_r": cell("r"), "cell_c": cell("c")}).join(local, ["cell_r", "cell_c"], "left")
     guessed = guessed.withColumns({"guess_r": F.round(F.coalesce("near_r", F.lit(middle[0]))), "guess_c": F.round(F.coalesce("near_c", F.lit(middle[1])))})
-    return vote(save(_matched(guessed, fixed, moving, half, fine_reach, tile)), spacing * 1.5, tolerance)
+    return vote(saved(_matched(guessed, fixed, moving, half, fine_reach, tile)), spacing * 1.5, tolerance)

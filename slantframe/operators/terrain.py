@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slantframe.functions.projection import _mapped, by_scene, numbers, packed
 from slantframe.functions.scenes import geodetic
-from slantframe.operators.checkpoints import ensure_checkpoint_dir
+from slantframe.operators.checkpoints import saved
 
 #: Posts of a tile's side, and pixels that share a copy of a tile.
 TILE, CROWD = 256, 20_000
@@ -73,9 +73,8 @@ def image_to_dem(df: DataFrame, posts: DataFrame, grid: PostGrid, heights: tuple
         u, w = grid.at(image.to_height(row, col, np.full(len(row), float(low))))
         return [np.floor(x / tile), np.floor(y / tile), np.maximum(np.abs(x - u), np.abs(y - w))]
 
-    ensure_checkpoint_dir(df.sparkSession)
     pixels = _mapped(df, ["row", "col"], ["tx", "ty", "reach"], ends).where("reach is not null")
-    pixels = pixels.select(F.col(key), F.col("row").cast("double"), F.col("col").cast("double"), packed(pixels).alias("scene"), F.col("tx").cast("int"), F.col("ty").cast("int"), "reach").checkpoint()
+    pixels = saved(pixels.select(F.col(key), F.col("row").cast("double"), F.col("col").cast("double"), packed(pixels).alias("scene"), F.col("tx").cast("int"), F.col("ty").cast("int"), "reach"))
     halo = int(1.05 * (pixels.agg(F.max("reach")).first()[0] or 0)) + 3
     copies = pixels.groupBy("tx", "ty").agg(F.ceil(F.count("*") / crowd).cast("int").alias("copies"))
     spread = pixels.join(copies, ["tx", "ty"]).withColumn("copy", F.pmod(F.xxhash64(key, "row", "col"), F.col("copies")).cast("int"))

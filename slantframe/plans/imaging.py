@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slantframe.functions import collection, geodesy, projection, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import elevation, fits, spectral, terrain
+from slantframe.operators.checkpoints import saved
 from slantframe.plans import views as v
 from slantframe.plans.registry import literal, query, rounded
 
@@ -122,7 +123,7 @@ def q_image_to_dem(spark, sf):
     """Pixels on uneven terrain have the terrain's height, their pixel's range and its rate, and lie on the scene's side of the track."""
     df = _pixels(spark, sf)
     met = terrain.image_to_dem(df, _posts(spark), terrain.PostGrid(-0.2, -0.2, 0.01, 0.01), (0.0, 350.0, 26))
-    placed = geodesy.ecf_to_geodetic(_residuals(df.join(met, "id"), "at"), "at")
+    placed = saved(geodesy.ecf_to_geodetic(_residuals(df.join(met, "id"), "at"), "at"))
     gx, gy = (F.col("lon") + 0.2) * 100, (F.col("lat") + 0.2) * 100
     ground = elevation.bilinear(placed.select(F.col("id").alias("pt_id"), gx.alias("gx"), gy.alias("gy")), _posts(spark))
     out = placed.join(ground.withColumnRenamed("pt_id", "id"), "id")
