@@ -9,6 +9,8 @@ scp_row, scp_col, first_row, first_col, row_ss, col_ss   pixel of the scene cent
 time_coa        rows of coefficients over row and column metres
 arp_px, arp_py, arp_pz    antenna place as polynomials of time
 polar_angle, freq_scale   PFA;  az_sf: RGAZCOMP;  r_ca, time_ca, drate_sf: INCA
+delta_arp, delta_varp, range_bias   adjustments, which may be missing, in the axes
+                that delta_frame names (ECF, RIC_ECF or RIC_ECI)
 
 Iterations end when what is missing is below a tolerance, which rows reach at
 different times, so they run over Arrow batches, an image's rows of a batch at
@@ -31,7 +33,8 @@ from slantframe.functions.scenes import Scene
 
 #: Columns of the metadata that the functions read.
 VECTORS = ("scp", "urow", "ucol", "normal")
-METADATA = ("kind", *(f"{v}_{a}" for v in VECTORS for a in "xyz"), "scp_row", "scp_col", "first_row", "first_col", "row_ss", "col_ss", "time_coa", "arp_px", "arp_py", "arp_pz", "polar_angle", "freq_scale", "az_sf", "r_ca", "time_ca", "drate_sf")
+ADJUSTMENTS = (*(f"{v}_{a}" for v in ("delta_arp", "delta_varp") for a in "xyz"), "range_bias")
+METADATA = ("kind", *ADJUSTMENTS, "delta_frame", *(f"{v}_{a}" for v in VECTORS for a in "xyz"), "scp_row", "scp_col", "first_row", "first_col", "row_ss", "col_ss", "time_coa", "arp_px", "arp_py", "arp_pz", "polar_angle", "freq_scale", "az_sf", "r_ca", "time_ca", "drate_sf")
 
 
 def packed(df: DataFrame) -> Column:

@@ -130,6 +130,49 @@ def q_image_to_dem(spark, sf):
     return out.select("id", "range_off", "rate_off", "side", (F.round(F.col("hae") - F.col("elev"), 2) + 0).alias("height_off"))
 
 
+# --- adjustment ----------------------------------------------------------------------
+
+#: Along the axis away from the earth's, three tracks that see one scene from different sides.
+_TRACKS = (3e5, -2e5, 6e5)
+
+
+def stereo_images(spark) -> DataFrame:
+    """Three images of the scene on a plane, from three tracks."""
+    track = F.element_at(literal(_TRACKS), F.col("id").cast("int") + 1)
+    near = F.hypot(F.lit(5e5), F.col("track"))
+    own = {"urow_x": -5e5 / near, "urow_y": -F.col("track") / near, "arp_py": F.array("track")}
+    values = {**_VALUES, **{k: x for k, x in _ARRAYS.items() if k in ("time_coa", "arp_px", "arp_pz")}}
+    rest = [literal(x).alias(k) if isinstance(x, list) else F.lit(x).alias(k) for k, x in values.items() if k not in own]
+    return spark.range(3).select(F.col("id").cast("int").alias("image"), F.lit("PLANE").alias("kind"), track.alias("track"), *rest).withColumns(own).drop("track")
+
+
+@query("q_sensor_adjustment", "select (o_custkey % 4)::int as image, count(*) as n, 12.5::double * (1 + any_value(o_custkey % 4)) as along_row, -7.25::double as along_col, 0e0 as residue from orders group by 1")
+def q_sensor_adjustment(spark, sf):
+    """Sensors planted off their place along each image's axes, found again from places that pixels show."""
+    from slantframe.operators.adjustment import adjust_sensors
+
+    images = _images(spark)
+    planted = {f"delta_arp_{a}": F.col(f"urow_{a}") * ((F.col("image") + 1) * 12.5) - F.col(f"ucol_{a}") * 7.25 for a in "xyz"}
+    df = _pixels(spark, sf).withColumns({**planted, "height": (F.col("id") % 50 * 10).cast("double")})
+    points = saved(projection.image_to_hae(df, "height", "place").select("image", "row", "col", "place_x", "place_y", "place_z"))
+    out = adjust_sensors(points, images, unknowns=("row", "col")).join(images, "image")
+    shift = Vec.of("delta_arp")
+    return out.select("image", "n", (F.round(shift.dot(Vec.of("urow")), 2) + 0).alias("along_row"), (F.round(shift.dot(Vec.of("ucol")), 2) + 0).alias("along_col"), (F.round("residue", 6) + 0).alias("residue"))
+
+
+@query("q_locate_features", "select c_custkey as feature, 3::bigint as n, 0e0 as off, 0e0 as residue from customer")
+def q_locate_features(spark, sf):
+    """Places of customers, seen in three images, found again from their pixels."""
+    from slantframe.operators.adjustment import locate_features
+
+    k = F.col("c_custkey")
+    truth = v.table(spark, sf, "customer").select(k.alias("feature"), (6378137.0 + k % 5 * 30).alias("place_x"), (k % 17 * 40.0 - 300).alias("place_y"), (k % 23 * 25.0 - 250).alias("place_z"))
+    seen = projection.ground_to_image(truth.withColumn("image", F.explode(F.array(*map(F.lit, range(3))))).join(stereo_images(spark), "image"), "place").drop("place_x", "place_y", "place_z")
+    found = locate_features(saved(seen)).join(truth.withColumnsRenamed({f"place_{a}": f"true_{a}" for a in "xyz"}), "feature")
+    off = (Vec.of("place") - Vec.of("true")).norm()
+    return found.select("feature", "n", (F.round(off, 1) + 0).alias("off"), (F.round("residue", 2) + 0).alias("residue"))
+
+
 # --- signals -------------------------------------------------------------------------
 
 _COMPLEX = "s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), h as (select vec_id, i, x as re, x * ((i % 5) - 2) as im from s)"
