@@ -82,6 +82,16 @@ def frames(size: int, count: int, fraction: float = 1.0, fill: float = 1.0) -> l
     return [(first + k * step, first + k * step + width) for k in range(count)]
 
 
+def frame_spans(size: Column, count: Column, fraction: Column, fill: Column) -> Column:
+    """``frames`` of each row: an array of (start, stop)."""
+    first = F.bround((size - size / fill) / 2, 0).cast("int")
+    filled = size - 2 * first
+    width = F.ceil(fraction * filled).cast("int")
+    step = F.when(count > 1, F.floor((filled - width) / (count - 1)).cast("int")).otherwise(0)
+    at = lambda k: (first + k * step).cast("int")
+    return F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: F.struct(at(k).alias("start"), (at(k) + width).cast("int").alias("stop")))
+
+
 def subaperture(df: DataFrame, vector: str, key: str, count: int, fraction: float = 0.5) -> DataFrame:
     """(key, frame, power): spectra cut into frames and transformed back, as mean power."""
     kind = df.schema[key].dataType.simpleString()

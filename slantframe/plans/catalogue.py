@@ -389,11 +389,9 @@ def q_segment_distance(spark, sf):
 
 @query("q_segment_intersect", f"with {v.RINGS}, p as (select a.ring, a.x0 as ax, a.y0 as ay, a.x1 as bx, a.y1 as b_y, b.x0 as cx, b.y0 as cy, b.x1 as dx, b.y1 as dy from edges a join edges b on a.ring = b.ring and a.vtx < b.vtx), s as (select ring, sign((bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax)) * sign((bx-ax)*(dy-ay)-(b_y-ay)*(dx-ax)) as u, sign((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) * sign((dx-cx)*(b_y-cy)-(dy-cy)*(bx-cx)) as t from p) select ring, count(*) as crossings from s where u < 0 and t <= 0 or u <= 0 and t < 0 group by ring")
 def q_segment_intersect(spark, sf):
-    e = planar.edges(v.rings(spark, sf))
-    a = e.select("ring", F.col("vtx").alias("i"), *(F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("ax", "ay", "bx", "by"))))
-    b = e.select("ring", F.col("vtx").alias("j"), *(F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("cx", "cy", "dx", "dy"))))
-    cross = planar.segments_cross(*(F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")))
-    return a.join(b, "ring").where("i < j").where(cross).groupBy("ring").agg(F.count("*").alias("crossings"))
+    from slantframe.operators.crossings import crossings
+
+    return crossings(planar.edges(v.rings(spark, sf))).groupBy("ring").agg(F.sum("pairs").alias("crossings"))
 
 
 # --- elevation -----------------------------------------------------------------------
@@ -473,11 +471,11 @@ def q_dft_spectrum(spark, sf):
     return rounded(df.select("vec_id", F.posexplode("power").alias("k", "power")), 5, "power")
 
 
-@query("q_window_taper", "select n.n, i::int as i, round(0.54::double - 0.46::double * cos(2 * pi() * i / (n.n - 1)), 7) as weight from (values (16), (33), (64)) n(n), lateral (select unnest(range(0, n.n)) as i)")
+@query("q_window_taper", "with s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings) select vec_id, i::int as i, round(x * (0.54::double - 0.46::double * cos(2 * pi() * i / 63)), 7) + 0 as value from s")
 def q_window_taper(spark, sf):
-    sizes = spark.createDataFrame([(16,), (33,), (64,)], "n int")
-    df = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return df.withColumn("weight", F.round(spectral.taper("hamming", F.col("i"), F.col("n")), 7))
+    """Vectors under a window."""
+    df = v.table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.posexplode("embedding").alias("i", "x"))
+    return df.select("vec_id", "i", (F.round(F.col("x").cast("double") * spectral.taper("hamming", F.col("i"), F.col("n")), 7) + 0).alias("value"))
 
 
 _CUT = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(((0, 32), (16, 48), (32, 64))))
@@ -602,3 +600,18 @@ def q_pulse_windows(spark, sf):
 
     e = v.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
     return rounded(pulse_windows(e), 6, "mean", "low", "high").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "q_stream_frames",
+    f"""with {v.PVP}, q as (select channel, vector - 1 as pulse, FX1 as re, FX2 - FX1 as im from pvp where channel is not null), f as (select channel, unnest(range(greatest((pulse - 8 + 4) // 4, 0), pulse // 4 + 1)) as frame, pulse, re, im from q),
+ g as (select channel, frame, pulse - frame * 4 as k, re, im from f where pulse between frame * 4 and frame * 4 + 7), l as (select unnest(range(0, 8)) as line)
+ select channel, frame, line::int as line, count(*)::int as n, count(*) = 8 as complete, round(sum(re * cos(2 * pi() * k * (line - 4) / 8) + im * sin(2 * pi() * k * (line - 4) / 8)), 5) + 0 as re, round(sum(im * cos(2 * pi() * k * (line - 4) / 8) - re * sin(2 * pi() * k * (line - 4) / 8)), 5) + 0 as im from g, l group by 1, 2, 3""",
+)
+def q_stream_frames(spark, sf):
+    """Doppler lines of frames of eight pulses, four apart."""
+    from slantframe.streaming.frames import frames
+
+    p = v.pvp(spark, sf).select("channel", (F.col("vector").cast("long") - 1).alias("pulse"), F.array("FX1").alias("re"), F.array(F.col("FX2") - F.col("FX1")).alias("im"))
+    out = frames(p, 8, 4, block=256)
+    return out.select("channel", "frame", "line", "n", "complete", *((F.round(F.col(c)[0], 5) + 0).alias(c) for c in ("re", "im")))

@@ -199,12 +199,13 @@ def q_ifft_round_trip(spark, sf):
     return out.select("vec_id", "i", (F.round("z.re", 6) + 0).alias("re"), (F.round("z.im", 6) + 0).alias("im"))
 
 
-@query("q_subaperture_frames", "with f(size, count, fraction, fill) as (values (101, 3, 0.5e0, 1e0), (256, 7, 0.2e0, 1.25e0), (64, 1, 0.9e0, 1e0), (1000, 4, 0.25e0, 1.1e0)), e as (select *, round_even((size - size / fill) / 2, 0)::int as edge from f), g as (select *, size - 2 * edge as filled, ceil(fraction * (size - 2 * edge))::int as width from e) select size, k::int as frame, (edge + k * if(count = 1, 0, (filled - width) // (count - 1)))::int as start, (edge + k * if(count = 1, 0, (filled - width) // (count - 1)) + width)::int as stop from g, lateral (select unnest(range(0, count)) as k)")
+@query("q_subaperture_frames", "with f as (select s_suppkey as id, 60 + s_suppkey % 200 as size, 1 + s_suppkey % 7 as count, 0.1::double + 0.05::double * (s_suppkey % 11) as fraction, 1 + 0.25::double * (s_suppkey % 3) as fill from supplier), e as (select *, round_even((size - size / fill) / 2, 0)::int as edge from f), g as (select *, size - 2 * edge as filled, ceil(fraction * (size - 2 * edge))::int as width from e) select id, k::int as frame, (edge + k * if(count = 1, 0, (filled - width) // (count - 1)))::int as start, (edge + k * if(count = 1, 0, (filled - width) // (count - 1)) + width)::int as stop from g, lateral (select unnest(range(0, count)) as k)")
 def q_subaperture_frames(spark, sf):
     """Frames of several lengths, counts, fractions and fills."""
-    cases = ((101, 3, 0.5, 1.0), (256, 7, 0.2, 1.25), (64, 1, 0.9, 1.0), (1000, 4, 0.25, 1.1))
-    rows = [(size, k, *frame) for size, count, fraction, fill in cases for k, frame in enumerate(spectral.frames(size, count, fraction, fill))]
-    return spark.createDataFrame(rows, "size int, frame int, start int, stop int")
+    k = F.col("s_suppkey")
+    one = lambda size, count, fraction, fill: spectral.frame_spans(size, count, fraction, fill)
+    out = v.table(spark, sf, "supplier").select(k.alias("id"), one(60 + k % 200, 1 + k % 7, 0.1 + F.lit(0.05) * (k % 11), 1 + F.lit(0.25) * (k % 3)).alias("f"))
+    return out.select("id", F.posexplode("f").alias("frame", "f")).select("id", "frame", "f.start", "f.stop")
 
 
 @query("q_polynomial_fit", "select k::int as image, i::int as i, j::int as j, round([[1.5, -0.25, 0], [k + 0.125, 0.5, 0], [0, 0, -0.0625]][i + 1][j + 1]::double, 5) + 0 as coefficient from range(0, 4) a(k), range(0, 3) b(i), range(0, 3) c(j)")
@@ -266,28 +267,29 @@ def q_polarization(spark, sf):
 # --- windows -------------------------------------------------------------------------
 
 
-def _samples(spark) -> DataFrame:
-    sizes = spark.createDataFrame([(16,), (33,), (64,)], "n int")
-    return sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def _samples(spark, sf) -> DataFrame:
+    """Samples of the vectors; windows are as long as a vector."""
+    e = v.table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.posexplode("embedding").alias("i", "x"))
+    return e.withColumn("x", F.col("x").cast("double"))
 
 
-_SIZES = "(values (16), (33), (64)) n(n), lateral (select unnest(range(0, n.n)) as i)"
+_SAMPLES = "s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings)"
 
 
 @query(
     "q_window_taylor",
-    f"""with a as (select acosh(10e0 ** 1.5::double) / pi() as a), s as (select a, 16 / (a * a + 12.25::double) as sp from a),
- f as (select m, (case when m % 2 = 1 then 1 else -1 end) * list_product(list_transform([1, 2, 3], lambda k: 1 - m * m / (sp * (a * a + (k - 0.5::double) ** 2)))) / (2 * list_product(list_transform(list_filter([1, 2, 3], lambda k: k <> m), lambda k: 1 - m * m / (k * k)::double))) as f from s, (values (1), (2), (3)) t(m)),
- w as (select n.n, i, 1 + 2 * sum(f * cos(2 * pi() * m * (i - n.n / 2e0 + 0.5::double) / n.n)) as w, 1 + 2 * sum(f) as top from {_SIZES}, f group by 1, 2)
- select n, i::int as i, round(w / top, 8) as weight from w""",
+    f"""with a as (select acosh(10e0 ** 1.5::double) / pi() as a), h as (select a, 16 / (a * a + 12.25::double) as sp from a),
+ f as (select m, (case when m % 2 = 1 then 1 else -1 end) * list_product(list_transform([1, 2, 3], lambda k: 1 - m * m / (sp * (a * a + (k - 0.5::double) ** 2)))) / (2 * list_product(list_transform(list_filter([1, 2, 3], lambda k: k <> m), lambda k: 1 - m * m / (k * k)::double))) as f from h, (values (1), (2), (3)) t(m)),
+ w as (select i, (1 + 2 * sum(f * cos(2 * pi() * m * (i - 32 + 0.5::double) / 64))) / (1 + 2 * sum(f)) as w from (select unnest(range(0, 64)) as i), f group by 1), {_SAMPLES}
+ select vec_id, i::int as i, round(x * w, 7) + 0 as value from s join w using (i)""",
 )
 def q_window_taylor(spark, sf):
-    return _samples(spark).withColumn("weight", F.round(spectral.taylor(F.col("i"), F.col("n")), 8))
+    return _samples(spark, sf).select("vec_id", "i", (F.round(F.col("x") * spectral.taylor(F.col("i"), F.col("n")), 7) + 0).alias("value"))
 
 
-@query("q_window_kaiser", f"with x as (select n.n, i, (14e0 / 2) ** 2 * (1 - (2e0 * i / (n.n - 1) - 1) ** 2) as q from {_SIZES}), y as (select n, i, list_sum(list_transform(range(0, 31), lambda k: q ** k / factorial(k::int)::double ** 2)) as b, list_sum(list_transform(range(0, 31), lambda k: 49e0 ** k / factorial(k::int)::double ** 2)) as top from x) select n, i::int as i, round(b / top, 8) + 0 as weight from y")
+@query("q_window_kaiser", f"with x as (select i, 49 * (1 - (2e0 * i / 63 - 1) ** 2) as q from (select unnest(range(0, 64)) as i)), w as (select i, list_sum(list_transform(range(0, 31), lambda k: q ** k / factorial(k::int)::double ** 2)) / list_sum(list_transform(range(0, 31), lambda k: 49e0 ** k / factorial(k::int)::double ** 2)) as w from x), {_SAMPLES} select vec_id, i::int as i, round(x * w, 7) + 0 as value from s join w using (i)")
 def q_window_kaiser(spark, sf):
-    return _samples(spark).withColumn("weight", F.round(spectral.kaiser(F.col("i"), F.col("n"), 14.0), 8) + 0)
+    return _samples(spark, sf).select("vec_id", "i", (F.round(F.col("x") * spectral.kaiser(F.col("i"), F.col("n"), 14.0), 7) + 0).alias("value"))
 
 
 # --- labels and documents ------------------------------------------------------------
