@@ -43,9 +43,9 @@ def scene_geometry(df: DataFrame, scp: str = "scp", arp: str = "arp", vel: str =
     spz, gpx, north = Vec.of("spz_"), Vec.of("gpx_"), Vec.of("north_")
     gpy, east = etp.cross(gpx), north.cross(etp)
     ground = etp - spz * etp.dot(spz)
-    out = (etp - ulos * (1.0 / ulos.dot(etp))).attach(out, "sh_")
+    out = (etp - ulos * (1.0 / F.nullif(ulos.dot(etp), F.lit(0.0)))).attach(out, "sh_")
     sh = Vec.of("sh_")
-    out = (sh - spz * (sh.dot(etp) / spz.dot(etp))).attach(out, "shp_")
+    out = (sh - spz * (sh.dot(etp) / F.nullif(spz.dot(etp), F.lit(0.0)))).attach(out, "shp_")
     shp = Vec.of("shp_")
     ua, uv = a.unit(), v.unit()
     along, across = (uv - ua * uv.dot(ua)).unit(), (ulos - ua * ulos.dot(ua)).unit()
@@ -55,7 +55,7 @@ def scene_geometry(df: DataFrame, scp: str = "scp", arp: str = "arp", vel: str =
         F.when(look < 0, "R").otherwise("L").alias("side_of_track"),
         los.norm().alias("slant_range"),
         (s.norm() * F.acos(s.unit().dot(ua))).alias("ground_range"),
-        (los.norm() / v.norm()).alias("rov"),
+        (los.norm() / F.nullif(v.norm(), F.lit(0.0))).alias("rov"),
         _angle(uv.dot(ulos)).alias("doppler_cone"),
         graze.alias("graze"),
         (90 - graze).alias("incidence"),

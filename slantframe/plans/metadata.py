@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slantframe.functions import values
 from slantframe.functions.vectors import Vec
 from slantframe.plans import views as v
-from slantframe.plans.registry import query, rounded
+from slantframe.plans.registry import literal, query, rounded
 
 _TEXTS = "['true', '0', ' False', '1', 'yes', '12', '-7.9', '1e3', 'x', '']"
 
@@ -96,3 +96,33 @@ def q_radial_frame(spark, sf):
 def q_image_corners(spark, sf):
     s = F.col("s_suppkey")
     return v.table(spark, sf, "supplier").select(s.alias("image"), F.inline(values.corners(100 + s, 50 + s)))
+
+
+_DERIVED = """with o as (select o_orderkey as id, o_orderkey as k, o_custkey % 4 as a, (o_orderkey % 5)::double as t, (o_custkey % 3)::double as ca, 1 + (o_orderkey % 3) * 0.25::double as bw, 2 * (9.6e9 + (o_orderkey % 10) * 1e7) / 299792458 as k0 from orders),
+ s as (select *, case when a = 3 then ca else t end as u, 6378137 - (6878137 - 2 * t * t) as lx, -300000e0 as ly, 14000 - 7000 * t as lz, -4 * t as vx, 7000e0 as vz from o),
+ r as (select *, sqrt(lx * lx + ly * ly + lz * lz) as n, sqrt(vx * vx + vz * vz) as v, 6378137 - (6878137 - 2 * u * u) as sx, 14000 - 7000 * u as sz from s),
+ d as (select *, (lx * vx + lz * vz) / (n * v) as cone, sqrt(sx * sx + ly * ly + sz * sz) as far, sqrt((vz * ly) ** 2 + (vz * lx - vx * lz) ** 2 + (vx * ly) ** 2) as cr from r),
+ e as (select *, case when a = 1 then lx / n - cone * vx / v else sx / far end as ex, case when a = 1 then ly / n else ly / far end as ey, case when a = 1 then lz / n - cone * vz / v else sz / far end as ez from d),
+ h as (select 0.54::double - 0.46::double * cos(2 * pi() * i / 511) as w from range(0, 512) x(i)), f as (select avg(w * w) / avg(w) ** 2 as f from h)
+ select id, t as scp_time, round(ex / sqrt(ex * ex + ey * ey + ez * ez), 8) as ux, round(ey / sqrt(ex * ex + ey * ey + ez * ez), 8) as uy, round(ez / sqrt(ex * ex + ey * ey + ez * ez), 8) + 0 as uz,
+  round(case when a = 1 then k0 * sqrt(1 - cone * cone) else k0 end, 6) as row_kctr, round(case a when 1 then k0 * cone when 2 then k0 else 0 end, 6) + 0 as col_kctr, case when a = 3 then round(far, 4) end as r_ca,
+  -least(bw / 2, 0.625::double) as dk1, least(bw / 2, 0.625::double) as dk2, round((1.5::double + k % 7) * f / (bw * 2), 6) as rcs, round((1.5::double + k % 7) * abs(vz * ly) / cr, 6) as sigma,
+  ['RGAZIM', 'XCTYAT', 'XRGYCR', 'RGZERO'][1 + a] as grid_type from e, f"""
+
+
+@query("q_derive_metadata", _DERIVED)
+def q_derive_metadata(spark, sf):
+    """What image metadata of four algorithms imply: centre of aperture, axes, bands, radiometric factors."""
+    from slantframe.operators.derivation import derive
+
+    k, m = F.col("o_orderkey"), F.col("o_custkey")
+    middle = 9.6e9 + (k % 10) * 1e7
+    meta = {
+        "algorithm": F.element_at(F.array(*map(F.lit, ("RGAZCOMP", "RMAT", "RMCR", "INCA"))), (m % 4 + 1).cast("int")), "time_coa": F.array(F.array((k % 5).cast("double"))), "time_ca": F.array((m % 3).cast("double")),
+        "scp_x": F.lit(6378137.0), "scp_y": F.lit(0.0), "scp_z": F.lit(0.0), "arp_px": literal([6878137, 0, -2]), "arp_py": literal([300000]), "arp_pz": literal([-14000, 7000]), "tx_min": middle - 1e8, "tx_max": middle + 1e8,
+        "row_bw": 1 + (k % 3) * F.lit(0.25), "col_bw": F.lit(2.0), "row_ss": F.lit(0.8), "col_ss": F.lit(0.4), "row_window": F.lit("HAMMING"), "col_window": F.lit("UNIFORM"), "beta_sf": F.array(F.array(F.lit(1.5) + k % 7)),
+    }
+    out = derive(v.table(spark, sf, "orders").select(k.alias("id"), *(x.alias(n) for n, x in meta.items())))
+    out = out.select("id", "scp_time", *(F.col(f"urow_{a}").alias(f"u{a}") for a in "xyz"), "row_kctr", "col_kctr", "r_ca", F.col("row_dk1").alias("dk1"), F.col("row_dk2").alias("dk2"), F.col("rcs_sf")[0][0].alias("rcs"), F.col("sigma_sf")[0][0].alias("sigma"), "grid_type")
+    out = rounded(rounded(rounded(out, 8, "ux", "uy", "uz"), 6, "row_kctr", "col_kctr", "rcs", "sigma"), 4, "r_ca")
+    return out.withColumns({c: F.col(c) + 0 for c in ("uz", "col_kctr")})
