@@ -173,6 +173,31 @@ def q_locate_features(spark, sf):
     return found.select("feature", "n", (F.round(off, 1) + 0).alias("off"), (F.round("residue", 2) + 0).alias("residue"))
 
 
+# --- cross sections ------------------------------------------------------------------
+
+
+@query(
+    "q_cross_section",
+    f"""with {v.PX}, {v.RINGS}, e as (select ring, x0 * 8 as x0, y0 / 4 as y0, x1 * 8 as x1, y1 / 4 as y1 from sides), m as (select ring as feature, image, r, c, re * re + im * im as power,
+  sum(case when (x0 <= r) <> (x1 <= r) and (x1 > x0) = ((x1 - x0) * (c - y0) - (r - x0) * (y1 - y0) < 0) and (x1 - x0) * (c - y0) - (r - x0) * (y1 - y0) <> 0 then 1 else 0 end) % 2 = 1
+  or bool_or((x1 - x0) * (c - y0) - (r - x0) * (y1 - y0) = 0 and r between least(x0, x1) and greatest(x0, x1) and c between least(y0, y1) and greatest(y0, y1)) as inside from px join e on image = ring % 4 group by 1, 2, 3, 4, 5),
+ i as (select *, 1.5::double + 0.01::double * (r - 128) * 0.5::double as rcs, 10e0 ** ((-20 + 0.1::double * (c - 4) * 2) / 10) as noise from m where inside),
+ u as (select image, feature, 'PixelPower' as unit, power as value, noise, 1e0 as over from i union all select image, feature, 'RCS', power * rcs, noise * rcs, 1.875::double from i)
+ select image, feature, unit, count(*) as n, round(sum(value) / any_value(over), 4) as total, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, round(sum(noise) / any_value(over), 6) as noise_total from u group by 1, 2, 3""",
+)
+def q_cross_section(spark, sf):
+    """Pixel power and cross section of nations' polygons, each in one of four images."""
+    from slantframe.operators.cross_section import cross_sections
+
+    areas = v.rings(spark, sf).select((F.col("ring") % 4).cast("int").alias("image"), F.col("ring").alias("feature"), F.lit(0).alias("part"), "ring", "vtx", (F.col("x") * 8).alias("x"), (F.col("y") / 4).alias("y"))
+    none = F.lit(None).cast("array<array<double>>")
+    values = {"scp_row": 128.0, "scp_col": 4.0, "first_row": 0.0, "first_col": 0.0, "row_ss": 0.5, "col_ss": 2.0, "row_oversample": 1.25, "col_oversample": 1.5}
+    images = spark.range(4).select(F.col("id").cast("int").alias("image"), *(F.lit(x).alias(n) for n, x in values.items()), literal([[1.5], [0.01]]).alias("rcs_sf"), *(none.alias(n) for n in ("beta_sf", "sigma_sf", "gamma_sf")), literal([[-20.0, 0.1]]).alias("noise_db"))
+    pixels = v.px(spark, sf).withColumns({n: F.col(n).cast("double") for n in ("re", "im")})
+    out = cross_sections(pixels, areas, images).select("image", "feature", "unit", "n", "total", "mean", "std", "noise_total")
+    return rounded(rounded(out, 4, "total", "mean", "std"), 6, "noise_total")
+
+
 # --- signals -------------------------------------------------------------------------
 
 _COMPLEX = "s as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), h as (select vec_id, i, x as re, x * ((i % 5) - 2) as im from s)"
