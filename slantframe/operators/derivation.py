@@ -104,34 +104,52 @@ def broadening(weights: np.ndarray) -> float:
     return low + high
 
 
+def spread(weights: np.ndarray) -> float:
+    """Mean square over squared mean; not a number where the mean is nought."""
+    mean = weights.mean()
+    return float((weights * weights).mean() / mean**2) if mean else float("nan")
+
+
 @lru_cache(maxsize=1024)
-def _named(name: str, parameter: float | None) -> tuple[np.ndarray, float] | None:
+def _named(name: str, parameter: float | None) -> tuple[np.ndarray, float, float] | None:
     w = window(name, parameter)
-    return None if w is None else (w, broadening(w))
+    return None if w is None else (w, broadening(w), spread(w))
+
+
+def _weighted(given: pa.Array, names: list, parameters: list) -> tuple[pa.Array, list, list]:
+    """(weights, broadenings, spreads) of one side's rows: named windows are worked out once, and no weights become Python numbers."""
+    at, made, order, wide, flat = np.arange(len(names)), [], {}, [], []
+    for i, (name, parameter) in enumerate(zip(names, parameters)):
+        known = _named(name.upper(), parameter) if name else None
+        own = given[i].values if given[i].is_valid else None
+        if own is None and known is not None:
+            key = (name.upper(), parameter)
+            if key not in order:
+                order[key] = len(names) + len(made)
+                made.append(known[0])
+            at[i] = order[key]
+        usable = own is not None and len(own) > 0 and own.null_count == 0 and own.to_numpy().sum() != 0
+        wide.append(known[1] if known is not None else broadening(own.to_numpy()) if usable else None)
+        flat.append(1.0 if own is None and known is None else known[2] if own is None else spread(own.to_numpy()) if usable else None)
+    if made:
+        given = pa.concat_arrays([given, pa.array(made, given.type)]).take(pa.array(at))
+    return given, wide, flat
 
 
 def _windows(df: DataFrame) -> DataFrame:
-    """df with weights of both sides, where a name gives them, and wide_row_ and wide_col_, how much each window broadens a response."""
+    """df with weights of both sides, where a name gives them, and wide_row_ and flat_row_.., how much each window broadens a response and how uneven it is."""
     names = df.columns
+    added = [f"{n}_{s}_" for s in SIDES for n in ("wide", "flat")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(names)}
-            wide = []
+            columns, more = dict(zip(names, batch.columns)), []
             for s in SIDES:
-                weights, widths = columns[f"{s}_weights"].to_pylist(), []
-                for i, (name, parameter) in enumerate(zip(columns[f"{s}_window"].to_pylist(), columns[f"{s}_window_parameter"].to_pylist())):
-                    known = _named(name.upper(), parameter) if name else None
-                    if weights[i] is None and known is not None:
-                        weights[i] = known[0].tolist()
-                    given = weights[i]
-                    usable = given and None not in given and sum(given) != 0
-                    widths.append(known[1] if known is not None else broadening(np.array(given)) if usable else None)
-                columns[f"{s}_weights"] = pa.array(weights, pa.list_(pa.float64()))
-                wide.append(pa.array(widths, pa.float64(), from_pandas=True))
-            yield pa.RecordBatch.from_arrays([*columns.values(), *wide], [*names, *(f"wide_{s}_" for s in SIDES)])
+                columns[f"{s}_weights"], wide, flat = _weighted(columns[f"{s}_weights"], columns[f"{s}_window"].to_pylist(), columns[f"{s}_window_parameter"].to_pylist())
+                more += [pa.array(x, pa.float64(), from_pandas=True) for x in (wide, flat)]
+            yield pa.RecordBatch.from_arrays([*columns.values(), *more], [*names, *added])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"wide_{s}_ double" for s in SIDES)]))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} double" for n in added)]))
 
 
 def _directions(df: DataFrame) -> DataFrame:
@@ -298,15 +316,13 @@ def derive(df: DataFrame) -> DataFrame:
 def _radiometry(df: DataFrame) -> DataFrame:
     """Any one of the radiometric polynomials gives the others."""
     c = F.col
-    mean = lambda w: F.try_divide(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), F.size(w))
-    spread = lambda w: F.when(w.isNull(), 1.0).otherwise(F.try_divide(mean(F.transform(w, lambda x: x * x)), mean(w) * mean(w)))
-    df = df.withColumn("spot_", F.try_divide(spread(c("row_weights")) * spread(c("col_weights")), c("row_bw") * c("col_bw")))
+    df = df.withColumn("spot_", F.try_divide(c("flat_row_") * c("flat_col_"), c("row_bw") * c("col_bw")))
     slope, graze = F.cos(F.radians("slope")), F.sin(F.radians("graze"))
     scaled = lambda p, k: F.when(k.isNotNull(), F.transform(p, lambda row: F.transform(row, lambda x: x * k)))
     #: How much larger each is than the one for the slant plane's brightness.
     sizes = {"rcs_sf": c("spot_"), "sigma_sf": slope, "gamma_sf": F.try_divide(slope, graze)}
     df = _fill(df, beta_sf=F.coalesce(*(scaled(c(n), F.try_divide(F.lit(1.0), k)) for n, k in sizes.items())))
-    return _fill(df, **{n: scaled(c("beta_sf"), k) for n, k in sizes.items()}).drop("spot_")
+    return _fill(df, **{n: scaled(c("beta_sf"), k) for n, k in sizes.items()}).drop("spot_", "flat_row_", "flat_col_")
 
 
 def _named_columns(df: DataFrame, rest: list[str]) -> DataFrame:
