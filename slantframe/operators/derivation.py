@@ -234,7 +234,6 @@ def derive(df: DataFrame) -> DataFrame:
     out = df.select(*rest, *((c(n) if n in known else F.lit(None)).cast(kind).alias(n) for kind, names in TYPES.items() for n in names))
     out = _fill(out, scp_time=F.get(F.get("time_coa", F.lit(0)), F.lit(0)))
     out = _fill(out, time_coa=F.when((c("mode") == "SPOTLIGHT") & c("scp_time").isNotNull(), F.array(F.array("scp_time"))))
-    out = _directions(out)
     # The centre of aperture and the track, one from the other.
     place, speed, push = _at(out, c("scp_time"))
     lacks = c("pos_x").isNull() | c("pos_y").isNull() | c("pos_z").isNull()
@@ -278,7 +277,8 @@ def derive(df: DataFrame) -> DataFrame:
     ground = c("image_plane") == "GROUND"
     flat = Vec(*(F.when(ground, c(f"up__{a}")).when(c("image_plane").isNull() | (c("image_plane") == "SLANT"), c(f"slant__{a}")) for a in "xyz"))
     out = _fill_vector(_fill_vector(out, "ipn", flat, own("PFA")), "fpn", Vec.of("up_"), own("PFA"))
-    out = _polar_polynomials(out)
+    # Weights are long, so they are made once the other columns have passed through the workers.
+    out = _directions(_polar_polynomials(out))
     seen, _, _ = _at(out, c("polar_ref_time"))
     out = seen.attach(out, "seen_")
     ipn, fpn = Vec.of("ipn"), Vec.of("fpn")
