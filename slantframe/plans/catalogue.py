@@ -11,7 +11,7 @@ from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
 from slantframe.operators.quantiles import quantiles
-from slantframe.plans import files, imaging, labelling, metadata, phase_history  # noqa: F401  they register queries
+from slantframe.plans import files, imaging, labelling, metadata, phase_history, signals  # noqa: F401  they register queries
 from slantframe.plans import views as v
 from slantframe.plans.registry import QUERIES, SQL, Query, literal, query, rounded
 
