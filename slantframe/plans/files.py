@@ -130,3 +130,49 @@ def q_pyramid(spark, sf):
     from slantframe.operators.pyramid import pyramid
 
     return pyramid(v.amplitude(spark, sf), 8).withColumn("amplitude", F.round("amplitude", 6))
+
+
+_TILE = f"""with {v.DEM}, t as (select a::int as tile_lat, b::int as tile_lon from range(-1, 1) x(a), range(10, 13) y(b) where a + b <> 10),
+ posts as (select tile_lat, tile_lon, iy as r, ix as c, (elev + tile_lon * 10 + tile_lat)::float::double as elev from dem, t)"""
+
+
+def _tiles(spark, sf) -> str:
+    """A folder of five tiles of 50 x 40 posts that Spark writes from elevation posts."""
+    from slantframe.operators.dem_tiles import write_tiles
+
+    folder = _shared(spark, "tiles")
+    t = spark.range(-1, 1).select(F.col("id").cast("int").alias("tile_lat")).join(spark.range(10, 13).select(F.col("id").cast("int").alias("tile_lon"))).where("tile_lat + tile_lon <> 10")
+    posts = v.dem(spark, sf).join(t).select("tile_lat", "tile_lon", F.col("iy").alias("r"), F.col("ix").alias("c"), (F.col("elev") + F.col("tile_lon") * 10 + F.col("tile_lat")).cast("float").alias("elev"))
+    write_tiles(posts, folder, "{ns}{lat:02d}_{ew}{lon:03d}.tif", 50, 40).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    "q_tiff_window",
+    _TILE + ", g as (select tile_lat, tile_lon, b::int as r, c::int as c from t, range(10, 20) y(b), range(5, 25) z(c)) select (case when tile_lat < 0 then 's' else 'n' end) || lpad(abs(tile_lat)::varchar, 2, '0') || '_e' || lpad(tile_lon::varchar, 3, '0') || '.tif' as file, r, c, round(elev, 3) as elev from g left join posts using (tile_lat, tile_lon, r, c)",
+)
+def q_tiff_window(spark, sf):
+    """A window of each of five images: only the strips that it touches are read."""
+    from slantframe.sources.tiff import read_tiff
+
+    lines = read_tiff(spark, _tiles(spark, sf), cols=(5, 25)).where("r >= 10 and r < 20")
+    out = lines.select(F.element_at(F.split("path", "/"), -1).alias("file"), "r", "c0", F.posexplode(F.col("bands")[0]).alias("k", "elev"))
+    return out.select("file", "r", (F.col("c0") + F.col("k")).alias("c"), F.round(F.nanvl("elev", F.lit(None).cast("double")), 3).alias("elev"))
+
+
+@query(
+    "q_tile_elevations",
+    _TILE
+    + """, p as (select c_custkey as id, (c_custkey * 17 % 400) / 100e0 - 2 as lat, (c_custkey * 29 % 500) / 100e0 + 9 as lon from customer),
+ a as (select *, floor(lat)::int as tile_lat, floor(lon)::int as tile_lon from p), g as (select *, (tile_lat + 1 - lat) * 49 as gr, (lon - tile_lon) * 39 as gc from a),
+ b as (select *, least(floor(gr), 48)::int as r0, least(floor(gc), 38)::int as c0 from g),
+ w as (select id, tile_lat, tile_lon, r0 + i as r, c0 + j as c, (case when i = 1 then gr - r0 else 1 - (gr - r0) end) * (case when j = 1 then gc - c0 else 1 - (gc - c0) end) as w from b, (values (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j))
+ select id, case when count(elev) = 4 then round(sum(w * elev), 4) else 0 end as elev from w left join posts using (tile_lat, tile_lon, r, c) group by id""",
+)
+def q_tile_elevations(spark, sf):
+    """Elevations of points from tiles of one degree; 0 where there is no tile."""
+    from slantframe.operators.dem_tiles import tile_elevations
+
+    k = F.col("c_custkey")
+    points = v.table(spark, sf, "customer").select(k.alias("id"), (k * 17 % 400 / F.lit(100.0) - 2).alias("lat"), (k * 29 % 500 / F.lit(100.0) + 9).alias("lon"))
+    return tile_elevations(points, _tiles(spark, sf), "{ns}{lat:02d}_{ew}{lon:03d}.tif").select("id", F.round("elev", 4).alias("elev"))
