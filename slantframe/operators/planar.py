@@ -33,33 +33,6 @@ def line_lengths(lines: DataFrame, line: str = "ring") -> DataFrame:
     return edges(lines, line, closed=False).groupBy(line).agg(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("length"))
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, ring: str = "ring") -> DataFrame:
-    """(pt_id, ring) of the points inside a ring or on it.
-
-    A point is inside if a ray to the right crosses the ring's sides an odd
-    number of times.  Sides are dealt to horizontal strips of height cell that
-    they touch, and a point meets only the sides of its own strip.
-    """
-    sides = edges(rings, ring)
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    dealt = sides.withColumn("strip", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    placed = points.withColumn("strip", F.floor(F.col("y") / cell))
-    met = placed.join(dealt, "strip")
-    cross = (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) - (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    on = (cross == 0) & F.col("x").between(F.least("x0", "x1"), F.greatest("x0", "x1")) & F.col("y").between(low, high)
-    spans = (F.col("y0") <= F.col("y")) != (F.col("y1") <= F.col("y"))
-    right = F.when(F.col("y1") > F.col("y0"), cross > 0).otherwise(cross < 0)
-    hits = met.groupBy("pt_id", ring).agg(F.sum((spans & right).cast("int")).alias("n"), F.max(on).alias("edge"))
-    return hits.where((F.col("n") % 2 == 1) | F.col("edge")).select("pt_id", ring)
-
-
-def points_in_polygon(points: DataFrame, outer: DataFrame, holes: DataFrame, cell: float) -> DataFrame:
-    """(pt_id, ring) of the points in an outer ring and in none of its holes (rings of the same name)."""
-    inside = points_in_rings(points, outer, cell)
-    out = points_in_rings(points, holes.withColumn("ring", F.struct("ring", "hole")), cell).select("pt_id", F.col("ring.ring").alias("ring"))
-    return inside.join(out.distinct(), ["pt_id", "ring"], "left_anti")
-
-
 def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
     """Whether two segments meet in an inner point of one of them at least; parallel ones don't."""
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)

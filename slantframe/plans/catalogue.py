@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
-from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
+from slantframe.operators import annotation, elevation, inside, planar, raster, rules, spectral
 from slantframe.operators.quantiles import quantiles
 from slantframe.plans import files, imaging, labelling, metadata, phase_history, signals  # noqa: F401  they register queries
 from slantframe.plans import views as v
@@ -365,7 +365,7 @@ _INSIDE = "hits as (select pt_id, ring, sum(((y0 <= y) <> (y1 <= y) and case whe
 
 @query("q_point_in_polygon", f"with {v.RINGS}, {_POINTS}, {_INSIDE} select * from inside")
 def q_point_in_polygon(spark, sf):
-    return planar.points_in_rings(_points(spark, sf), v.rings(spark, sf), 2.0)
+    return inside.points_in_rings(_points(spark, sf), v.rings(spark, sf), 2.0)
 
 
 @query("q_point_in_polygon_with_holes", f"with {v.RINGS}, {_POINTS}, {_INSIDE} select a.pt_id, 0 as ring from inside a where a.ring = (select min(ring) from rings) and not exists (select 1 from inside b where b.pt_id = a.pt_id and b.ring = (select max(ring) from rings))")
@@ -375,7 +375,7 @@ def q_point_in_polygon_with_holes(spark, sf):
     marked = rings.crossJoin(F.broadcast(ends))
     outer = marked.where("ring = low").withColumn("ring", F.lit(0)).drop("low", "high")
     holes = marked.where("ring = high").withColumn("ring", F.lit(0)).withColumn("hole", F.lit(1)).drop("low", "high")
-    return planar.points_in_polygon(_points(spark, sf), outer, holes, 2.0)
+    return inside.points_in_polygon(_points(spark, sf), outer, holes, 2.0)
 
 
 @query("q_segment_distance", f"with {v.RINGS}, {_POINTS}, d as (select pt_id, nation as ring, vtx, x, y, x0, y0, x1, y1, least(greatest(((x-x0)*(x1-x0) + (y-y0)*(y1-y0)) / ((x1-x0)**2 + (y1-y0)**2), 0), 1) as t from points left join edges on ring = nation) select pt_id, ring, round(min(sqrt((x-x0-t*(x1-x0))**2 + (y-y0-t*(y1-y0))**2)), 5) as distance from d group by pt_id, ring")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slantframe.functions import collection, geodesy, pixels, polynomials, remap
 from slantframe.functions.vectors import Vec
-from slantframe.operators import annotation, elevation, planar, raster, rules, spectral
+from slantframe.operators import annotation, elevation, inside, planar, raster, rules, spectral
 
 ANCHORS = [(0, 0, 0), (0, 180, 0), (90, 0, 0), (-90, 0, 0), (0, 90, 0), (37.5, -122.25, 1500.0)]
 
@@ -75,9 +75,9 @@ def test_polygons(spark):
     m = planar.ring_measures(square).first()
     assert (m.area, m.perimeter, m.cx, m.cy) == (16, 16, 2, 2)
     points = spark.createDataFrame([(1, 2.0, 2.0), (2, 4.0, 1.0), (3, 5.0, 2.0), (4, 0.0, 0.0), (5, -1.0, 4.0)], "pt_id long, x double, y double")
-    assert sorted(r.pt_id for r in planar.points_in_rings(points, square, 1.5).collect()) == [1, 2, 4]
+    assert sorted(r.pt_id for r in inside.points_in_rings(points, square, 1.5).collect()) == [1, 2, 4]
     hole = square.withColumn("x", F.col("x") / 4 + 1.5).withColumn("y", F.col("y") / 4 + 1.5).withColumn("hole", F.lit(1))
-    assert sorted(r.pt_id for r in planar.points_in_polygon(points, square, hole, 1.5).collect()) == [2, 4]
+    assert sorted(r.pt_id for r in inside.points_in_polygon(points, square, hole, 1.5).collect()) == [2, 4]
 
 
 def test_elevation_is_exact_on_a_plane(spark):
