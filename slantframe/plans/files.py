@@ -176,3 +176,23 @@ def q_tile_elevations(spark, sf):
     k = F.col("c_custkey")
     points = v.table(spark, sf, "customer").select(k.alias("id"), (k * 17 % 400 / F.lit(100.0) - 2).alias("lat"), (k * 29 % 500 / F.lit(100.0) + 9).alias("lon"))
     return tile_elevations(points, _tiles(spark, sf), "{ns}{lat:02d}_{ew}{lon:03d}.tif").select("id", F.round("elev", 4).alias("elev"))
+
+
+@query(
+    "q_received_signal",
+    f"with {v.PVP}, s as (select channel, vector - 1 as vector, TxTime, FX1, k, ((TxTime // 1000000 + k * 7) % 100 - 50) * 0.5e0 as re, ((TxTime // 1000000 * 3 + k) % 100 - 50) * 0.5e0 as im from pvp, range(0, 4) q(k)) select channel, vector, TxTime, FX1, (k - 1)::int as k, round(re, 1) as re, round(im, 1) as im from s where k between 1 and 2 and vector between 5 and 3000 and channel <> 'view'",
+)
+def q_received_signal(spark, sf):
+    """Vectors of all channels written into one file of received signals by many tasks; of some the parameters and two samples are read again."""
+    from slantframe.sources.cphd_ranged import read_pvp, read_signal
+    from slantframe.sources.phase_write import write_phase
+
+    path = _shared(spark, "signals.crsd")
+    second = F.floor(F.col("TxTime") / 1000000)
+    part = lambda by, step: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((second * by + k * step) % 100 - 50) * F.lit(0.5))
+    vectors = v.pvp(spark, sf).select("channel", (F.col("vector") - 1).alias("vector"), "TxTime", "FX1", F.lit(0.5).alias("AmpSF"), part(1, 7).alias("re"), part(3, 1).alias("im"))
+    write_phase(vectors, path, {"TxTime": "I8", "FX1": "F8", "AmpSF": "F8"}, kind="CRSD")
+    some = "vector between 5 and 3000 and channel in ('click', 'purchase', 'error', 'signup')"
+    parameters, samples = read_pvp(spark, path, "TxTime", "FX1").where(some).drop("path"), read_signal(spark, path, (1, 3), scaled=True).where(some)
+    own = samples.select("channel", "vector", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+    return parameters.join(own, ["channel", "vector"]).select("channel", "vector", "TxTime", "FX1", "k", F.round(F.col("z.re").cast("double"), 1).alias("re"), F.round(F.col("z.im").cast("double"), 1).alias("im"))

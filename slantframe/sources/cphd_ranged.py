@@ -1,4 +1,4 @@
-"""Phase history files (1.x) by byte ranges: parameters as typed columns, samples of a window, support arrays.
+"""Phase history files and files of received signals (1.x) by byte ranges: parameters as typed columns, samples of a window, support arrays.
 
 Filters on path, channel and vector decide which bytes are read.  Whole numbers
 stay whole numbers: a parameter's column has its own type, unsigned 64-bit ones
@@ -30,7 +30,7 @@ TYPES = {">f8": ("double", pa.float64()), ">f4": ("float", pa.float32()), ">i8":
 def head(file: Ranges) -> tuple[dict[str, str], ET.Element]:
     """(header lines by name, root of the XML) from their own bytes alone."""
     lines, end, _ = file.read(0, HEADER).partition(b"\f\n")
-    if not lines.startswith(b"CPHD/1") or not end:
+    if not lines.startswith((b"CPHD/1", b"CRSD/1")) or not end:
         raise CphdError("no file header")
     values = dict(x.split(" := ", 1) for x in lines.decode("utf-8").splitlines() if " := " in x)
     return values, _tree(file.read(int(values["XML_BLOCK_BYTE_OFFSET"]), int(values["XML_BLOCK_SIZE"])).decode("utf-8"))
@@ -134,6 +134,7 @@ class _SignalReader(_VectorReader):
     def __init__(self, options: dict) -> None:
         super().__init__(options)
         self.samples = tuple(int(x) for x in options["samples"].split(":")) if options.get("samples") else None
+        self.scaled = options.get("scaled") == "true"
 
     def records(self, values, root, channel):
         if root.find("Data/SignalCompressionID") is not None:
@@ -143,12 +144,17 @@ class _SignalReader(_VectorReader):
             raise CphdError(f"signal format {kind}")
         n = int(channel.findtext("NumSamples"))
         low, high = self.samples or (0, n)
-        return int(values["SIGNAL_BLOCK_BYTE_OFFSET"]) + int(channel.findtext("SignalArrayByteOffset")), n * 2 * np.dtype(SIGNALS[kind]).itemsize, (SIGNALS[kind], max(0, low), max(0, low, min(n, high)))
+        return int(values["SIGNAL_BLOCK_BYTE_OFFSET"]) + int(channel.findtext("SignalArrayByteOffset")), n * 2 * np.dtype(SIGNALS[kind]).itemsize, (SIGNALS[kind], max(0, low), max(0, low, min(n, high)), self._scale(values, root, channel))
+
+    def _scale(self, values, root, channel) -> tuple[int, int, int, str] | None:
+        """(place of a channel's first parameters, bytes a vector, place of the amplitude factor in them, its kind)."""
+        own = [(at, kind) for name, at, kind in _parameters(root)[0] if name == "AmpSF"] if self.scaled else []
+        return (int(values["PVP_BLOCK_BYTE_OFFSET"]) + int(channel.findtext("PVPArrayByteOffset")), int(root.findtext("Data/NumBytesPVP")), *own[0]) if own else None
 
     def read(self, piece: Vectors) -> Iterator[pa.RecordBatch]:
         if not isinstance(piece, Vectors):
             return
-        kind, low, high = piece.detail
+        kind, low, high, scale = piece.detail
         size, count = 2 * np.dtype(kind).itemsize, 2 * (high - low)
         # A narrow window is read vector by vector, a wide one with what lies between.
         narrow = 4 * count * np.dtype(kind).itemsize < piece.width
@@ -161,13 +167,17 @@ class _SignalReader(_VectorReader):
                 else:
                     raw = np.frombuffer(file.read(piece.at + a * piece.width, (b - a) * piece.width), kind).reshape(b - a, -1)[:, 2 * low : 2 * high]
                 pairs = raw.reshape(b - a, -1, 2).astype(np.float32)
+                if scale:
+                    start, width, at, of = scale
+                    factors = np.frombuffer(file.read(start + a * width, (b - a) * width), np.uint8).reshape(b - a, width)[:, at : at + np.dtype(of).itemsize].copy().view(of)
+                    pairs = pairs * factors.astype(np.float32)[:, :, None]
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * (high - low))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(pairs[:, :, k]).ravel())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*self.heading(piece, a, b), *lists], ["path", "channel", "vector", "re", "im"])
 
 
 class CphdSignal(DataSource):
-    """Format cphd_signal: options path and samples (first:behind)."""
+    """Format cphd_signal: options path, samples (first:behind), and scaled (true: times the amplitude factor)."""
 
     @classmethod
     def name(cls) -> str:
@@ -246,10 +256,10 @@ def read_pvp(spark: SparkSession, path: str, *names: str) -> DataFrame:
     return (read.option("names", ",".join(names)) if names else read).load()
 
 
-def read_signal(spark: SparkSession, path: str, samples: tuple[int, int] | None = None) -> DataFrame:
-    """(path, channel, vector, re, im): samples first:behind of every vector as stored."""
+def read_signal(spark: SparkSession, path: str, samples: tuple[int, int] | None = None, scaled: bool = False) -> DataFrame:
+    """(path, channel, vector, re, im): samples first:behind of every vector, as stored or times the vector's amplitude factor (AmpSF) where files have one."""
     registered(spark, CphdSignal)
-    read = spark.read.format("cphd_signal").option("path", path)
+    read = spark.read.format("cphd_signal").option("path", path).option("scaled", str(scaled).lower())
     return (read.option("samples", f"{samples[0]}:{samples[1]}") if samples else read).load()
 
 
