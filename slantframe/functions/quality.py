@@ -56,7 +56,8 @@ def degradation(area: Column, signal: Column, noise: Column, steps: Column, dens
     wanted, if the last step has more, or for a share outside 0 to 1.
     """
     of = lambda s: information_density(area * s["row"] * s["col"], signal, noise)
-    missed = F.transform(steps, lambda s, i: F.struct(F.pow(density - of(s), F.lit(2.0)).alias("miss"), i.alias("i")))
+    # Rounded, so that steps which miss by as much on either side are a tie, and the first one is taken.
+    missed = F.transform(steps, lambda s, i: F.struct(F.round(F.abs(of(s) / density - 1), 9).alias("miss"), i.alias("i")))
     best = F.array_min(missed)["i"]
     chosen = F.element_at(steps, (F.least(F.greatest(F.floor(best - share * best), F.lit(0)), best) + 1).cast("int"))
     kept = area * chosen["row"] * chosen["col"]

@@ -88,7 +88,7 @@ def q_image_quality(spark, sf):
  i as (select *, greatest(a, b) as steps, unnest(range(0, greatest(a, b)::int)) as i from a),
  l as (select *, (a - ceil((a - 1) * i / (steps - 1))) / a as rl, (b - ceil((b - 1) * i / (steps - 1))) / b as cl from i),
  m as (select *, area * rl * cl * log2(1 + signal / noise) as own from l),
- best as (select id, arg_min(i, (wanted - own) ** 2) as best, arg_max(own, i) as last from m where noise is not null group by id),
+ best as (select id, min(struct_pack(m := round(abs(own / wanted - 1), 9), i := i)).i as best, arg_max(own, i) as last from m where noise is not null group by id),
  c as (select m.*, last from m join best using (id) where i = floor(best - share * best))
  select a.id, round(rl, 6) as row, round(cl, 6) as col, case when rl is not null then round(greatest(1e0, signal / noise / (2e0 ** (wanted / (area * rl * cl)) - 1)), 4) end as noise from (select id from a) a left join (select * from c where wanted <= density and wanted >= last and share between 0 and 1) c using (id)""",
 )
