@@ -126,3 +126,98 @@ def q_derive_metadata(spark, sf):
     out = out.select("id", "scp_time", *(F.col(f"urow_{a}").alias(f"u{a}") for a in "xyz"), "row_kctr", "col_kctr", "r_ca", F.col("row_dk1").alias("dk1"), F.col("row_dk2").alias("dk2"), F.col("rcs_sf")[0][0].alias("rcs"), F.col("sigma_sf")[0][0].alias("sigma"), "grid_type")
     out = rounded(rounded(rounded(out, 8, "ux", "uy", "uz"), 6, "row_kctr", "col_kctr", "rcs", "sigma"), 4, "r_ca")
     return out.withColumns({c: F.col(c) + 0 for c in ("uz", "col_kctr")})
+
+
+_PFA_AXES = """m as (select s_suppkey as k, 6878137e0 as px, 300000e0 as py, (s_suppkey % 3) * 1000e0 - 1000 as pz, case when s_suppkey % 2 = 0 and s_suppkey % 16 <> 0 or s_suppkey % 6 = 5 then 1e0 else 3 / sqrt(34e0) end as ix, case when s_suppkey % 2 = 0 and s_suppkey % 16 <> 0 or s_suppkey % 6 = 5 then 0e0 else -5 / sqrt(34e0) end as iy,
+   case when s_suppkey % 7 = 0 then -1e0 when s_suppkey % 5 = 0 then cos(0.1e0) else 1e0 end as fx, case when s_suppkey % 7 <> 0 and s_suppkey % 5 = 0 then sin(0.1e0) else 0e0 end as fy from supplier),
+ n as (select *, ((6378137 - px) * ix - py * iy) / (fx * ix + fy * iy) as o from m), q as (select *, 6378137 - px - o * fx as qx, -py - o * fy as qy, -pz as qz from n),
+ w as (select *, qx / sqrt(qx * qx + qy * qy + qz * qz) as wx, qy / sqrt(qx * qx + qy * qy + qz * qz) as wy, qz / sqrt(qx * qx + qy * qy + qz * qz) as wz, sqrt((px - 6378137) ** 2 + py * py + pz * pz) as far from q),
+ p as (select *, abs(0.5145e0 - sqrt((1 - (((px - 6378137) * fx + py * fy) / far) ** 2) / (1 - (wx * fx + wy * fy) ** 2))) as scale_miss, 60 + (k % 4) * 0.5e0 as row_kctr, (k % 5) * 0.01e0 as col_kctr, 0.004e0 * (k % 3) as angle, 2 * (1.75e10 + (k % 4) * 1e7) / 299792458 * 0.5145e0 as centre,
+   50 + (k % 3) * 10e0 as krg1, case when k % 13 = 0 then 72e0 else 70e0 end as krg2, k % 9 = 0 as deskewed from w),
+ r as (select *, case when k % 8 = 1 then krg1 * tan(angle) else -0.5e0 - (k % 4) * 0.1e0 end as kaz1, case when k % 8 = 1 then krg1 * tan(angle) else 0.5e0 + (k % 4) * 0.1e0 end as kaz2 from p)"""
+_PFA_RULES = [
+    ("pfa_type", "k % 10 <> 0", "null", "true", "warning"),
+    ("pfa_ref_time", "abs((k % 8 = 0)::int * 0.5e0) <= 1e-6", "(k % 8 = 0)::int * 0.5e0", "true", "warning"),
+    ("pfa_kaz_high", "kaz2 - col_kctr <= 0.5e0 / 0.75e0 + 1e-10", "round(kaz2 - col_kctr, 6)", "not deskewed"),
+    ("pfa_kaz_low", "-(kaz1 - col_kctr) <= 0.5e0 / 0.75e0 + 1e-10", "round(kaz1 - col_kctr, 6)", "not deskewed"),
+    ("pfa_krg_high", "krg2 - row_kctr <= 10 + 1e-10", "round(krg2 - row_kctr, 6)"),
+    ("pfa_krg_low", "-(krg1 - row_kctr) <= 10 + 1e-10", "round(krg1 - row_kctr, 6)"),
+    ("pfa_row_bandwidth", "12 <= krg2 - krg1 + 1e-10", "12"),
+    ("pfa_col_kctr", "abs(col_kctr) <= 1e-5 or abs(col_kctr - 0.5e0 * (kaz1 + kaz2)) <= 1e-5", "round(col_kctr, 6)"),
+    ("pfa_deskew_time", "k % 2 <> 0", "null", "deskewed"),
+    ("pfa_deskew_phase", "k % 2 <> 0", "round(case when k % 2 = 0 then 0.25e0 else 0 end, 6)", "deskewed", "warning"),
+    ("pfa_row_kctr", "abs(row_kctr / centre - 1) <= greatest(1e-2, 1 - cos(atan(0.5e0 * 0.8e0 / row_kctr)))", "round(row_kctr / centre, 6)", "k % 3 <> 0"),
+    ("pfa_angle", "angle <= 5e-3", "round(angle, 6)"),
+    ("pfa_scale", "scale_miss <= 5e-3", "round(scale_miss, 6)"),
+    ("pfa_row", "sqrt(wx ** 2 + (wy + 1) ** 2 + wz ** 2) <= 1e-3", "null"),
+    ("pfa_col", "sqrt((iy * wz) ** 2 + (ix * wz) ** 2 + (ix * wy - iy * wx + 1) ** 2) <= 1e-3", "null"),
+    ("pfa_slant_plane", "degrees(acos(least(1e0, (3 * ix - 5 * iy) / sqrt(34e0)))) <= 1", "null", "k % 2 = 1"),
+    ("pfa_ground_plane", "degrees(acos(ix)) <= 3", "null", "k % 2 = 0"),
+    ("pfa_focus_outward", "fx >= 0", "null"),
+    ("pfa_focus_level", "degrees(acos(fx)) <= 3", "null", "true", "warning"),
+    ("pfa_angle_bounds", "degrees(greatest(abs(angle - atan(kaz1 / krg1)), abs(angle - atan(kaz2 / krg1)))) <= 0.1", "round(degrees(greatest(abs(angle - atan(kaz1 / krg1)), abs(angle - atan(kaz2 / krg1)))), 6)", "k % 4 = 1", "warning"),
+]
+
+
+def _rule_rows(source: str, rules: list[tuple]) -> str:
+    out = []
+    for name, passed, detail, *more in rules:
+        when, severity = (*more, *("true", "error")[len(more) :])
+        out.append(f"select k::varchar as object, '{name}' as rule, '{severity}' as severity, ({passed}) as passed, ({detail})::double as detail from {source} where {when}")
+    return " union all ".join(out)
+
+
+@query("q_rules_polar", f"with {_PFA_AXES} " + _rule_rows("r", _PFA_RULES))
+def q_rules_polar(spark, sf):
+    """Rules of polar-format images: bounds of frequencies, polynomials, planes and axes, with failures of each."""
+    from slantframe.operators.polar_rules import polar_rules
+
+    k = F.col("s_suppkey")
+    flat = ((k % 2 == 0) & (k % 16 != 0)) | (k % 6 == 5)
+    root, one = 34.0**0.5, lambda x: F.lit(float(x))
+    place = {"x": one(6878137), "y": one(300000), "z": (k % 3) * 1000.0 - 1000}
+    table = lambda x: F.array(F.array(one(0.5), x))
+    krg1 = 50 + (k % 3) * one(10)
+    even = krg1 * F.tan(0.004 * (k % 3))
+    meta = {
+        "image": k, "algorithm": F.lit("PFA"), "grid_type": F.when(k % 10 == 0, "PLANE").otherwise("RGAZIM"), "image_plane": F.when(k % 2 == 0, "GROUND").otherwise("SLANT"), "mode": F.when(k % 4 == 1, "SPOTLIGHT").otherwise("DYNAMIC STRIPMAP"),
+        "polar_ref_time": F.when(k % 8 == 0, 1.0).otherwise(0.5), "scp_time": one(0.5), "duration": one(4), "tstart_proc": one(0), "tend_proc": one(4), **{f"arp_p{a}": F.array(x) for a, x in place.items()}, **{f"pos_{a}": x for a, x in place.items()},
+        "vel_x": one(0), "vel_y": one(0), "vel_z": one(7000), "scp_x": one(6378137), "scp_y": one(0), "scp_z": one(0), "urow_x": one(0), "urow_y": one(-1), "urow_z": one(0), "ucol_x": one(0), "ucol_y": one(0), "ucol_z": one(-1),
+        "ipn_x": F.when(flat, 1.0).otherwise(3 / root), "ipn_y": F.when(flat, 0.0).otherwise(-5 / root), "ipn_z": one(0), "fpn_x": F.when(k % 7 == 0, -1.0).when(k % 5 == 0, F.cos(one(0.1))).otherwise(1.0), "fpn_y": F.when((k % 7 != 0) & (k % 5 == 0), F.sin(one(0.1))).otherwise(0.0), "fpn_z": one(0),
+        "row_kctr": 60 + (k % 4) * one(0.5), "col_kctr": (k % 5) * one(0.01), "row_ss": one(0.05), "col_ss": one(0.75), "row_bw": one(12), "col_bw": one(0.8), "krg1": krg1, "krg2": F.when(k % 13 == 0, 72.0).otherwise(70.0), "kaz1": F.when(k % 8 == 1, even).otherwise(-0.5 - (k % 4) * one(0.1)), "kaz2": F.when(k % 8 == 1, even).otherwise(0.5 + (k % 4) * one(0.1)),
+        "polar_angle": F.array(0.004 * (k % 3)), "freq_scale": F.array(one(0.5145)), "centre_frequency": 1.75e10 + (k % 4) * one(1e7), "reference_index": F.when(k % 3 == 0, 1), "deskewed": k % 9 == 0,
+        "time_coa": table(F.when(k % 2 == 0, 0.0).otherwise(0.5)), "row_deltak": table(one(0.25)), "deskew_phase": table(F.when(k % 2 == 0, 0.5).otherwise(0.25)),
+    }
+    found = polar_rules(v.table(spark, sf, "supplier").select(*(x.alias(n) for n, x in meta.items())))
+    return found.withColumn("detail", F.round("detail", 6) + 0)
+
+
+_COMPRESSION = """a as (select s_suppkey as k, case when s_suppkey % 3 = 0 then null when s_suppkey % 3 = 1 then 0.25e0 else -0.5e0 end as dk, 2 * 9e9 / 299792458 as centre, 500 + (s_suppkey % 7) * 0.1e0 as rate, radians(85e0 + s_suppkey % 10) as cone from supplier),
+ b as (select *, centre - coalesce(dk, 0) + (case when k % 11 = 0 then 0.125e0 else 0 end) as kctr, case when k % 12 = 0 then 0.25e0 else (k % 2) * 0.5e0 end as ckctr, k % 15 = 1 as uneven from a), c as (select *, (kctr + coalesce(dk, 0)) * 7000 * sin(cone) / (583095.1894845301e0 * rate) as step, (centre) * 7000 / (583095.1894845301e0 * rate) as given from b)"""
+_COMPRESSION_RULES = [
+    ("rgazcomp_kaz", "sqrt((10 * (step - given)) ** 2 + (rate * (step - given)) ** 2) <= 1e-3", "round(sqrt((10 * (step - given)) ** 2 + (rate * (step - given)) ** 2), 6)", "not uneven"),
+    ("rgazcomp_row_constant", "not uneven", "null", "dk is not null"),
+    ("rgazcomp_row_kctr", "abs(kctr - (centre - case when uneven then 0 else dk end)) <= 1e-6", "round(abs(kctr - (centre - case when uneven then 0 else dk end)), 6)", "dk is not null"),
+    ("rgazcomp_col_zero", "ckctr = 0", "round(ckctr, 6)", "k % 4 = 0"),
+    ("rgazcomp_col_constant", "k % 4 <> 3", "null", "k % 4 <> 0"),
+    ("rgazcomp_col_kctr", "abs(ckctr - 0.5e0) <= 1e-6", "round(ckctr, 6)", "k % 4 in (1, 2)"),
+]
+
+
+@query("q_rules_compression", f"with {_COMPRESSION} " + _rule_rows("c", _COMPRESSION_RULES))
+def q_rules_compression(spark, sf):
+    """Rules of azimuth-compressed images: the polynomial of azimuth frequencies and the middles of both bands."""
+    from slantframe.operators.polar_rules import compression_rules
+
+    k, one = F.col("s_suppkey"), lambda x: F.lit(float(x))
+    dk = F.when(k % 3 == 0, None).when(k % 3 == 1, 0.25).otherwise(-0.5)
+    centre, rate = 2 * 9e9 / 299792458, 500 + (k % 7) * one(0.1)
+    far = 583095.1894845301
+    given = centre * 7000 / (far * rate)
+    meta = {
+        "image": k, "algorithm": F.lit("RGAZCOMP"), "scp_x": one(6378137), "scp_y": one(0), "scp_z": one(0), "pos_x": one(6878137), "pos_y": one(300000), "pos_z": one(0), "vel_x": one(0), "vel_y": one(0), "vel_z": one(7000),
+        "ipp": F.array(one(10), rate), "kaz_poly": F.array(10 * given, rate * given), "scp_time": one(1), "slant_range": one(far), "dop_cone": one(85) + k % 10, "row_kctr": centre - F.coalesce(dk, one(0)) + F.when(k % 11 == 0, 0.125).otherwise(0.0), "col_kctr": F.when(k % 12 == 0, 0.25).otherwise((k % 2) * one(0.5)),
+        "row_deltak": F.when(k % 15 == 1, F.array(F.array(dk, one(0.1)))).when(dk.isNotNull(), F.array(F.array(dk))), "col_deltak": F.when(k % 4 == 3, F.array(F.array(one(-0.5), one(0.1)))).when(k % 4 != 0, F.array(F.array(one(-0.5)))), "centre_frequency": one(9e9), "reference_index": F.lit(None).cast("int"),
+    }
+    found = compression_rules(v.table(spark, sf, "supplier").select(*(x.alias(n) for n, x in meta.items())))
+    return found.withColumn("detail", F.round("detail", 6) + 0)
