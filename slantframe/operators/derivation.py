@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -116,40 +115,42 @@ def _named(name: str, parameter: float | None) -> tuple[np.ndarray, float, float
     return None if w is None else (w, broadening(w), spread(w))
 
 
-def _weighted(given: pa.Array, names: list, parameters: list) -> tuple[pa.Array, list, list]:
-    """(weights, broadenings, spreads) of one side's rows: named windows are worked out once, and no weights become Python numbers."""
-    at, made, order, wide, flat = np.arange(len(names)), [], {}, [], []
-    for i, (name, parameter) in enumerate(zip(names, parameters)):
+def _shape(given: pa.Array, names: pa.Array, parameters: pa.Array) -> pa.Array:
+    """How much each row's window broadens a response and how uneven it is; named windows are worked out once."""
+    wide, flat = [], []
+    for i, (name, parameter) in enumerate(zip(names.to_pylist(), parameters.to_pylist())):
         known = _named(name.upper(), parameter) if name else None
         own = given[i].values if given[i].is_valid else None
-        if own is None and known is not None:
-            key = (name.upper(), parameter)
-            if key not in order:
-                order[key] = len(names) + len(made)
-                made.append(known[0])
-            at[i] = order[key]
         usable = own is not None and len(own) > 0 and own.null_count == 0 and own.to_numpy().sum() != 0
         wide.append(known[1] if known is not None else broadening(own.to_numpy()) if usable else None)
         flat.append(1.0 if own is None and known is None else known[2] if own is None else spread(own.to_numpy()) if usable else None)
-    if made:
-        given = pa.concat_arrays([given, pa.array(made, given.type)]).take(pa.array(at))
-    return given, wide, flat
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64(), from_pandas=True) for x in (wide, flat)], ["wide", "flat"])
 
 
-def _windows(df: DataFrame) -> DataFrame:
-    """df with weights of both sides, where a name gives them, and wide_row_ and flat_row_.., how much each window broadens a response and how uneven it is."""
-    names = df.columns
-    added = [f"{n}_{s}_" for s in SIDES for n in ("wide", "flat")]
+def _samples(names: pa.Array, parameters: pa.Array) -> pa.Array:
+    """Weights of named windows, null for others; each window is made once and no weights become Python numbers."""
+    order, made, at = {}, [], []
+    for key in zip(names.to_pylist(), parameters.to_pylist()):
+        known = _named(key[0].upper(), key[1]) if key[0] else None
+        if known is not None and key not in order:
+            order[key] = len(made)
+            made.append(known[0])
+        at.append(order.get(key))
+    return pa.array(made, pa.list_(pa.float64())).take(pa.array(at, pa.int64()))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, more = dict(zip(names, batch.columns)), []
-            for s in SIDES:
-                columns[f"{s}_weights"], wide, flat = _weighted(columns[f"{s}_weights"], columns[f"{s}_window"].to_pylist(), columns[f"{s}_window_parameter"].to_pylist())
-                more += [pa.array(x, pa.float64(), from_pandas=True) for x in (wide, flat)]
-            yield pa.RecordBatch.from_arrays([*columns.values(), *more], [*names, *added])
+def _windows(df: DataFrame) -> DataFrame:
+    """df with weights of both sides, where a name gives them, and wide_row_ and flat_row_.., how much each window broadens a response and how uneven it is.
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{n} double" for n in added)]))
+    Both are functions of three columns, so rows pass the workers without the
+    other columns, and weights (long) aren't made where nobody selects them.
+    """
+    c, shape, samples = F.col, F.arrow_udf(_shape, "struct<wide:double,flat:double>"), F.arrow_udf(_samples, "array<double>")
+    for s in SIDES:
+        name, parameter = c(f"{s}_window"), c(f"{s}_window_parameter")
+        df = df.withColumn("shape_", shape(f"{s}_weights", name, parameter))
+        df = df.withColumns({f"wide_{s}_": c("shape_.wide"), f"flat_{s}_": c("shape_.flat"), f"{s}_weights": F.coalesce(f"{s}_weights", samples(name, parameter))}).drop("shape_")
+    return df
 
 
 def _directions(df: DataFrame) -> DataFrame:
@@ -194,26 +195,27 @@ def polar_format(meta: dict, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _polar_polynomials(df: DataFrame, degree: int = 5, count: int = 15) -> DataFrame:
     """df with polar_angle and freq_scale fitted at times spread over the collection, where a PFA image lacks one of them."""
-    names = df.columns
     need = (F.col("algorithm") == "PFA") & (F.col("polar_angle").isNull() | F.col("freq_scale").isNull())
     have = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in _POLAR])
-    packed = df.withColumn("polar_", F.when(need & have, F.to_json(F.struct(*_POLAR))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = dict(zip(names, batch.columns))
-            angle, scale = columns["polar_angle"].to_pylist(), columns["freq_scale"].to_pylist()
-            for i, text in enumerate(batch.column(len(names)).to_pylist()):
-                if text:
-                    meta = json.loads(text)
-                    times = np.linspace(0, meta["duration"], count)
-                    a, k = polar_format(meta, times)
-                    angle[i] = np.polynomial.polynomial.polyfit(times, a, degree).tolist()
-                    scale[i] = np.polynomial.polynomial.polyfit(a, k, degree).tolist()
-            columns["polar_angle"], columns["freq_scale"] = (pa.array(x, pa.list_(pa.float64())) for x in (angle, scale))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return packed.mapInArrow(run, df.schema)
+    @F.arrow_udf("struct<angle:array<double>,scale:array<double>>")
+    def fitted(texts: pa.Array) -> pa.Array:
+        angle, scale = [], []
+        for text in texts.to_pylist():
+            if not text:
+                angle.append(None)
+                scale.append(None)
+                continue
+            meta = json.loads(text)
+            times = np.linspace(0, meta["duration"], count)
+            a, k = polar_format(meta, times)
+            angle.append(np.polynomial.polynomial.polyfit(times, a, degree).tolist())
+            scale.append(np.polynomial.polynomial.polyfit(a, k, degree).tolist())
+        return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.float64())) for x in (angle, scale)], ["angle", "scale"])
+
+    out = df.withColumn("polar_", fitted(F.when(need & have, F.to_json(F.struct(*_POLAR)))))
+    new = {n: F.coalesce(F.col(f"polar_.{f}"), F.col(n)) for n, f in (("polar_angle", "angle"), ("freq_scale", "scale"))}
+    return out.withColumns(new).drop("polar_")
 
 
 # --- all -----------------------------------------------------------------------------
@@ -277,7 +279,6 @@ def derive(df: DataFrame) -> DataFrame:
     ground = c("image_plane") == "GROUND"
     flat = Vec(*(F.when(ground, c(f"up__{a}")).when(c("image_plane").isNull() | (c("image_plane") == "SLANT"), c(f"slant__{a}")) for a in "xyz"))
     out = _fill_vector(_fill_vector(out, "ipn", flat, own("PFA")), "fpn", Vec.of("up_"), own("PFA"))
-    # Weights are long, so they are made once the other columns have passed through the workers.
     out = _directions(_polar_polynomials(out))
     seen, _, _ = _at(out, c("polar_ref_time"))
     out = seen.attach(out, "seen_")

@@ -121,3 +121,14 @@ def test_noughts(made):
     """An antenna at the scene's centre that doesn't move, empty weights, bands of nothing: no axes, no factors, no error."""
     r = made["noughts"]
     assert r.urow_x is None and r.row_kctr is None and r.rcs_sf is None and r.row_oversample == 1
+
+
+def test_only_selected_columns_are_made(spark):
+    """Weights aren't made for those who don't select them, and no worker gets whole rows."""
+    kinds = {n: kind for kind, names in TYPES.items() for n in names}
+    used = sorted({*BASE, "row_window"})
+    df = derive(spark.createDataFrame([tuple({**BASE, "row_window": "HAMMING"}.get(n) for n in used)], ", ".join(f"{n} {kinds[n]}" for n in used)))
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    few = df.select("row_wid", "sigma_sf")
+    assert "_shape(" in plan(few) and "_samples(" not in plan(few) and "MapInArrow" not in plan(few)
+    assert "_samples(" in plan(df.select("row_weights")) and len(df.select("row_weights").first()[0]) == 512
