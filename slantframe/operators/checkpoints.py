@@ -21,6 +21,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="slantframe-"))
 
 
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for rows that are few but much work, which Spark would gather in one task by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, and nothing is worked out twice (a checkpoint works it out for its count and for its files)."""
     spark = df.sparkSession

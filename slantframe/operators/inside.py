@@ -8,6 +8,9 @@ the cell is the same for all points of a cell, so it is worked out once for a
 ring and row, as spans of cells, and a point finds the spans it lies in by
 blocks of 1, 16, 256 and more cells.  So a point meets the sides of one cell
 and the spans that hold it, wherever the rings' other sides lie.
+
+Equal points are worked out once.  So are equal sides of a ring: an even number
+of them crosses nothing, but points on them are still on the ring.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slantframe.operators.checkpoints import partitions
 from slantframe.operators.crossings import ENDS, _cells
 from slantframe.operators.planar import edges
 
@@ -56,6 +60,7 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, ring: str
     every = lambda conditions: F.expr("true") if not conditions else conditions[0] & every(conditions[1:])
     size = F.lit(float(cell))
     sides = edges(rings, ring).where(every(finite(*ENDS))).select(F.col(ring).alias("ring_"), *(F.col(e).cast("double").alias(e) for e in ENDS))
+    sides = sides.groupBy("ring_", *ENDS).agg((F.count("*") % 2).cast("int").alias("odd_"))
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     rows = sides.withColumn("cy_", F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))).withColumn("mid_", (F.col("cy_") + 0.5) * size)
     spans_mid = (F.col("y0") <= F.col("mid_")) != (F.col("y1") <= F.col("mid_"))
@@ -64,12 +69,13 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, ring: str
 
     # Cells with an odd number of crossings to their right: from each first crossing of a pair up to before the second.
     w = Window.partitionBy("ring_", "cy_").orderBy("home_")
-    pairs = rows.where("home_ is not null").select("ring_", "cy_", "home_", F.row_number().over(w).alias("k_"), F.lead("home_").over(w).alias("next_"))
+    pairs = rows.where("home_ is not null and odd_ = 1").select("ring_", "cy_", "home_", F.row_number().over(w).alias("k_"), F.lead("home_").over(w).alias("next_"))
     spans = pairs.where("k_ % 2 = 1 and home_ < next_").select("ring_", "cy_", F.inline(_blocks(F.col("home_"), F.col("next_") - 1)))
     own = points.where(every(finite("x", "y"))).select("pt_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    placed = own.withColumns({"cx_": F.floor(F.col("x") / size), "cy_": F.floor(F.col("y") / size)})
+    # Few rows may mean many pairs, so they aren't gathered in fewer tasks.
+    placed = own.select("x", "y").distinct().withColumns({"cx_": F.floor(F.col("x") / size), "cy_": F.floor(F.col("y") / size)}).repartition(partitions(points), "cx_", "cy_")
     up = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("cx_") / F.pow(F.lit(float(FAN)), k)).alias("block")))
-    beyond = placed.select("pt_id", "cy_", F.inline(up)).join(spans, ["cy_", "level", "block"]).select("pt_id", "ring_", F.lit(1).alias("n_"), F.lit(False).alias("edge_"))
+    beyond = placed.select("x", "y", "cy_", F.inline(up)).join(spans, ["cy_", "level", "block"]).select("x", "y", "ring_", F.lit(1).alias("n_"), F.lit(False).alias("edge_"))
 
     dealt = rows.withColumn("cx_", F.explode(F.sequence(*_cells(size, F.col("cy_")))))
     met = placed.join(dealt, ["cx_", "cy_"])
@@ -80,10 +86,11 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float, ring: str
     counted = F.coalesce((F.col("home_") > F.col("cx_")).cast("int"), F.lit(0))
     cross = (F.col("x1") - F.col("x0")) * (y - F.col("y0")) - (x - F.col("x0")) * (F.col("y1") - F.col("y0"))
     on = (cross == 0) & x.between(F.least("x0", "x1"), F.greatest("x0", "x1")) & y.between(low, high)
-    near = met.select("pt_id", "ring_", (upright + right - counted).alias("n_"), on.alias("edge_"))
+    near = met.select("x", "y", "ring_", (F.col("odd_") * (upright + right - counted)).alias("n_"), on.alias("edge_"))
 
-    hits = beyond.unionAll(near).groupBy("pt_id", "ring_").agg(F.sum("n_").alias("n_"), F.max("edge_").alias("edge_"))
-    return hits.where((F.pmod(F.col("n_"), F.lit(2)) == 1) | F.col("edge_")).select("pt_id", F.col("ring_").alias(ring))
+    hits = beyond.unionAll(near).groupBy("x", "y", "ring_").agg(F.sum("n_").alias("n_"), F.max("edge_").alias("edge_"))
+    hits = hits.where((F.pmod(F.col("n_"), F.lit(2)) == 1) | F.col("edge_"))
+    return own.join(hits, ["x", "y"]).select("pt_id", F.col("ring_").alias(ring))
 
 
 def points_in_polygon(points: DataFrame, outer: DataFrame, holes: DataFrame, cell: float) -> DataFrame:

@@ -1,5 +1,7 @@
 """Points in rings against brute force, with points on sides, vertices and borders of cells."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +61,12 @@ def test_holes_nulls_and_nothing(spark):
     odd = p.unionAll(spark.createDataFrame([(7, None, 1.0), (8, float("nan"), 1.0), (9, float("inf"), 1.0)], p.schema))
     assert {x.pt_id for x in points_in_rings(odd, r, 2.0).collect()} == {0, 1, 2}
     assert points_in_rings(p.limit(0), r, 2.0).collect() == [] and points_in_rings(p, r.limit(0), 2.0).collect() == []
+
+
+def test_equal_points_and_sides_are_one_class(spark):
+    """Rings drawn twice and three times, points that repeat; only different points meet sides."""
+    ring = [(0, 0), (6, 0), (6, 5), (2, 3), (0, 5)]
+    points = [(x / 2, y / 2) for x in range(-2, 15) for y in range(-2, 13)] * 2
+    check(spark, points, [ring, ring * 2, ring * 3, [(0, 0), (6, 5), (0, 0), (6, 5)]], 2.0)
+    plan = points_in_rings(*frames(spark, points, [ring]), 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[x#\d+, y#\d+\]", plan)
