@@ -381,10 +381,8 @@ def q_point_in_polygon_with_holes(spark, sf):
 @query("q_segment_distance", f"with {v.RINGS}, {_POINTS}, d as (select pt_id, nation as ring, vtx, x, y, x0, y0, x1, y1, least(greatest(((x-x0)*(x1-x0) + (y-y0)*(y1-y0)) / ((x1-x0)**2 + (y1-y0)**2), 0), 1) as t from points left join edges on ring = nation) select pt_id, ring, round(min(sqrt((x-x0-t*(x1-x0))**2 + (y-y0-t*(y1-y0))**2)), 5) as distance from d group by pt_id, ring")
 def q_segment_distance(spark, sf):
     """Every point's distance from its own nation's ring; null where the nation has none."""
-    sides = planar.edges(v.rings(spark, sf))
-    met = _points(spark, sf).withColumnRenamed("nation", "ring").join(sides, "ring", "left")
-    d = planar.segment_distance(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "x", "y")))
-    return met.groupBy("pt_id", "ring").agg(F.round(F.min(d), 5).alias("distance"))
+    out = planar.ring_distances(_points(spark, sf).withColumnRenamed("nation", "ring"), v.rings(spark, sf))
+    return out.withColumn("distance", F.round("distance", 5))
 
 
 @query("q_segment_intersect", f"with {v.RINGS}, p as (select a.ring, a.x0 as ax, a.y0 as ay, a.x1 as bx, a.y1 as b_y, b.x0 as cx, b.y0 as cy, b.x1 as dx, b.y1 as dy from edges a join edges b on a.ring = b.ring and a.vtx < b.vtx), s as (select ring, sign((bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax)) * sign((bx-ax)*(dy-ay)-(b_y-ay)*(dx-ax)) as u, sign((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) * sign((dx-cx)*(b_y-cy)-(dy-cy)*(bx-cx)) as t from p) select ring, count(*) as crossings from s where u < 0 and t <= 0 or u <= 0 and t < 0 group by ring")

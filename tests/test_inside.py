@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slantframe.operators.inside import _blocks, points_in_polygon, points_in_rings
+from slantframe.operators.planar import ring_distances
 
 
 def brute(p, ring):
@@ -70,3 +71,28 @@ def test_equal_points_and_sides_are_one_class(spark):
     check(spark, points, [ring, ring * 2, ring * 3, [(0, 0), (6, 5), (0, 0), (6, 5)]], 2.0)
     plan = points_in_rings(*frames(spark, points, [ring]), 2.0)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[x#\d+, y#\d+\]", plan)
+
+
+def test_distances_from_rings(spark):
+    """Points that repeat, sides that repeat, a ring without sides and nulls against all pairs; only different points meet sides."""
+    rng = np.random.default_rng(3)
+    rings = [[tuple(v) for v in rng.integers(0, 9, (n, 2)).tolist()] for n in (5, 12)] + [[(0, 0), (4, 0)] * 3, [(1, 1)]]
+    points = [tuple(v) for v in (rng.integers(-8, 30, (60, 2)) / 2).tolist()] * 2
+    p, r = frames(spark, points, rings)
+    p = p.select((F.col("pt_id") % 5).cast("int").alias("ring"), "pt_id", "x", "y").unionAll(spark.createDataFrame([(0, 900, None, 1.0), (None, 901, 1.0, 1.0)], "ring int, pt_id long, x double, y double"))
+
+    def nearest(k, x, y):
+        d = [np.inf]
+        for (ax, ay), (bx, by) in zip(rings[k], rings[k][1:] + rings[k][:1]):
+            if (ax, ay) != (bx, by):
+                t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0), 1)
+                d.append(np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(d)
+
+    out = ring_distances(p, r, shares=3)
+    got = {row.pt_id: row for row in out.collect()}
+    assert len(got) == len(points) + 2 and got[900].distance is None and got[901].distance is None and got[901].ring is None
+    for i, (x, y) in enumerate(points):
+        want = nearest(i % 5, x, y) if i % 5 < 3 else None
+        assert got[i].ring == i % 5 and (got[i].distance is None if want is None else abs(got[i].distance - want) < 1e-12)
+    assert re.search(r"Aggregate \[ring#\d+, x#\d+, y#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
