@@ -50,11 +50,20 @@ def first_tile(points: DataFrame, tiles: DataFrame) -> DataFrame:
 
     Tiles (tile, priority, lat_low, lat_high, lon_low, lon_high) are dealt to
     the whole-degree cells they touch; a point meets the tiles of its cell.
+    Of tiles with the same box, and of those that hold all of a cell, only the
+    first can be a result, and what comes after the latter can't.
     """
-    cells = tiles.withColumn("clat", F.explode(F.sequence(F.floor("lat_low"), F.floor("lat_high")))).withColumn("clon", F.explode(F.sequence(F.floor("lon_low"), F.floor("lon_high"))))
-    met = points.withColumn("clat", F.floor("lat")).withColumn("clon", F.floor("lon")).join(cells, ["clat", "clon"])
+    box, cell = ["lat_low", "lat_high", "lon_low", "lon_high"], ["clat", "clon"]
+    first = F.min(F.struct("priority", "tile")).alias("first_")
+    boxes = tiles.groupBy(*box).agg(first)
+    cells = boxes.withColumn("clat", F.explode(F.sequence(F.floor("lat_low"), F.floor("lat_high")))).withColumn("clon", F.explode(F.sequence(F.floor("lon_low"), F.floor("lon_high"))))
+    holds = (F.col("lat_low") <= F.col("clat")) & (F.col("lat_high") >= F.col("clat") + 1) & (F.col("lon_low") <= F.col("clon")) & (F.col("lon_high") >= F.col("clon") + 1)
+    whole = cells.where(holds).groupBy(*cell).agg(F.min("first_").alias("whole_"))
+    part = cells.where(~holds).join(whole, cell, "left").where("whole_ is null or first_ < whole_").select(*cell, *box, "first_")
+    least = whole.select(*cell, *(c.cast(tiles.schema[b].dataType).alias(b) for b, c in zip(box, (F.col("clat"), F.col("clat") + 1, F.col("clon"), F.col("clon") + 1))), F.col("whole_").alias("first_"))
+    met = points.withColumn("clat", F.floor("lat")).withColumn("clon", F.floor("lon")).join(part.unionAll(least), cell)
     met = met.where("lat between lat_low and lat_high and lon between lon_low and lon_high")
-    return met.groupBy("pt_id").agg(F.min_by("tile", F.struct("priority", "tile")).alias("tile"))
+    return met.groupBy("pt_id").agg(F.min("first_").alias("first_")).select("pt_id", "first_.tile")
 
 
 def extremes(posts: DataFrame, keys: list[str]) -> DataFrame:

@@ -114,3 +114,21 @@ def test_rules(spark):
     nodes = links.select(F.col("parent").alias("id")).union(links.select("child"))
     assert sorted(r.id for r in rules.unreachable(nodes, links, spark.createDataFrame([("r",)], "id string")).collect()) == ["x", "y"]
     assert {r.id: r.path for r in annotation.label_paths(spark, links).collect()} == {"r": "r", "a": "r/a", "b": "r/a/b", "x": "x", "y": "x/y"}
+
+
+def test_first_tile_among_many(spark):
+    """Tiles with the same box, and some that hold whole cells, against all pairs; a point meets one of those, not all."""
+    tiles = [(k, (k * 7) % 5, (k * 3) % 4 - 2 + (k % 3) / 2, (k * 3) % 4 + 1.0, (k * 5) % 6 - 3.0, (k * 5) % 6 + (k % 2) / 4) for k in range(1, 60)]
+    points = [(i, -2 + (i % 13) / 2, -3.5 + (i // 13) / 2) for i in range(13 * 20)]
+    t = spark.createDataFrame(tiles + [(900, 0, None, 1.0, 0.0, 1.0)], "tile int, priority int, lat_low double, lat_high double, lon_low double, lon_high double")
+    p = spark.createDataFrame(points, "pt_id int, lat double, lon double")
+    want = {}
+    for i, lat, lon in points:
+        over = [(q, k) for k, q, a, b, c, d in tiles if a <= lat <= b and c <= lon <= d]
+        if over:
+            want[i] = min(over)[1]
+    assert {r.pt_id: r.tile for r in elevation.first_tile(p, t).collect()} == want
+    same = spark.createDataFrame([(k, k % 5, -2.0, 3.0, -4.0, 8.0) for k in range(300)], t.schema)
+    out = elevation.first_tile(p, same)
+    assert {r.tile for r in out.collect()} == {0}
+    assert "Aggregate [lat_low#" in out._jdf.queryExecution().optimizedPlan().toString()
