@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slantframe.operators.checkpoints import saved
+from slantframe.operators.checkpoints import partitions, saved
 from slantframe.operators.planar import segments_cross
 
 ENDS = ("x0", "y0", "x1", "y1")
@@ -72,8 +72,11 @@ def crossings(sides: DataFrame, group: str = "ring", vtx: str = "vtx", cell: flo
 
 
 def _met(dealt: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """Pairs that cross within cells; a pair that shares several cells comes several times."""
-    a = dealt.select(*keys, F.col("id_").alias("a"), F.col("n_").alias("na_"), *(F.col(c).alias(f"a{c}") for c in ENDS))
+    """Pairs that cross within cells; a pair that shares several cells comes several times.
+
+    Sides are few against their pairs, so they aren't gathered in fewer tasks.
+    """
+    a = dealt.repartition(partitions(dealt), *keys).select(*keys, F.col("id_").alias("a"), F.col("n_").alias("na_"), *(F.col(c).alias(f"a{c}") for c in ENDS))
     b = dealt.select(*keys, F.col("id_").alias("b"), F.col("n_").alias("nb_"), *(F.col(c).alias(f"b{c}") for c in ENDS))
     cross = segments_cross(*(F.col(f"{s}{c}") for s in "ab" for c in ENDS))
     return a.join(b, keys).where((F.col("a") < F.col("b")) & cross).select(group, "a", "b", (F.col("na_") * F.col("nb_")).alias("pairs"))

@@ -49,3 +49,9 @@ def test_odd_sides(spark):
     found = crossings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.a, r.b, r.pairs) for r in found] == [(0, 1, 1)]
     assert crossings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pairs_are_spread_over_tasks(spark):
+    """Cells are dealt by number, so that Spark doesn't gather few sides with many pairs in one task."""
+    plan = crossings(spark.createDataFrame(grid(random.Random(5), 40, 2, 20, 5), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [ring#" in plan
