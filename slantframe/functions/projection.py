@@ -21,7 +21,7 @@ nulls.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -63,20 +63,22 @@ def numbers(column: pa.Array) -> np.ndarray:
     return np.array(column.cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
 
 
-def _mapped(df: DataFrame, inputs: list[str], outputs: list[str], work: Callable) -> DataFrame:
-    """df with outputs: work(scene, *inputs) gives them, a batch's rows of an image at once."""
-    names = df.columns
-    given = df.select(*names, packed(df).alias("scene_"), *(F.col(c).cast("double").alias(f"in{i}_") for i, c in enumerate(inputs)))
+def _mapped(df: DataFrame, inputs: list[str], outputs: list[str], work: Callable, scene: Column | None = None) -> DataFrame:
+    """df with outputs: work(scene, *inputs) gives them, a batch's rows of an image at once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Workers get the inputs and the metadata as text (scene, if a column has it
+    already) and no other column of df.
+    """
+
+    def run(texts: pa.Array, *given: pa.Array) -> pa.Array:
         with np.errstate(all="ignore"):
-            for batch in batches:
-                n = len(names)
-                found = by_scene(batch.column(n), [numbers(batch.column(n + 1 + i)) for i in range(len(inputs))], len(outputs), work)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(x, mask=~np.isfinite(x)) for x in found]], [*names, *outputs])
+            found = by_scene(texts, [numbers(x) for x in given], len(outputs), work)
+        return pa.StructArray.from_arrays([pa.array(x, mask=~np.isfinite(x)) for x in found], outputs)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
-    return given.mapInArrow(run, ", ".join([*kinds, *(f"`{o}` double" for o in outputs)]))
+    # Spark would run a deterministic function twice, for a filter on its outputs and for the outputs.
+    made = F.arrow_udf(run, f"struct<{','.join(f'`{o}`:double' for o in outputs)}>").asNondeterministic()
+    out = df.withColumn("mapped_", made(packed(df) if scene is None else scene, *(F.col(c).cast("double") for c in inputs)))
+    return out.select(*df.columns, *(F.col("mapped_")[o].alias(o) for o in outputs))
 
 
 def _axes(*names: str) -> list[str]:

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slantframe.functions.projection import ADJUSTMENTS, METADATA, _axes, _mapped
+from slantframe.functions.projection import ADJUSTMENTS, METADATA, _axes, _mapped, packed
 from slantframe.functions.scenes import Scene, dot
-from slantframe.operators.checkpoints import saved
+from slantframe.operators.checkpoints import partitions, saved
 from slantframe.operators.fits import _solved, _triangles
 
 #: Unknowns of an image: metres along its row and column axes or along the earth's axes, metres a second, metres.
@@ -129,7 +129,9 @@ def locate_features(seen: DataFrame, feature: str = "feature", row: str = "row",
     alike the height stays as it was.
     """
     kind = seen.schema[feature].dataType.simpleString()
-    base = seen.select(F.col(feature).alias("feature_"), F.col(row).cast("double").alias("row_"), F.col(col).cast("double").alias("col_"), *(c for c in METADATA if c in seen.columns)).where(F.col("feature_").isNotNull())
+    base = seen.select(F.col(feature).alias("feature_"), F.col(row).cast("double").alias("row_"), F.col(col).cast("double").alias("col_"), packed(seen).alias("scene_")).where(F.col("feature_").isNotNull())
+    # Metadata become text once, not once a round; rounds are much work for few bytes, so the rows are spread over tasks.
+    base = saved(base.repartition(partitions(seen), "feature_"))
     outputs = [*(f"p{a}_" for a in "xyz"), *(f"d{a}_" for a in "xyz")]
 
     def work(image: Scene, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -141,7 +143,7 @@ def locate_features(seen: DataFrame, feature: str = "feature", row: str = "row",
     product = lambda u, w: u[0] * w[0] + u[1] * w[1] + u[2] * w[2]
     for _ in range(rounds):
         met = base.join(state.select("feature_", "h_", *(f"o{a}_" for a in "xyz")), "feature_")
-        put = _mapped(met, ["row_", "col_", "h_"], outputs, work).where("px_ is not null")
+        put = _mapped(met, ["row_", "col_", "h_"], outputs, work, F.col("scene_")).where("px_ is not null")
         sums = put.groupBy("feature_").agg(
             F.count("*").alias("n_"), F.max("h_").alias("h_"), *(F.max(f"o{a}_").alias(f"o{a}_") for a in "xyz"), *(F.avg(x).alias(f"m{a}_") for a, x in zip("xyz", p)), *(F.avg(x).alias(f"e{a}_") for a, x in zip("xyz", d)),
             F.avg(product(p, p)).alias("pp_"), F.avg(product(p, d)).alias("pd_"), F.avg(product(d, d)).alias("dd_"),

@@ -77,7 +77,9 @@ def image_to_dem(df: DataFrame, posts: DataFrame, grid: PostGrid, heights: tuple
     pixels = saved(pixels.select(F.col(key), F.col("row").cast("double"), F.col("col").cast("double"), packed(pixels).alias("scene"), F.col("tx").cast("int"), F.col("ty").cast("int"), "reach"))
     halo = int(1.05 * (pixels.agg(F.max("reach")).first()[0] or 0)) + 3
     copies = pixels.groupBy("tx", "ty").agg(F.ceil(F.count("*") / crowd).cast("int").alias("copies"))
-    spread = pixels.join(copies, ["tx", "ty"]).withColumn("copy", F.pmod(F.xxhash64(key, "row", "col"), F.col("copies")).cast("int"))
+    # Crowded tiles are at most one for crowd pixels; a join that isn't a broadcast would gather each tile's pixels in one task.
+    crowded = F.broadcast(copies.where("copies > 1"))
+    spread = pixels.join(crowded, ["tx", "ty"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn("copy", F.pmod(F.xxhash64(key, "row", "col"), F.col("copies")).cast("int"))
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
     dealt = posts.where("elev is not null").select("ix", "iy", F.col("elev").cast("double").alias("elev")).withColumn("ux", near("ix")).withColumn("uy", near("iy"))
     wanted = copies.select(F.col("tx").alias("ux"), F.col("ty").alias("uy"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("ucopy"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slantframe.functions import collection, geodesy, projection, remap
 from slantframe.functions.vectors import Vec
 from slantframe.operators import elevation, fits, spectral, terrain
-from slantframe.operators.checkpoints import saved
+from slantframe.operators.checkpoints import partitions, saved
 from slantframe.plans import views as v
 from slantframe.plans.registry import literal, query, rounded
 
@@ -167,6 +167,7 @@ def q_locate_features(spark, sf):
 
     k = F.col("c_custkey")
     truth = v.table(spark, sf, "customer").select(k.alias("feature"), (6378137.0 + k % 5 * 30).alias("place_x"), (k % 17 * 40.0 - 300).alias("place_y"), (k % 23 * 25.0 - 250).alias("place_z"))
+    truth = truth.repartition(partitions(truth), "feature")
     seen = projection.ground_to_image(truth.withColumn("image", F.explode(F.array(*map(F.lit, range(3))))).join(stereo_images(spark), "image"), "place").drop("place_x", "place_y", "place_z")
     found = locate_features(saved(seen)).join(truth.withColumnsRenamed({f"place_{a}": f"true_{a}" for a in "xyz"}), "feature")
     off = (Vec.of("place") - Vec.of("true")).norm()

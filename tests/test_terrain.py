@@ -60,3 +60,25 @@ def test_round_trip_and_missing_values(spark):
     odd = pixels.withColumns({"kind": F.when(F.col("id") % 2 == 0, "OTHER"), "h": F.lit(None).cast("double")})
     assert all(r.r is None and r.time_coa_at is not None for r in projection.coa_projection(odd).collect())
     assert all(r.p_x is None for r in projection.image_to_hae(pixels.withColumn("h", F.lit(None).cast("double")), "h", "p").collect())
+
+
+def test_crowded_tiles_are_broadcast(spark):
+    """Pixels of a crowded tile aren't gathered in one task to learn how many copies it has."""
+    ix, iy, elev = ridges(21)
+    posts = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(ix, iy, elev)], "ix int, iy int, elev double")
+    pixels = spark.range(60).select("id", (F.col("id") * 37 % 1000).cast("double").alias("row"), (F.col("id") * 53 % 800).cast("double").alias("col"), (F.col("id") % 4).cast("int").alias("image")).join(_images(spark), "image")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = image_to_dem(pixels, posts, GRID, (0.0, 250.0, 6), crowd=20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [tx#" in plan
+
+
+def test_workers_get_no_column_they_dont_need(spark):
+    """Neither an image's metadata nor a pixel's other columns pass the workers beside the text of the metadata."""
+    pixels = spark.range(8).select("id", F.lit(1.0).alias("row"), F.lit(2.0).alias("col"), (F.col("id") % 4).cast("int").alias("image")).join(_images(spark), "image")
+    out = projection.image_to_hae(pixels.withColumn("h", F.lit(10.0)), "h").select("id", "at_x").where("at_x is not null")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1 and out.count() == 8
