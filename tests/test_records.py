@@ -124,3 +124,15 @@ def test_complex_images_in_one_call(spark, tmp_path):
 def test_heads_are_where_they_say():
     heads, places, size = file_head(2, 10, 5, 2, b"<x/>")
     assert places[0] == len(heads[0][1]) + len(heads[1][1]) and places[1] == places[0] + 400 + len(heads[2][1]) and size == places[1] + 400 + len(heads[3][1])
+
+
+def test_a_batch_is_taken_apart_in_parts():
+    """What a worker holds as Python objects doesn't grow with the batch; all records come, in order."""
+    import pyarrow as pa
+
+    area = records.joined([("MYURL", b"abc"), ("OTHER", b"")])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array([area if i % 7 else None for i in range(1300)])], ["id", "content"])
+    parts = list(records._taken_apart(batch, ["id"], {}))
+    assert len(parts) == 3 and max(p.num_rows for p in parts) <= 2 * records.AREAS
+    got = [(r["id"], r["number"], r["tag"]) for p in parts for r in p.to_pylist()]
+    assert got == [(i, k, t) for i in range(1300) if i % 7 for k, t in enumerate(("MYURL", "OTHER"))]
