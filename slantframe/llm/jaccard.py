@@ -19,7 +19,7 @@ which each member sees one, then with all that are still in another component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -553,9 +553,10 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity(), k
     met = scratch.save(_cross_pairs(_apart(members, roots), sketches, similarity, shards, hubs=True))
     close = met.where("key is null").select("a", "b")
     texts = texts_of(ends(close))
-    more = checked(scratch.save(near(close, _fine_sketches(texts, similarity), similarity)), texts)
+    fine = scratch.save(_fine_sketches(texts, similarity))
+    more = checked(scratch.save(near(close, fine, similarity)), texts)
     first, roots = roots, merged_components(roots, more, scratch)
-    scratch.drop(first, more, links, sketches)
+    scratch.drop(first, more, links, sketches, fine)
     rest = scratch.save(_apart(members.join(met.where("key is not null").select("key").distinct(), "key", "left_semi"), roots))
     texts = texts_of(rest)
     fine = scratch.save(_fine_sketches(texts, similarity))
@@ -572,17 +573,23 @@ def jaccard_components(docs: DataFrame, similarity: Similarity = Similarity(), k
     return meta.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["cls"] * keep_class)
 
 
-def _classed(docs: DataFrame, similarity: Similarity, name: str) -> DataFrame:
-    """docs with the number of each text's set."""
-    sep, text, words, names = kernels.white_space(), docs.columns.index("text"), similarity.words, [*docs.columns, name]
+def _classed(docs: DataFrame, similarity: Similarity, name: str, maybe: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of docs that maybe lets through by the hashes in the last column, with the number of each text's set in its place.
+
+    Rows are chosen here, not by a function before this one: a task with two Python functions has two workers.
+    """
+    sep, text, words, names = kernels.white_space(), docs.columns.index("text"), similarity.words, [*docs.columns[:-1], name]
 
     @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(maybe(batch.columns[-1].to_numpy())))
+            if not batch.num_rows:
+                continue
             ids = [np.uint64(class_of(s)).astype(np.int64).item() if len(s) else None for s in kernels.shingle_sets(batch.column(text), words, sep)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64())], names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, f"{kinds}, `{name}` long")
 
 
@@ -606,15 +613,18 @@ def keep_one_each(docs: DataFrame, similarity: Similarity = Similarity(words=5,
     bits = 1 << max(12, min(27, (16 * max(1, marked.count())).bit_length()))
     shared = spark.sparkContext.broadcast(bit_filter(marked.select(F.xxhash64(gone).alias("key")), bits))
 
+    def marks(hashes: np.ndarray) -> np.ndarray:
+        at = (hashes.view(np.uint64) % np.uint64(bits)).astype(np.int64)
+        return ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
     @F.pandas_udf("boolean")
     def maybe(hashes: pd.Series) -> pd.Series:
-        at = (hashes.to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
-        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+        return pd.Series(marks(hashes.to_numpy()))
 
-    flagged = docs.withColumn(maybe_, maybe(F.xxhash64("doc_id")))
+    hashed = F.xxhash64("doc_id")
     (own,) = free_names([*docs.columns, cls], "own")
-    some = _classed(flagged.where(F.col(maybe_)).select(*docs.columns), similarity, own)
+    some = _classed(docs.withColumn(maybe_, hashed), similarity, own, marks)
     met = some.join(marked, (F.col("doc_id") == F.col(gone)) & (F.col(own) == F.col(cls)), "left")
     sure = met.where(F.col(gone).isNull()).select(*docs.columns)
     one = met.where(F.col(again)).dropDuplicates([gone, group]).select(*docs.columns)
-    return flagged.where(~F.col(maybe_)).select(*docs.columns).unionAll(sure).unionAll(one)
+    return docs.where(~maybe(hashed)).unionAll(sure).unionAll(one)

@@ -34,8 +34,8 @@ SPACE = "▁"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Spans that are encoded by themselves: Latin letters, or anything else, with the spaces before them.
 SPANS = re.compile(f"{SPACE}*[{_LATIN}]+|{SPACE}*[^{_LATIN}{SPACE}]+|{SPACE}+")
-#: Spans and token pairs that a worker remembers; beyond it starts anew.
-MEMORY = 1_000_000
+#: Spans and token pairs that a worker remembers during a task; beyond it starts anew.
+MEMORY = 1 << 18
 NEVER = 1 << 60
 
 
@@ -119,7 +119,7 @@ class PieceTables:
 
 
 class PieceCodec:
-    """encode and decode for one worker; remembers spans and token pairs."""
+    """encode and decode for one worker; remembers spans and token pairs until it is told to forget them."""
 
     def __init__(self, tables: PieceTables) -> None:
         self.t = tables
@@ -132,6 +132,11 @@ class PieceCodec:
         self.spans = _Spans(self)
         self.run_ids: dict[int, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drops what is remembered: a worker lives on after its task, beside those of other tasks."""
+        for memory in (self.pairs, self.spans, self.run_ids):
+            memory.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging would leave tokens a and b side by side.
 
@@ -272,22 +277,25 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
     @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                coded = [codec.encode(x or "") for x in part.column(1).to_pylist()]
-                texts = [codec.decode(x) for x in coded]
-                columns = [
-                    part.column(0),
-                    pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-                    pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts]),
-                ]
-                if keep_ids:
-                    columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in coded], pa.list_(pa.int32())))
-                if keep_text:
-                    columns.append(pa.array(texts))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    coded = [codec.encode(x or "") for x in part.column(1).to_pylist()]
+                    texts = [codec.decode(x) for x in coded]
+                    columns = [
+                        part.column(0),
+                        pa.array([len(x) // 4 for x in coded], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
+                        pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts]),
+                    ]
+                    if keep_ids:
+                        columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in coded], pa.list_(pa.int32())))
+                    if keep_text:
+                        columns.append(pa.array(texts))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            codec.forget()
 
     names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text]
     kind = docs.schema[id_column].dataType.simpleString()

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slantframe.llm.components import connected_components, merged_components
-from slantframe.llm.jaccard import Similarity, jaccard_components, part_keys
+from slantframe.llm.jaccard import Similarity, jaccard_components, keep_one_each, part_keys
 from slantframe.llm.scratch import Scratch
 
 
@@ -127,3 +127,18 @@ def test_components_merged_by_further_links(spark):
         assert {r.node: r.root for r in merged_components(first, frame(more), scratch).collect()} == whole
     none = {r.node: r.root for r in merged_components(first, frame(links[:1]), scratch).collect()}
     assert none == {r.node: r.root for r in first.collect()}
+
+
+def test_a_task_has_one_python_worker(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(40)] + [(None, "x y"), (50, None)], "doc_id long, text string")
+    out = keep_one_each(docs)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == [-1, *range(0, 40, 2), 50]
+    runs = []
+    for line in out._jdf.queryExecution().sparkPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        runs = [x for x in runs if x < depth]
+        if "Join" in line or "Aggregate" in line or "Union" in line:
+            runs = []
+        if "ArrowEvalPython" in line or "MapInArrow" in line:
+            assert not runs, line
+            runs.append(depth)

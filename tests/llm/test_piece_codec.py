@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -55,3 +56,18 @@ def test_query_on_nulls_repeats_and_clashing_columns(spark, library):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert out == sorted([(1, len(ids), full, sha("a b"))] * 2 + [(None, 2, empty, sha("")), (2, 2, empty, sha(""))], key=str)
     assert encode_documents(docs.limit(0), MODEL).count() == 0
+
+
+def test_workers_forget_spans_after_a_task(spark):
+    docs = spark.range(64, numPartitions=8).selectExpr("id as doc_id", "concat('word', id, ' other', id * 7) as text")
+    assert encode_documents(docs, MODEL).agg({"n_tokens": "sum"}).first()[0] > 0
+
+    def remembered(batches):
+        from slantframe.llm import piece_codec
+
+        for _ in batches:
+            n = [len(x) for c in piece_codec._CODECS.values() for x in (c.spans, c.pairs, c.run_ids)]
+            yield pa.RecordBatch.from_pydict({"codecs": [len(n) // 3], "n": [sum(n)]})
+
+    left = spark.range(64, numPartitions=8).mapInArrow(remembered, "codecs long, n long").collect()
+    assert any(r.codecs for r in left) and not any(r.n for r in left)
