@@ -8,8 +8,9 @@ that a neutral mention of a group does not move the score.  Groups have terms
 of the corpus's four languages.
 
 The model is fitted on the driver on a bounded, documented sample of labelled
-rows and a bounded number of words; every document is then scored in its own
-partition with the broadcast weights.
+rows and a bounded number of words; alike rows are one, and DENSE rows at a time
+are a dense matrix.  Every document is then scored in its own partition with the
+broadcast weights.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 
 SEPARATORS = kernels.not_alphanumeric()
+#: Rows of the sample that the fit holds as a dense matrix at a time.
+DENSE = 512
 
 
 def word_hash(word: str) -> int:
@@ -88,21 +91,41 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit_logits(x: np.ndarray, y: np.ndarray, changes: np.ndarray, pairing: float, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class WordRows:
+    """Rows of a sample: each one's label, how many alike there are, and the numbers of its words, which end at bounds."""
+
+    labels: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    bounds: np.ndarray
+
+    def blocks(self, d: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """(rows, dense matrix) of DENSE rows at a time: d words and a column of ones."""
+        for a in range(0, len(self.labels), DENSE):
+            b = min(a + DENSE, len(self.labels))
+            x = np.zeros((b - a, d + 1))
+            x[np.repeat(np.arange(b - a), np.diff(self.bounds[a : b + 1])), self.words[self.bounds[a] : self.bounds[b]]] = 1
+            x[:, d] = 1
+            yield slice(a, b), x
+
+
+def fit_logits(sample: WordRows, changes: np.ndarray, pairing: float, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Newton's method on mean log loss + pairing * mean squared change of the pairs' logits + ridge.
 
     changes is the mean outer product of the pairs' differences, a square of the words.
     """
-    n, d = x.shape
+    n, d = sample.counts.sum(), len(changes)
     w = np.zeros(d + 1)
-    full = np.hstack([x, np.ones((n, 1))])
     penalty = np.zeros((d + 1, d + 1))
     penalty[:d, :d] = 2 * pairing * changes + 2 * ridge * np.eye(d)
     penalty[d, d] = 1e-9
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -40, 40)))
-        grad = full.T @ (p - y) / n + penalty @ w
-        hess = (full * (p * (1 - p) + 1e-9)[:, None]).T @ full / n + penalty
+        grad, hess = penalty @ w, penalty.copy()
+        for own, x in sample.blocks(d):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            grad += x.T @ (sample.counts[own] * (p - sample.labels[own])) / n
+            hess += (x * (sample.counts[own] * (p * (1 - p) + 1e-9) / n)[:, None]).T @ x
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
         w -= step
@@ -183,16 +206,16 @@ def fit_toxicity(
             rows_of = [np.flatnonzero(np.isin(shared.value, np.frombuffer(x, dtype=np.uint64))).astype(np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows_of, pa.list_(pa.int32()))], ["label", "at"])
 
-    got = sample.mapInArrow(selected, "label int, at array<int>").groupBy("label", "at").agg(F.count("*").alias("n")).orderBy("label", "at").collect()
+    got = sample.mapInArrow(selected, "label int, at array<int>").groupBy("label", "at").agg(F.count("*").alias("n")).orderBy("label", "at").toArrow()
     scratch.drop(sample)
-    y = np.repeat([r[0] for r in got], [r[2] for r in got]).astype(float)
-    x = np.zeros((len(y), len(hashes)))
+    at = got.column("at").combine_chunks()
+    bounds = np.r_[0, np.cumsum(at.value_lengths().to_numpy())]
+    alike = WordRows(got.column("label").to_numpy(), got.column("n").to_numpy(), at.flatten().to_numpy(), bounds)
     place = {int(h): i for i, h in enumerate(hashes)}
     # Differences have one or two entries, so their outer products are summed entry by entry.
     changes, pairs = np.zeros((len(hashes), len(hashes))), 0
-    at = 0
-    for _, found, n in got:
-        x[at : at + n, found] = 1
+    for i, n in enumerate(alike.counts.tolist()):
+        found = alike.words[bounds[i] : bounds[i + 1]].tolist()
         for group in terms:
             own = [place[int(h)] for h in group]
             held = [i for i in own if i in found]
@@ -205,8 +228,7 @@ def fit_toxicity(
             for b in own if not held else []:
                 changes[b, b] += n
                 pairs += n
-        at += n
-    weights, intercept = fit_logits(x, y, changes / max(1, pairs), pairing, ridge)
+    weights, intercept = fit_logits(alike, changes / max(1, pairs), pairing, ridge)
     return ToxicityModel(hashes, weights, intercept, pairs)
 
 

@@ -100,6 +100,40 @@ def test_pairs_exist_without_mentions_and_flatten_later_ones(spark):
     assert max(abs(s - scores[0]) for s in scores) < 1e-6
 
 
+def test_the_fit_never_holds_the_whole_sample_as_a_dense_matrix(spark):
+    import tracemalloc
+
+    n = 12_000
+    bad = F.col("id") % 4 == 0
+    word = lambda k: F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(40)))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(bad, "vile").otherwise("fine"), *map(word, range(6))).alias("text"), bad.cast("int").alias("toxic"))
+    tracemalloc.start()
+    try:
+        model = toxicity.fit_toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.pairs >= n
+    assert peak < n * len(model.hashes) * 8
+    assert {(r.doc_id % 4 == 0, r.predicted) for r in toxicity.score_toxicity(rows.select("doc_id", "text"), model).collect()} == {(True, 1), (False, 0)}
+
+
+def test_alike_rows_count_as_often_as_they_occur():
+    rnd = np.random.default_rng(4)
+    d, n = 7, toxicity.DENSE + 90
+    x = rnd.random((n, d)) < 0.3
+    y = rnd.random(n) < np.where(x[:, 0], 0.8, 0.3)
+    counts = rnd.integers(1, 4, n)
+    of = lambda x, y, counts: toxicity.WordRows(y.astype(int), counts, np.nonzero(x)[1], np.r_[0, np.cumsum(x.sum(axis=1))])
+    many, bias = toxicity.fit_logits(of(x, y, counts), np.eye(d) / 9, 1.0, 1e-6)
+    each, same = toxicity.fit_logits(of(np.repeat(x, counts, axis=0), np.repeat(y, counts), np.ones(counts.sum(), dtype=int)), np.eye(d) / 9, 1.0, 1e-6)
+    np.testing.assert_allclose(np.r_[many, bias], np.r_[each, same], atol=1e-9)
+    # The gradient of the loss is zero there.
+    p = 1 / (1 + np.exp(-(x @ many + bias)))
+    slope = (counts * (p - y)) @ x / counts.sum() + 2 * many / 9 + 2e-6 * many
+    assert np.abs(slope).max() < 1e-9
+
+
 def test_equal_cosines_go_to_the_least_id():
     vectors = np.array([[1, 0], [0, 1], [1, 0], [1, 0]], np.float32)
     counts = np.zeros((1, quality.TERMS))
